@@ -43,6 +43,8 @@ def peer_stats(df: DataFrame, rates: Mapping[str, tuple]) -> Column:
     ``rates`` maps a name to ``(rate, weight)`` or ``(rate, weight, na_rm_max,
     na_rm_mean)``; the result is a struct ``name -> (best, average)``. All come
     from one one-row aggregate: nothing is sorted or gathered in one partition.
+    The rows are read twice, here and by the caller, so settle what was
+    aggregated from facts before.
     """
     stats = []
     for name, (rate, weight, *na_rm) in rates.items():

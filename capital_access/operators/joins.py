@@ -93,17 +93,6 @@ def drop_matching(left: DataFrame, keys: DataFrame, on: str | Sequence[str]) ->
     return unmatched(left, keys, on)
 
 
-def _no_partner(lonely: DataFrame, like: DataFrame) -> DataFrame:
-    """``lonely`` in the column order and types of ``like``, missing where it has no column."""
-    have = set(lonely.columns)
-    return lonely.select(
-        [
-            as_col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in like.schema.fields
-        ]
-    )
-
-
 def left_join_from_dim(dim: DataFrame, facts: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """``dim`` left-joined with ``facts``, for a small ``dim`` and large, perhaps hot, facts.
 
@@ -115,7 +104,7 @@ def left_join_from_dim(dim: DataFrame, facts: DataFrame, on: str | Sequence[str]
     keys = _listed(on)
     matched = dim.join(facts, keys)
     lonely = unmatched(dim, facts.select(keys).distinct(), keys)
-    return matched.unionByName(_no_partner(lonely, matched))
+    return matched.unionByName(lonely, allowMissingColumns=True)
 
 
 def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -127,7 +116,7 @@ def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     keys = _listed(on)
     matched = left_join(left, right, keys)
     lonely = unmatched(right, left.select(keys).distinct(), keys)
-    return matched.unionByName(_no_partner(lonely, matched))
+    return matched.unionByName(lonely, allowMissingColumns=True)
 
 
 def null_safe_full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -135,7 +124,7 @@ def null_safe_full_join(left: DataFrame, right: DataFrame, on: str | Sequence[st
     keys = _listed(on)
     matched = null_safe_join(left, right, keys)
     lonely = null_safe_join(right, left.select(keys).distinct(), keys, "left_anti")
-    return matched.unionByName(_no_partner(lonely, matched))
+    return matched.unionByName(lonely, allowMissingColumns=True)
 
 
 def star_join(base: DataFrame, summaries: Iterable[tuple[DataFrame, Sequence[str]]]) -> DataFrame:

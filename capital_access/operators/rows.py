@@ -29,17 +29,15 @@ def top_with_ties(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> Data
     """Rows with the largest first measure of their group, then the largest second, and so on.
 
     All ties stay; a missing measure never wins. The best values are found by
-    a map-side reduced aggregate and joined back, so no group is ever gathered
-    in one task as a ranking window would do.
+    a map-side reduced aggregate and joined back on key and value, so no group
+    is ever gathered in one task as a ranking window would do.
     """
-    candidates = df.filter(reduce(lambda a, b: a & b, [as_col(c).isNotNull() for c in by[:1]]))
-    for measure in by:
-        best = candidates.groupBy(*[as_col(k) for k in keys]).agg(F.max(as_col(measure)).alias("_best"))
-        pairs = best.withColumnsRenamed({k: f"_key_{k}" for k in keys})
-        same = reduce(
-            lambda a, b: a & b, [as_col(k).eqNullSafe(as_col(f"_key_{k}")) for k in keys]
-        )
-        candidates = candidates.join(pairs, same & (as_col(measure) == F.col("_best"))).select(
-            [as_col(c) for c in df.columns]
-        )
-    return candidates
+    measures = [as_col(c) for c in by]
+    candidates = df.filter(measures[0].isNotNull())
+    best = F.max(measures[0] if len(by) == 1 else F.struct(*measures)).alias("_best")
+    found = candidates.groupBy(*[as_col(k).alias(f"_key_{k}") for k in keys]).agg(best)
+    value = F.col("_best")
+    conditions = [as_col(k).eqNullSafe(as_col(f"_key_{k}")) for k in keys]
+    conditions += [m == (value if len(by) == 1 else value[c]) for m, c in zip(measures, by)]
+    same = reduce(lambda a, b: a & b, conditions)
+    return candidates.join(found, same).select([as_col(c) for c in df.columns])

@@ -21,6 +21,7 @@ from capital_access.functions.text import pad_code
 from capital_access.operators.aggregates import compare_to_peers, peer_stats, shares, weighted_means
 from capital_access.operators.joins import left_join, star_join
 from capital_access.operators.reshape import lengthen, widen
+from capital_access.session import settle
 
 # Measures of the attainment table.
 ATTAINMENT_COLUMNS = {
@@ -134,7 +135,7 @@ def ownership_gap(firms: DataFrame, na_rm: bool = True) -> DataFrame:
 def ownership_summary(owners: DataFrame, demographics: DataFrame, study: StudyConfig) -> DataFrame:
     """Ownership table of the compared areas, gaps and traded columns first."""
     areas = left_join(owners.filter(study.in_area()), demographics, study.code)
-    gaps = ownership_gap(clean_owners(areas))
+    gaps = ownership_gap(settle(clean_owners(areas), "owners"))
     return pick(
         gaps, study.code, "GEO_TTL", containing(gaps, "gap"), containing(gaps, "traded"), rest=True
     )
@@ -212,8 +213,8 @@ def per_worker_summary(
 ) -> DataFrame:
     """Lending per worker of each area: by employment group, by zone, and its peer gaps.
 
-    One aggregate over the tracts serves both halves, so they need no join.
-    Every number's name ends in ``suffix``.
+    One aggregate over the tracts serves both halves, so they need no join; the
+    areas are settled before they are compared. Every number's name ends in ``suffix``.
     """
     emp_total = f"emp_tot{year_suffix}"
     workers, total = as_col(emp_total), f"{emp_total}_sum"
@@ -222,6 +223,7 @@ def per_worker_summary(
         *per_worker_aggregates(df, rate, year_suffix, study.n_years),
         *zone_aggregates(rate, workers, as_col(zone)),
     )
+    areas = settle(areas, "per_worker")
     out = compare_to_peers(areas, {"gap_amt_emp": ("amt_per_tot", total, na_rm, na_rm)})
     out = out.withColumns(_zone_columns()).drop("_amt_in", "_emp_in", "_amt_out", "_emp_out")
     return suffixed(out, numeric(out), suffix)
@@ -270,6 +272,7 @@ def combine_summaries(
 
     Ownership columns get the suffix ``_SBO``; the lending tables arrive with
     theirs. Tables after the first lending one are joined on code and name.
+    The result is settled, as both reports compare its rows.
     """
     firms = suffixed(owners, [c for c in owners.columns if c not in study.keys], "_SBO")
     joined = star_join(
@@ -282,7 +285,7 @@ def combine_summaries(
             (awards, study.keys),
         ],
     )
-    return joined.withColumnRenamed("emp_tot_17_sum_FDIC", "emp_tot")
+    return settle(joined.withColumnRenamed("emp_tot_17_sum_FDIC", "emp_tot"), "combined")
 
 
 def peer_gap_report(combined: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from capital_access.operators.quality import by_year
 from capital_access.operators.reshape import lengthen, widen
 from capital_access.queries.registry import query
 from capital_access.queries.roles import lender, loans, money_sql, pad_sql, table, tracts, with_sql
+from capital_access.session import settle
 
 # An amount that is unknown for one county and purpose, to tell the missing-value modes apart.
 UNKNOWN_SQL = "CASE WHEN stco_code = '09003' AND purpose = '5-LOW' THEN NULL ELSE amt_tot END"
@@ -329,7 +330,7 @@ def lending_per_worker(spark, sf):
 )
 def q_peer_gap(spark, sf):
     """Lending per worker by county with the amounts missing to the best and to the average county."""
-    gaps = compare_to_peers(lending_per_worker(spark, sf), {"gap": ("rate", "workers")})
+    gaps = compare_to_peers(settle(lending_per_worker(spark, sf)), {"gap": ("rate", "workers")})
     return gaps.select(
         "stco_code", "amt", "workers", F.round("rate", 4).alias("rate"),
         F.round("gap", 2).alias("gap"), F.round("gap_avg", 2).alias("gap_avg"),
@@ -352,7 +353,7 @@ def q_peer_gap_avg(spark, sf):
     rates = loans(spark, sf).filter("year >= 1998").groupBy("stcotr_code").agg(
         F.sum("amt_tot").cast("double").alias("amt"), F.count(F.lit(1)).alias("n")
     ).withColumn("rate", ratio("amt", "n"))
-    gaps = compare_to_peers(rates, {"gap": ("rate", "n")})
+    gaps = compare_to_peers(settle(rates), {"gap": ("rate", "n")})
     return gaps.select("stcotr_code", F.round("gap_avg", 2).alias("gap_avg"), F.round("gap", 2).alias("gap"))
 
 

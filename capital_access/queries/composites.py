@@ -34,6 +34,7 @@ from capital_access.queries.roles import (
     with_sql,
     zones,
 )
+from capital_access.session import settle
 
 
 def rounded(df, digits: int = 4):
@@ -539,7 +540,7 @@ def q_attainment_summary(spark, sf):
 
 def _combined(spark, sf):
     """All summaries of the study areas side by side."""
-    analysis = _analysis(spark, sf)
+    analysis = settle(_analysis(spark, sf), "analysis")
     return gaps.combine_summaries(
         gaps.attainment_summary(attainment(spark, sf), STUDY),
         _ownership(spark, sf),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -18,6 +18,8 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Call sites are recorded per column expression, which slows the writing of wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -43,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_dir(spark)}/capital_access/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a reduced table to the shared folder and go on from there; runs one job.
+
+    Used where a table aggregated from the facts is read more than once:
+    without it, each reader prunes other columns, nothing is reused, and the
+    facts are scanned again. The written table also survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
