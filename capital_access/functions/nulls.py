@@ -27,7 +27,7 @@ def to_integer(c: Column | str) -> Column:
 
 
 def to_money(c: Column | str) -> Column:
-    """Cents-exact decimal, so that sums do not depend on the order of rows."""
+    """Cents-exact decimal, the type to store amounts in."""
     return as_col(c).try_cast(MONEY)
 
 
@@ -60,6 +60,16 @@ def sum_of(c: Column | str, na_rm: bool = True) -> Column:
     return total if na_rm else _unless_missing(c, total)
 
 
+def cents(c: Column | str) -> Column:
+    """Dollars as a whole number of cents."""
+    return F.rint(as_col(c) * 100).cast("long")
+
+
+def money_sum(c: Column | str, na_rm: bool = True) -> Column:
+    """Sum of dollars, added up in whole cents: exact in any order of rows, and without decimals."""
+    return sum_of(cents(c), na_rm) / 100.0
+
+
 def mean_of(c: Column | str, na_rm: bool = True) -> Column:
     c = as_col(c)
     return F.avg(c) if na_rm else _unless_missing(c, F.avg(c))

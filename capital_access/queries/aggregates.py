@@ -8,9 +8,8 @@ from capital_access.functions.columns import containing, row_sum
 from capital_access.functions.nulls import (
     max_of,
     mean_of,
+    money_sum,
     ratio,
-    sum_of,
-    to_money,
     weighted_mean,
 )
 from capital_access.functions.text import pad_code
@@ -48,8 +47,8 @@ def _loans_with_gaps(spark, sf):
 )
 def q_agg_sum_na_modes(spark, sf):
     return _loans_with_gaps(spark, sf).groupBy("stco_code", "purpose").agg(
-        sum_of("amt").cast("double").alias("skipping"),
-        sum_of("amt", na_rm=False).cast("double").alias("strict"),
+        money_sum("amt").alias("skipping"),
+        money_sum("amt", na_rm=False).alias("strict"),
     )
 
 
@@ -64,11 +63,11 @@ def q_agg_sum_na_modes(spark, sf):
     """,
 )
 def q_agg_mean_na_modes(spark, sf):
-    """Means by decimal sum and count, exact in any order of rows."""
+    """Means by sum in cents and count, exact in any order of rows."""
     sums = _loans_with_gaps(spark, sf).groupBy("stco_code").agg(
-        F.sum("amt").alias("s"),
+        money_sum("amt").alias("s"),
         F.count("amt").alias("n"),
-        sum_of("amt", na_rm=False).alias("strict_s"),
+        money_sum("amt", na_rm=False).alias("strict_s"),
         max_of("amt", na_rm=False).cast("double").alias("strict_max"),
     )
     return sums.select(
@@ -137,7 +136,7 @@ def q_agg_weighted_mean(spark, sf):
 )
 def q_agg_many_cols_funcs(spark, sf):
     """Three columns by two functions in one pass, names generated."""
-    functions = {"sum": lambda c: sum_of(to_money(c)).cast("double"), "max": max_of}
+    functions = {"sum": lambda c: money_sum(c), "max": max_of}
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*many(columns, functions))
 
@@ -181,8 +180,8 @@ def q_agg_flag_weighted_sum(spark, sf):
     )
     amount = F.col("amt_tot")
     return flags.groupBy("stco_code", "year").agg(
-        sum_of(amount * F.col("approved"), na_rm=False).cast("double").alias("approved"),
-        sum_of(amount * F.col("urgent"), na_rm=False).cast("double").alias("urgent"),
+        money_sum(amount * F.col("approved"), na_rm=False).alias("approved"),
+        money_sum(amount * F.col("urgent"), na_rm=False).alias("urgent"),
         F.max("approved").alias("any"),
     ).filter("any = 1").drop("any")
 
@@ -220,7 +219,7 @@ def q_group_by_expression(spark, sf):
     """A condition added to the existing keys."""
     keys = ["c_mktsegment"]
     return table(spark, sf, "customer").groupBy(*keys, (F.col("c_acctbal") < 0).alias("negative")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_money("c_acctbal")).cast("double").alias("balance")
+        F.count(F.lit(1)).alias("n"), money_sum("c_acctbal").alias("balance")
     )
 
 
@@ -235,7 +234,7 @@ def q_group_by_expression(spark, sf):
 )
 def q_agg_ratio_of_sums(spark, sf):
     """A sum over a sum; missing when the denominator is zero."""
-    price = F.sum(to_money("l_extendedprice"))
+    price = money_sum("l_extendedprice")
     return table(spark, sf, "lineitem").groupBy("l_linenumber").agg(
         ratio(price, F.sum("l_quantity")).alias("price"),
         ratio(price, F.count_if(F.col("l_quantity") > 99)).alias("none"),
@@ -254,7 +253,7 @@ def q_agg_ratio_of_sums(spark, sf):
 def q_describe_six_number(spark, sf):
     """Exact quartiles without gathering the column in one task."""
     line = table(spark, sf, "lineitem").select(
-        to_money(F.when(F.col("l_orderkey") % 10 != 0, F.col("l_extendedprice"))).alias("v")
+        F.when(F.col("l_orderkey") % 10 != 0, F.col("l_extendedprice")).alias("v")
     )
     return six_numbers(line, "v").withColumn("mean", F.round("mean", 4))
 
@@ -314,7 +313,7 @@ def lending_per_worker(spark, sf):
     staff = line.join(orders, "l_orderkey").join(county, "c_custkey").groupBy("stco_code").agg(
         F.sum("l_quantity").alias("workers")
     )
-    lent = loans(spark, sf).groupBy("stco_code").agg(F.sum("amt_tot").cast("double").alias("amt"))
+    lent = loans(spark, sf).groupBy("stco_code").agg(money_sum("amt_tot").alias("amt"))
     return lent.join(staff, "stco_code").withColumn("rate", ratio("amt", "workers"))
 
 
@@ -351,7 +350,7 @@ def q_peer_gap(spark, sf):
 def q_peer_gap_avg(spark, sf):
     """Every tract against the weighted average and the best tract: the compared set grows with the data."""
     rates = loans(spark, sf).filter("year >= 1998").groupBy("stcotr_code").agg(
-        F.sum("amt_tot").cast("double").alias("amt"), F.count(F.lit(1)).alias("n")
+        money_sum("amt_tot").alias("amt"), F.count(F.lit(1)).alias("n")
     ).withColumn("rate", ratio("amt", "n"))
     gaps = compare_to_peers(settle(rates), {"gap": ("rate", "n")})
     return gaps.select("stcotr_code", F.round("gap_avg", 2).alias("gap_avg"), F.round("gap", 2).alias("gap"))
@@ -373,8 +372,10 @@ def q_peer_gap_avg(spark, sf):
 def q_pivot_sum_prefix(spark, sf):
     """Sums by purpose as columns; an unknown purpose has the column amt_NA."""
     loans_ = lender(spark, sf).withColumn("purpose", F.nullif("purpose", F.lit("error")))
-    wide = widen(loans_, ["year", "stcotr_code"], "purpose", ["click", "view", "NA"], "amt_tot", prefix="amt_")
-    return wide.select("year", "stcotr_code", *[F.col(c).cast("double").alias(c) for c in containing(wide, "amt_")])
+    return widen(
+        loans_, ["year", "stcotr_code"], "purpose", ["click", "view", "NA"], "amt_tot",
+        aggregate=lambda c: F.when(F.count(c) > 0, money_sum(c)), prefix="amt_",
+    )
 
 
 @query(
@@ -402,10 +403,10 @@ def q_pivot_two_name_columns(spark, sf):
     """,
 )
 def q_pivot_two_values(spark, sf):
-    values = {"qty": "l_quantity", "price": to_money("l_extendedprice")}
+    values = {"qty": "l_quantity", "price": "l_extendedprice"}
     return widen(
         table(spark, sf, "lineitem"), ["l_linenumber"], "l_linestatus", ["F", "O"], values,
-        aggregate=lambda c: F.sum(c).cast("double"),
+        aggregate=lambda c: F.when(F.count(c) > 0, money_sum(c)),
     )
 
 

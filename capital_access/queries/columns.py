@@ -16,7 +16,7 @@ from capital_access.functions.columns import (
     without,
 )
 from capital_access.functions.dates import month_date_year, serial_year
-from capital_access.functions.nulls import fill_missing, is_in, not_in, ratio, to_integer, to_money
+from capital_access.functions.nulls import fill_missing, is_in, money_sum, not_in, ratio, to_integer
 from capital_access.functions.text import (
     COUNTY_NAME_RULES,
     apply_rules,
@@ -133,7 +133,7 @@ def q_bind_group_summaries(spark, sf):
     """Two summaries of the same groups side by side, joined on their key."""
     customer = table(spark, sf, "customer")
     sizes = customer.groupBy("c_nationkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_money("c_acctbal")).cast("double").alias("balance")
+        F.count(F.lit(1)).alias("n"), money_sum("c_acctbal").alias("balance")
     )
     extremes = customer.groupBy("c_nationkey").agg(
         F.count_if(F.col("c_acctbal") < 0).alias("n_negative"), F.max("c_acctbal").alias("best")
@@ -249,7 +249,7 @@ def q_filter_between_years(spark, sf):
         F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")
     )
     return orders.filter(inside).groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_money("o_totalprice")).cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("o_totalprice").alias("amt")
     )
 
 
@@ -266,7 +266,7 @@ def q_filter_parameterised(spark, sf):
     urgent = F.col("purpose") == "1-URGENT"
     kept = loans(spark, sf).filter(STUDY.in_area()).filter(urgent).filter(F.col("year") >= STUDY.first_year)
     return kept.groupBy(STUDY.code).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amt_tot").cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("amt_tot").alias("amt")
     )
 
 
@@ -281,13 +281,13 @@ def q_filter_detail_level(spark, sf):
     """County totals from a table that holds the detail and county and metro subtotals."""
     facts = loans(spark, sf).select("stco_code", "year", "amt_tot")
     detail = facts.withColumn("level", F.lit(DISCLOSURE_LEVELS["detail"]))
-    county = facts.groupBy("stco_code", "year").agg(F.sum("amt_tot").cast("decimal(18,2)").alias("amt_tot"))
-    metro = facts.groupBy("year").agg(F.sum("amt_tot").cast("decimal(18,2)").alias("amt_tot"))
+    county = facts.groupBy("stco_code", "year").agg(money_sum("amt_tot").alias("amt_tot"))
+    metro = facts.groupBy("year").agg(money_sum("amt_tot").alias("amt_tot"))
     mixed = detail.unionByName(county.withColumn("level", F.lit(DISCLOSURE_LEVELS["county"]))).unionByName(
         metro.withColumns({"level": F.lit(DISCLOSURE_LEVELS["metro"]), "stco_code": F.lit(None).cast("string")})
     )
     return keep_level(mixed, "detail").groupBy("stco_code", "year").agg(
-        F.sum("amt_tot").cast("double").alias("amt"), F.count(F.lit(1)).alias("n")
+        money_sum("amt_tot").alias("amt"), F.count(F.lit(1)).alias("n")
     )
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capital_access.functions.columns import containing, pick
-from capital_access.functions.nulls import to_money
+from capital_access.functions.columns import pick
+from capital_access.functions.nulls import cents
 from capital_access.functions.text import pad_code
 from capital_access.operators.reshape import vocabulary
 from capital_access.operators.spatial import ids_overlapping, rectangle
@@ -108,7 +108,7 @@ def _lender_raw(spark, sf):
         race.alias("race"),
         F.when(F.col("o_orderkey") % 2 == 0, "NO").otherwise("YES").alias("hispanicorigin"),
         F.when(F.col("o_orderkey") % 97 == 0, "unknown")
-        .otherwise(to_money("o_totalprice").cast("string")).alias("originalamount"),
+        .otherwise(F.col("o_totalprice").cast("string")).alias("originalamount"),
         F.col("o_orderpriority").alias("purpose"),
         F.lit("52").alias("naicscode"),
         F.col("o_orderkey").cast("string").alias("transactionid"),
@@ -144,14 +144,13 @@ def q_community_lender_clean(spark, sf):
     "yearly_program_totals",
     with_sql("tracts", "loans")
     + """
-    SELECT year, purpose, CAST(sum(amt_tot) AS DOUBLE) AS amt, round(CAST(sum(amt_tot) AS DOUBLE) / count(*), 4) AS mean
+    SELECT year, purpose, CAST(sum(amt_tot) * 100 AS BIGINT) AS amt, CAST(sum(amt_tot) * 100 AS DOUBLE) / count(*) AS mean
     FROM loans GROUP BY ALL
     """,
 )
 def q_yearly_program_totals(spark, sf):
-    """Sum and mean per year and program, newest first."""
-    totals = programs.yearly_totals(loans(spark, sf).withColumn("v", F.col("amt_tot")), "v", ("year", "purpose"))
-    return totals.withColumns({"amt": F.col("amt").cast("double"), "mean": F.round(F.col("mean").cast("double"), 4)})
+    """Sum and mean per year and program in cents, newest first."""
+    return programs.yearly_totals(loans(spark, sf).withColumn("v", cents("amt_tot")), "v", ("year", "purpose"))
 
 
 @query(
@@ -159,7 +158,7 @@ def q_yearly_program_totals(spark, sf):
     """
     WITH t AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 2 END AS d,
                       CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
-    SELECT CAST(year(d) AS INTEGER) AS year, CAST(sum(v) AS DOUBLE) AS amt, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS mean
+    SELECT CAST(year(d) AS INTEGER) AS year, CAST(sum(v) * 100 AS BIGINT) AS amt, CAST(sum(v) * 100 AS DOUBLE) / count(*) AS mean
     FROM t GROUP BY 1
     """,
 )
@@ -169,10 +168,9 @@ def q_award_year_totals(spark, sf):
     raw = table(spark, sf, "orders").select(
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("January "), F.year(day).cast("string")))
         .otherwise(F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string")).alias("Award Year"),
-        to_money("o_totalprice").alias("Award Amount"),
+        cents("o_totalprice").alias("Award Amount"),
     )
-    totals = programs.yearly_totals(programs.clean_awards(raw), "Award Amount")
-    return totals.withColumns({"amt": F.col("amt").cast("double"), "mean": F.round(F.col("mean").cast("double"), 4)})
+    return programs.yearly_totals(programs.clean_awards(raw), "Award Amount")
 
 
 # ---- merges --------------------------------------------------------------------
@@ -237,16 +235,10 @@ STUDIED_SQL = (
 )
 
 
-def _doubles(df):
-    """Decimal columns as doubles; they hold exact sums."""
-    exact = [f.name for f in df.schema.fields if f.dataType.typeName() == "decimal"]
-    return df.withColumns({c: F.col(c).cast("double") for c in exact})
-
-
 @query("tract_master", MASTER_SQL + "SELECT * FROM master")
 def q_tract_master(spark, sf):
     """Employment with both tract programs by year, and the zone."""
-    return _doubles(_master(spark, sf))
+    return rounded(_master(spark, sf), 2)
 
 
 def _analysis(spark, sf):
@@ -256,7 +248,7 @@ def _analysis(spark, sf):
 @query("analysis_master", STUDIED_SQL + "SELECT * FROM analysis")
 def q_analysis_master(spark, sf):
     """The tract master cut to the study's years and areas."""
-    return _doubles(_analysis(spark, sf))
+    return rounded(_analysis(spark, sf), 2)
 
 
 EXPORTS_SQL = f"""
@@ -282,10 +274,8 @@ AWARDED_SQL = """
 
 
 def _exported(spark, sf):
-    """Export credit by county; cents-exact amounts, so that sums do not depend on row order."""
     cleaned = programs.clean_export_credit(exports(spark, sf))
-    exact = cleaned.withColumns({c: to_money(c) for c in containing(cleaned, "amt_")})
-    return merge.exporters_by_county(exact, exporter_county(spark, sf), county_metro(spark, sf))
+    return merge.exporters_by_county(cleaned, exporter_county(spark, sf), county_metro(spark, sf))
 
 
 def _awarded(spark, sf):
@@ -308,9 +298,9 @@ def q_county_program_merge(spark, sf):
     columns = ["program", "stco_code", "year", "stco_name", "cbsa_name", "amt_tot", "amt_small", "amt_woman", "amt_minority"]
     exported = _exported(spark, sf).withColumn("program", F.lit("export"))
     awarded = _awarded(spark, sf).withColumns(
-        {"program": F.lit("award"), "amt_small": F.lit(None).cast("decimal(18,2)"), "amt_woman": F.col("amt_female")}
+        {"program": F.lit("award"), "amt_small": F.lit(None).cast("double"), "amt_woman": F.col("amt_female")}
     )
-    return _doubles(exported.select(columns).unionByName(awarded.select(columns)))
+    return rounded(exported.select(columns).unionByName(awarded.select(columns)), 2)
 
 
 @query(
@@ -326,17 +316,19 @@ def q_county_program_merge(spark, sf):
 )
 def q_county_program_average(spark, sf):
     """Yearly mean of each export amount per study area."""
-    return rounded(merge.program_average(_doubles(_exported(spark, sf)), STUDY, "_EXIM", known_county=True), 2)
+    return rounded(merge.program_average(_exported(spark, sf), STUDY, "_EXIM", known_county=True), 2)
 
 
 @query(
     "program_shares",
     with_sql("tracts", "loans")
     + f""", {EXPORTS_SQL}, {AWARDED_SQL}
-    SELECT 'export' AS program, stco_code, year, amt_small / nullif(amt_tot, 0) AS pct_small,
-           amt_woman / nullif(amt_tot, 0) AS pct_woman, amt_minority / nullif(amt_tot, 0) AS pct_minority FROM exported
+    SELECT 'export' AS program, stco_code, year, round(amt_small / nullif(amt_tot, 0), 8) AS pct_small,
+           round(amt_woman / nullif(amt_tot, 0), 8) AS pct_woman, round(amt_minority / nullif(amt_tot, 0), 8) AS pct_minority
+    FROM exported
     UNION ALL
-    SELECT 'award', stco_code, year, NULL, amt_female / nullif(amt_tot, 0), amt_minority / nullif(amt_tot, 0) FROM awarded
+    SELECT 'award', stco_code, year, NULL, round(amt_female / nullif(amt_tot, 0), 8), round(amt_minority / nullif(amt_tot, 0), 8)
+    FROM awarded
     """,
 )
 def q_program_shares(spark, sf):
@@ -348,7 +340,7 @@ def q_program_shares(spark, sf):
         F.lit("award").alias("program"), "stco_code", "year", F.lit(None).cast("double").alias("pct_small"),
         F.col("pct_female").alias("pct_woman"), "pct_minority",
     )
-    return exported.unionByName(awarded)
+    return rounded(exported.unionByName(awarded), 8)
 
 
 # ---- lending per worker ----------------------------------------------------------
@@ -546,8 +538,8 @@ def _combined(spark, sf):
         _ownership(spark, sf),
         gaps.per_worker_summary(analysis, "amt_tot", STUDY, "_FDIC"),
         gaps.per_worker_summary(analysis, "amt_tot_CDFI", STUDY, "_CDFI"),
-        merge.program_average(_doubles(_exported(spark, sf)), STUDY, "_EXIM", known_county=True),
-        merge.program_average(_doubles(_awarded(spark, sf)), STUDY, "_SSTR"),
+        merge.program_average(_exported(spark, sf), STUDY, "_EXIM", known_county=True),
+        merge.program_average(_awarded(spark, sf), STUDY, "_SSTR"),
         STUDY,
     )
 
@@ -660,17 +652,19 @@ def _city_tracts(spark, sf):
 
 
 def _panel_inputs(spark, sf):
-    """Awards, guaranteed loans and tract programs, each with the predicates of the three levels."""
+    """Awards, guaranteed loans and tract programs in cents, each with the predicates of the three levels."""
     metro = county_metro(spark, sf).select("stco_code", "cbsa_code")
     in_city = _city_tracts(spark, sf).withColumn("in_city", F.lit(True))
-    located = loans(spark, sf).join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
+    located = loans(spark, sf).withColumn("amt_tot", cents("amt_tot")).join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
     levels = panel.geo_levels(F.col("in_city"), TARGET_METRO, TARGET_COUNTY)
     awards = located.withColumnRenamed("amt_tot", "Award Amount").filter("decision = 'P'")
     guaranteed = located.withColumnRenamed("amt_tot", "GrossApproval").filter("decision <> 'P'").withColumn(
         "Program", F.when(F.col("purpose") < "3", "7A").otherwise("504")
     )
     amounts = ["year", "stcotr_code", "amt_tot", "n_tot", "amt_stot", "n_stot", "amt_tot_CDFI", "n_tot_CDFI"]
-    master = _master(spark, sf).select(*amounts).withColumn("stco_code", F.substring("stcotr_code", 1, 5))
+    master = _master(spark, sf).select(*amounts).withColumns(
+        {"stco_code": F.substring("stcotr_code", 1, 5), **{c: cents(c) for c in amounts if c.startswith("amt_")}}
+    )
     tract_rows = master.join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
     return (awards, levels), (guaranteed, levels), (tract_rows, levels)
 
@@ -690,14 +684,14 @@ def _program_rows(cte: str, where: str, geo: str, total: str, mean: str, kind: s
 def _panel_sql(levels: dict[str, str]) -> str:
     parts = []
     for geo, where in levels.items():
-        total = "CAST(sum(amt_tot) AS DOUBLE)"
+        total = "CAST(sum(amt_tot) * 100 AS DOUBLE)"
         parts.append(_program_rows("placed", f"{where} AND decision = 'P'", geo, total, f"{total} / count(*)", "SBIR", "'SBIR'", "year"))
         parts.append(
             _program_rows("placed", f"{where} AND decision <> 'P'", geo, total, f"{total} / count(*)", "SBA",
                           "'SBA ' || CASE WHEN purpose < '3' THEN '7A' ELSE '504' END", "ALL")
         )
         for kind, column in (("FDIC", "tot"), ("FDICsmall", "stot"), ("CDFI", "tot_CDFI")):
-            total = f'coalesce(sum("amt_{column}"), 0)'
+            total = f'coalesce(sum(CAST(round("amt_{column}" * 100) AS BIGINT)), 0)::DOUBLE'
             parts.append(
                 _program_rows("tract_rows", where, geo, total, f'{total} / nullif(sum("n_{column}"), 0)', kind, f"'{kind}'", "year")
             )
@@ -728,24 +722,24 @@ LEVELS_SQL = {
 
 @query(
     "geo_level_panel",
-    PANEL_SQL + f", panel AS ({_panel_sql(LEVELS_SQL)}) SELECT * REPLACE (round(value, 4) AS value) FROM panel",
+    PANEL_SQL + f", panel AS ({_panel_sql(LEVELS_SQL)}) SELECT * FROM panel",
 )
 def q_geo_level_panel(spark, sf):
     """All programs at the metro, the county and the city, by year."""
-    return rounded(_panel(spark, sf))
+    return _panel(spark, sf)
 
 
 @query(
     "program_panel",
     PANEL_SQL
     + f""", panel AS ({_panel_sql({'county': LEVELS_SQL['county']})})
-    SELECT * EXCLUDE (geo) REPLACE (round(value, 4) AS value) FROM panel
+    SELECT * EXCLUDE (geo) FROM panel
     """,
 )
 def q_program_panel(spark, sf):
     """All programs at one geography, given as a predicate."""
     inputs = [(df, {"county": levels["county"]}) for df, levels in _panel_inputs(spark, sf)]
-    return rounded(panel.program_panel(*inputs, STUDY.panel_years)).drop("geo")
+    return panel.program_panel(*inputs, STUDY.panel_years).drop("geo")
 
 
 @query(
@@ -756,17 +750,14 @@ def q_program_panel(spark, sf):
     + ", ".join(f'sum(value) FILTER (WHERE year = {y}) AS "{y}"' for y in range(1996, 2001))
     + """ FROM panel GROUP BY ALL)
     SELECT geo, "Program", measure, type, """
-    + ", ".join(f'round("{y}", 4) AS "{y}"' for y in range(1996, 2001))
+    + ", ".join(f'"{y}"' for y in range(1996, 2001))
     + """, round(pow("2000" / nullif("1996", 0), 0.25) - 1, 6) AS "CAGR_96_00" FROM wide
     """,
 )
 def q_growth_rate(spark, sf):
     """Years side by side with the compound annual growth."""
     wide = panel.growth_rate(_panel(spark, sf), 1996, 2000)
-    years = [str(y) for y in range(1996, 2001)]
-    return wide.withColumns(
-        {**{y: F.round(F.col(f"`{y}`"), 4) for y in years}, "CAGR_96_00": F.round("CAGR_96_00", 6)}
-    )
+    return wide.withColumn("CAGR_96_00", F.round("CAGR_96_00", 6))
 
 
 @query(

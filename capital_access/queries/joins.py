@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capital_access.config import select_codes
-from capital_access.functions.nulls import to_money
+from capital_access.functions.nulls import money_sum
 from capital_access.functions.text import pad_code
 from capital_access.operators.joins import (
     drop_matching,
@@ -78,7 +78,7 @@ def q_full_outer_two_key(spark, sf):
     """Two programs by customer and year, each reduced before the join."""
     orders = table(spark, sf, "orders")
     ordered = orders.groupBy(F.col("o_custkey").alias("cust"), F.year("o_orderdate").alias("year")).agg(
-        F.sum(to_money("o_totalprice")).cast("double").alias("ordered")
+        money_sum("o_totalprice").alias("ordered")
     )
     line = table(spark, sf, "lineitem").select("l_orderkey", F.year("l_shipdate").alias("year"))
     keyed = line.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust")), "l_orderkey")
@@ -98,7 +98,7 @@ def q_full_outer_two_key(spark, sf):
 )
 def q_natural_left_join(spark, sf):
     """No keys are given: the shared column decides."""
-    sums = loans(spark, sf).groupBy("stco_code", "year").agg(F.sum("amt_tot").cast("double").alias("amt"))
+    sums = loans(spark, sf).groupBy("stco_code", "year").agg(money_sum("amt_tot").alias("amt"))
     names = county_metro(spark, sf).filter("cbsa_code <> '00002'").select("stco_code", "stco_name", "cbsa_name")
     return natural_left_join(sums, names)
 
@@ -157,7 +157,7 @@ def q_null_safe_full_join(spark, sf):
 )
 def q_full_join_hot_side(spark, sf):
     """Full join of many loans per tract with one row per zone."""
-    facts = loans(spark, sf).filter("year = 1997").select("stcotr_code", F.col("amt_tot").cast("double").alias("amt"))
+    facts = loans(spark, sf).filter("year = 1997").select("stcotr_code", F.col("amt_tot").alias("amt"))
     return full_join(facts, zones(spark, sf), "stcotr_code")
 
 
@@ -177,7 +177,7 @@ def q_star_join_summaries(spark, sf):
     """One row per county with four summaries beside it; two of them share one aggregate."""
     facts, places = loans(spark, sf), tracts(spark, sf)
     per_county = facts.groupBy("stco_code").agg(
-        F.count(F.lit(1)).alias("n_loans"), F.sum("amt_tot").cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n_loans"), money_sum("amt_tot").alias("amt")
     )
     urgent = facts.filter("purpose = '1-URGENT'").groupBy("stco_code").agg(F.count(F.lit(1)).alias("n_urgent"))
     n_tracts = places.groupBy("stco_code").agg(F.count(F.lit(1)).alias("n_tracts"))
@@ -289,7 +289,7 @@ def q_county_name_match(spark, sf):
     )
     located = locate_by_county_name(spelt, counties, "ProjectCounty", "ProjectState")
     return located.groupBy("o_orderpriority", F.col("stco_code").alias("county")).agg(
-        F.count(F.lit(1)).alias("n"), to_money(F.max("o_totalprice")).cast("double").alias("largest")
+        F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("largest")
     )
 
 
@@ -322,7 +322,7 @@ def q_semi_join_derived(spark, sf):
         county_metro(spark, sf), "stco_code", F.col("cbsa_code").isin("00001", "00003"), ["03001", "24008"]
     )
     return keep_matching(loans(spark, sf), codes, "stco_code").groupBy("stco_code").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amt_tot").cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("amt_tot").alias("amt")
     )
 
 
@@ -406,7 +406,7 @@ def _guaranteed(spark, sf):
     base = loans(spark, sf).select(
         F.col("year").cast("string").alias("ApprovalFiscalYear"),
         F.when(F.col("purpose") < "3", "7A").otherwise("504").alias("Program"),
-        F.col("amt_tot").cast("double").alias("GrossApproval"),
+        F.col("amt_tot").alias("GrossApproval"),
         F.substring("stco_code", 1, 2).alias("BorrState"),
         F.substring("stco_code", 1, 2).alias("ProjectState"),
         F.col("stco_code").alias("ProjectCounty"),
@@ -490,7 +490,7 @@ def q_sort_desc_year(spark, sf):
     """Newest year first, unknown year last."""
     orders = table(spark, sf, "orders")
     return orders.groupBy(F.nullif(F.year("o_orderdate"), F.lit(1998)).alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_money("o_totalprice")).cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("o_totalprice").alias("amt")
     ).orderBy(F.col("year").desc_nulls_last())
 
 

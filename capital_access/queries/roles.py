@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from capital_access.config import StudyConfig
-from capital_access.functions.nulls import to_money
+from capital_access.functions.nulls import money_sum
 from capital_access.functions.text import pad_code
 from capital_access.operators.joins import left_join
 
@@ -81,7 +81,7 @@ def loans(spark, sf) -> DataFrame:
         F.year("o_orderdate").alias("year"),
         F.col("o_orderpriority").alias("purpose"),
         F.col("o_orderstatus").alias("decision"),
-        to_money("o_totalprice").alias("amt_tot"),
+        F.col("o_totalprice").alias("amt_tot"),
     )
     return orders.join(tracts(spark, sf), "c_custkey")
 
@@ -122,7 +122,7 @@ def blocks(spark, sf, ship_year: int) -> DataFrame:
 
 def disclosure(spark, sf) -> DataFrame:
     """Counts and amounts by tract, year and size band, as the disclosure extract has them."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", to_money("l_extendedprice").alias("price"))
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"))
     keyed = line.join(
         loans(spark, sf).select(F.col("loan_id").alias("l_orderkey"), "stcotr_code", "year"), "l_orderkey"
     )
@@ -135,7 +135,7 @@ def disclosure(spark, sf) -> DataFrame:
     }
     sums = keyed.groupBy("stcotr_code", "year").agg(
         *[F.count_if(c).alias(f"n_{b}") for b, c in bands.items()],
-        *[F.coalesce(F.sum(F.when(c, price)), F.lit(0)).cast("decimal(18,2)").alias(f"amt_{b}")
+        *[money_sum(F.when(c, price)).alias(f"amt_{b}")
           for b, c in bands.items()],
     )
     code = F.col("stcotr_code")
@@ -145,7 +145,7 @@ def disclosure(spark, sf) -> DataFrame:
             "co_code": F.substring(code, 3, 3),
             "tract_code": F.concat(F.substring(code, 6, 4), F.lit("."), F.substring(code, 10, 2)),
             "n_tot": F.col("n_below100k") + F.col("n_100to250k") + F.col("n_250kto1m"),
-            "amt_tot": (F.col("amt_below100k") + F.col("amt_100to250k") + F.col("amt_250kto1m")).cast("decimal(18,2)"),
+            "amt_tot": F.col("amt_below100k") + F.col("amt_100to250k") + F.col("amt_250kto1m"),
         }
     ).drop("stcotr_code")
 
@@ -156,14 +156,14 @@ def lender(spark, sf) -> DataFrame:
         F.col("user_id").alias("c_custkey"),
         (F.col("event_id") % 7 + 1995).cast("int").alias("year"),
         F.col("event_type").alias("purpose"),
-        to_money("value").alias("amt_tot"),
+        F.col("value").alias("amt_tot"),
     )
     return events.join(tracts(spark, sf).select("c_custkey", "stcotr_code"), "c_custkey").drop("c_custkey")
 
 
 def exports(spark, sf) -> DataFrame:
     """Export credit, all text as the extract has it."""
-    price = to_money("o_totalprice")
+    price = F.col("o_totalprice")
     return table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("unique_identifier"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Working Capital")
@@ -171,8 +171,8 @@ def exports(spark, sf) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "Approved").otherwise("Declined").alias("decision"),
         F.year("o_orderdate").cast("string").alias("fiscal_year"),
         price.cast("string").alias("approved_declined_amount"),
-        F.when(price < 200000, price).otherwise(0).cast("string").alias("small_business_authorized_amount"),
-        F.when(F.col("o_orderkey") % 2 == 0, price).otherwise(0).cast("string").alias("woman_owned_authorized_amount"),
+        F.when(price < 200000, price).otherwise(0.0).cast("string").alias("small_business_authorized_amount"),
+        F.when(F.col("o_orderkey") % 2 == 0, price).otherwise(0.0).cast("string").alias("woman_owned_authorized_amount"),
         F.when(F.col("o_orderkey") % 3 == 0, price.cast("string")).when(F.col("o_orderkey") % 1000 == 1, "n/a")
         .otherwise("0").alias("minority_owned_authorized_amount"),
         F.substring("o_orderpriority", 1, 1).alias("primary_export_product_naics_sic_code"),

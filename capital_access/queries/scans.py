@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capital_access.functions.nulls import to_integer, to_money, to_number
+from capital_access.functions.nulls import money_sum, to_integer, to_number
 from capital_access.functions.text import pad_code
 from capital_access.operators.joins import join_renamed
 from capital_access.operators.rows import bind_rows
@@ -26,7 +26,7 @@ def _orders(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey",
         F.year("o_orderdate").alias("year"),
-        to_money("o_totalprice").alias("amt"),
+        F.col("o_totalprice").alias("amt"),
         "o_orderpriority",
     )
 
@@ -48,7 +48,7 @@ def scan_multi_file_union(spark, sf):
     both = bind_rows(*[yearly_parquet(spark, f"{root}/{part}") for part in ("old", "new")])
     return both.groupBy("year").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("amt").cast("double").alias("amt"),
+        money_sum("amt").alias("amt"),
         F.count("o_orderpriority").alias("n_with_priority"),
     )
 
@@ -89,7 +89,7 @@ def scan_zip_members(spark, sf):
     patterns = [r"^exp_aggr\.dat$", r"^\d\dexp_aggr\.dat$", r"^cra20\d\d_Aggr_A11\.dat$"]
     fields = fixed_width(zip_lines(_zipped(lines), patterns), [("year", 4), ("amt", 14)])
     return fields.groupBy(to_integer("year").alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_money(F.trim("amt"))).cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum(to_number("amt")).alias("amt")
     )
 
 
@@ -109,7 +109,7 @@ def fixed_width_parse(spark, sf):
             F.lpad(F.col("o_custkey").cast("string"), 9, "0"),
             F.year("o_orderdate").cast("string"),
             "o_orderstatus",
-            F.lpad(to_money("o_totalprice").cast("string"), 16, " "),
+            F.lpad(F.col("o_totalprice").cast("string"), 16, " "),
             F.rpad("o_orderpriority", 20, " "),
         ).alias("value")
     )
@@ -149,10 +149,10 @@ def csv_typed_scan(spark, sf):
     """One year's CSV, found by a path that holds the year, with a declared schema."""
     root, year = scratch_path(spark, "typed"), 1999
     line = table(spark, sf, "lineitem").filter(F.year("l_shipdate") == year)
-    save_csv(line.select("l_returnflag", "l_quantity", to_money("l_extendedprice").alias("price")), f"{root}/{year}")
-    schema = "l_returnflag string, l_quantity double, price decimal(18,2)"
+    save_csv(line.select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("price")), f"{root}/{year}")
+    schema = "l_returnflag string, l_quantity double, price double"
     return csv_typed(spark, f"{root}/{year}", schema).groupBy("l_returnflag").agg(
-        F.sum("l_quantity").alias("qty"), F.sum("price").cast("double").alias("price")
+        F.sum("l_quantity").alias("qty"), money_sum("price").alias("price")
     )
 
 
@@ -170,7 +170,7 @@ def json_records_scan(spark, sf):
     records = json_records(spark, path, "event_id long, user_id long, event_type string, value double")
     return records.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(to_money("value")).cast("double").alias("amt"),
+        money_sum("value").alias("amt"),
         F.count_distinct("user_id").alias("users"),
     )
 
@@ -196,7 +196,7 @@ def bundle_roundtrip(spark, sf):
     back = load_bundle(spark, root)
     recent = back["loans_cleaned"].filter("year >= 1998")
     return recent.join(back["county_cleaned"], "stco_code").groupBy("cbsa_name", "year").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amt_tot").cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("amt_tot").alias("amt")
     )
 
 
@@ -209,7 +209,7 @@ def bundle_roundtrip(spark, sf):
 )
 def csv_sink_roundtrip(spark, sf):
     path = scratch_path(spark, "panel")
-    panel = loans(spark, sf).groupBy("stco_code", "year").agg(F.sum("amt_tot").cast("double").alias("amt"))
+    panel = loans(spark, sf).groupBy("stco_code", "year").agg(money_sum("amt_tot").alias("amt"))
     save_csv(panel, path)
     return csv_typed(spark, path, "stco_code string, year int, amt double")
 
@@ -251,6 +251,6 @@ def inline_dim_join(spark, sf):
     names = spark.createDataFrame([("1-URGENT", "Urgent"), ("2-HIGH", "High"), ("3-MEDIUM", "Medium")], schema)
     names = bind_rows(names, spark.createDataFrame([("5-LOW", "Low")], schema))
     sums = _orders(spark, sf).groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amt").cast("double").alias("amt")
+        F.count(F.lit(1)).alias("n"), money_sum("amt").alias("amt")
     )
     return join_renamed(sums, names, {"o_orderpriority": "abb"}).withColumnRenamed("name", "priority_name")
