@@ -16,6 +16,7 @@ from capital_access.operators.joins import (
     left_join_from_dim,
     natural_left_join,
     null_safe_full_join,
+    null_safe_join,
 )
 from capital_access.operators.reshape import vocabulary, widen
 
@@ -92,15 +93,26 @@ def tract_master(
     lender: DataFrame,
     zones: DataFrame,
     purposes: Sequence[str] | None = None,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """Every tract with employment, its lending of both programs by year, and its zone.
 
     ``disclosure`` holds rows as ``disclosure_tracts`` makes them, ``lender``
     one row per loan, ``zones`` one row per designated tract. A tract without
     lending keeps one row with a missing year.
+
+    Disclosure rows may repeat a tract and year any number of times; the joins
+    are then written so that Spark can split a hot tract, and read the
+    disclosure keys a second time. ``one_row_per_key`` says that they do not
+    repeat, so no tract can be hot and each input is read once.
     """
-    lending = null_safe_full_join(disclosure, lender_tracts(lender, purposes), ["year", "stcotr_code"])
-    merged = left_join_from_dim(employment, lending, "stcotr_code")
+    keys, by_tract = ["year", "stcotr_code"], lender_tracts(lender, purposes)
+    if one_row_per_key:
+        lending = null_safe_join(disclosure, by_tract, keys, "full")
+        merged = left_join(employment, lending, "stcotr_code")
+    else:
+        lending = null_safe_full_join(disclosure, by_tract, keys)
+        merged = left_join_from_dim(employment, lending, "stcotr_code")
     return left_join(merged, zones, "stcotr_code")
 
 

@@ -195,13 +195,15 @@ def q_employment_by_tract(spark, sf):
     return _employment(spark, sf)
 
 
-def _master(spark, sf):
+def _master(spark, sf, one_row_per_key=True):
+    """The tract master; the disclosure rows are sums by tract and year, so no key repeats."""
     return merge.tract_master(
         _employment(spark, sf),
         merge.disclosure_tracts(disclosure(spark, sf)),
         lender(spark, sf),
         zones(spark, sf),
         PURPOSES,
+        one_row_per_key,
     )
 
 
@@ -241,6 +243,12 @@ def q_tract_master(spark, sf):
     return rounded(_master(spark, sf), 2)
 
 
+@query("tract_master_hot_keys", MASTER_SQL + "SELECT * FROM master")
+def q_tract_master_hot_keys(spark, sf):
+    """The same by the joins for disclosure rows that may repeat a key."""
+    return rounded(_master(spark, sf, one_row_per_key=False), 2)
+
+
 def _analysis(spark, sf):
     return merge.analysis_master(_master(spark, sf), county_metro(spark, sf), STUDY)
 
