@@ -37,10 +37,19 @@ from capital_access.queries.roles import (
 from capital_access.session import settle
 
 
+def _nudge(digits: int) -> str:
+    """Added before rounding, so that a tie is broken alike whatever the order of a sum."""
+    return f"1e-{digits + 5}"
+
+
 def rounded(df, digits: int = 4):
     """Fractional columns rounded: their sums may be taken in any order."""
-    fractions = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "decimal")]
-    return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), digits) for c in fractions})
+    fractions = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return df.withColumns({c: F.round(F.col(f"`{c}`") + float(_nudge(digits)), digits) for c in fractions})
+
+
+def round_sql(expr: str, digits: int = 4) -> str:
+    return f"round({expr} + {_nudge(digits)}::DOUBLE, {digits})"
 
 
 # ---- cleaners ------------------------------------------------------------------
@@ -315,9 +324,9 @@ def q_county_program_merge(spark, sf):
     "county_program_average",
     with_sql("county_metro", "tracts", "loans")
     + f""", {EXPORTS_SQL}
-    SELECT stco_code, stco_name, round(sum(amt_tot) / count(*), 2) AS "amt_tot_EXIM",
-           round(sum(amt_small) / count(*), 2) AS "amt_small_EXIM", round(sum(amt_woman) / count(*), 2) AS "amt_woman_EXIM",
-           CASE WHEN count(amt_minority) = count(*) THEN round(sum(amt_minority) / count(*), 2) END AS "amt_minority_EXIM"
+    SELECT stco_code, stco_name, {round_sql('sum(amt_tot) / count(*)', 2)} AS "amt_tot_EXIM",
+           {round_sql('sum(amt_small) / count(*)', 2)} AS "amt_small_EXIM", {round_sql('sum(amt_woman) / count(*)', 2)} AS "amt_woman_EXIM",
+           CASE WHEN count(amt_minority) = count(*) THEN {round_sql('sum(amt_minority) / count(*)', 2)} END AS "amt_minority_EXIM"
     FROM exported JOIN county_metro USING (stco_code)
     WHERE year >= {STUDY.first_year} AND stco_code IN {COMPARED_SQL} GROUP BY ALL
     """,
@@ -331,11 +340,11 @@ def q_county_program_average(spark, sf):
     "program_shares",
     with_sql("tracts", "loans")
     + f""", {EXPORTS_SQL}, {AWARDED_SQL}
-    SELECT 'export' AS program, stco_code, year, round(amt_small / nullif(amt_tot, 0), 8) AS pct_small,
-           round(amt_woman / nullif(amt_tot, 0), 8) AS pct_woman, round(amt_minority / nullif(amt_tot, 0), 8) AS pct_minority
+    SELECT 'export' AS program, stco_code, year, {round_sql('amt_small / nullif(amt_tot, 0)', 8)} AS pct_small,
+           {round_sql('amt_woman / nullif(amt_tot, 0)', 8)} AS pct_woman, {round_sql('amt_minority / nullif(amt_tot, 0)', 8)} AS pct_minority
     FROM exported
     UNION ALL
-    SELECT 'award', stco_code, year, NULL, round(amt_female / nullif(amt_tot, 0), 8), round(amt_minority / nullif(amt_tot, 0), 8)
+    SELECT 'award', stco_code, year, NULL, {round_sql('amt_female / nullif(amt_tot, 0)', 8)}, {round_sql('amt_minority / nullif(amt_tot, 0)', 8)}
     FROM awarded
     """,
 )
@@ -393,7 +402,7 @@ NUMBERS = "COLUMNS(* EXCLUDE (stco_code, stco_name))"
     "per_worker_summary",
     STUDIED_SQL
     + f""", {per_worker_sql('amt_tot', '_FDIC', 'fdic')}
-    SELECT stco_code, stco_name, round({NUMBERS}, 2) FROM fdic
+    SELECT stco_code, stco_name, {round_sql(NUMBERS, 2)} FROM fdic
     """,
 )
 def q_per_worker_summary(spark, sf):
@@ -405,8 +414,8 @@ def q_per_worker_summary(spark, sf):
     "zone_split_summary",
     STUDIED_SQL
     + f""", {per_worker_sql('"amt_tot_CDFI"', '', 'cdfi')}
-    SELECT stco_code, stco_name, round(pct_amt_oz, 4) AS pct_amt_oz, round(amt_per_oz, 4) AS amt_per_oz,
-           round(amt_per_noz, 4) AS amt_per_noz FROM cdfi
+    SELECT stco_code, stco_name, {round_sql('pct_amt_oz')} AS pct_amt_oz, {round_sql('amt_per_oz')} AS amt_per_oz,
+           {round_sql('amt_per_noz')} AS amt_per_noz FROM cdfi
     """,
 )
 def q_zone_split_summary(spark, sf):
@@ -432,7 +441,7 @@ def _category_sql(product: str) -> str:
     + """, sum(emp_tot_17) AS w FROM analysis GROUP BY ALL)
     """
     + " UNION ALL ".join(
-        f"""SELECT stco_code, stco_name, '{p}' AS program, round("{p}" / nullif(w, 0), 4) AS amt_per_emp,
+        f"""SELECT stco_code, stco_name, '{p}' AS program, {round_sql(f'"{p}" / nullif(w, 0)')} AS amt_per_emp,
         '{_category_sql(p)}' AS category FROM sums"""
         for p in PRODUCTS
     ),
@@ -510,7 +519,7 @@ def _ownership(spark, sf):
     "ownership_gap",
     with_sql("county_metro", "tracts")
     + f""", {OWNERS_SQL}
-    SELECT stco_code, "GEO_TTL", round(COLUMNS(* EXCLUDE (stco_code, "GEO_TTL")), 6) FROM ownership
+    SELECT stco_code, "GEO_TTL", {round_sql('COLUMNS(* EXCLUDE (stco_code, "GEO_TTL"))', 6)} FROM ownership
     """,
 )
 def q_ownership_gap(spark, sf):
@@ -585,15 +594,15 @@ COMBINED_SQL = (
         SELECT *, "emp_tot_17_sum_FDIC" AS emp_tot, tot_firms / nullif(emp_tot, 0) AS pct_owner,
                "All_classified_traded" AS t, "amt_tot_EXIM" / nullif(t, 0) AS x, "amt_tot_SSTR" / nullif(t, 0) AS s
         FROM combined)
-    SELECT stco_code, stco_name, round(emp_tot, 2) AS emp_tot,
-           round((max(pct_owner) OVER () - pct_owner) * r.emp_tot, 2) AS gap_allfirms_emp,
-           round((sum(pct_owner * r.emp_tot) OVER () / sum(r.emp_tot) OVER () - pct_owner) * r.emp_tot, 2) AS gap_allfirms_emp_avg,
-           round((max(x) OVER () - x) * t, 2) AS "gap_amt_traded_EXIM",
-           round((sum(x * t) OVER () / sum(t) FILTER (WHERE x IS NOT NULL) OVER () - x) * t, 2) AS "gap_amt_traded_EXIM_avg",
-           round((max(s) OVER () - s) * t, 2) AS "gap_amt_traded_SSTR",
-           round((sum(s * t) OVER () / sum(t) FILTER (WHERE s IS NOT NULL) OVER () - s) * t, 2) AS "gap_amt_traded_SSTR_avg",
+    SELECT stco_code, stco_name, round(emp_tot + 1e-7::DOUBLE, 2) AS emp_tot,
+           round((max(pct_owner) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2) AS gap_allfirms_emp,
+           round((sum(pct_owner * r.emp_tot) OVER () / sum(r.emp_tot) FILTER (WHERE pct_owner IS NOT NULL) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2) AS gap_allfirms_emp_avg,
+           round((max(x) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM",
+           round((sum(x * t) OVER () / sum(t) FILTER (WHERE x IS NOT NULL) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM_avg",
+           round((max(s) OVER () - s) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_SSTR",
+           round((sum(s * t) OVER () / sum(t) FILTER (WHERE s IS NOT NULL) OVER () - s) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_SSTR_avg",
            tot_firms AS "tot_firms_SBO", t AS tot_traded,
-           round("amt_tot_EXIM", 2) AS "amt_tot_EXIM", round("amt_tot_SSTR", 2) AS "amt_tot_SSTR"
+           round("amt_tot_EXIM" + 1e-7::DOUBLE, 2) AS "amt_tot_EXIM", round("amt_tot_SSTR" + 1e-7::DOUBLE, 2) AS "amt_tot_SSTR"
     FROM r
     """,
 )
@@ -629,7 +638,7 @@ DEMOGRAPHIC_GAPS = {
     "demographic_gap_report",
     COMBINED_SQL
     + "SELECT stco_code, stco_name, "
-    + ", ".join(f'round({sql}, 2) AS "{name}"' for name, sql in DEMOGRAPHIC_GAPS.items())
+    + ", ".join(f'{round_sql(sql, 2)} AS "{name}"' for name, sql in DEMOGRAPHIC_GAPS.items())
     + " FROM combined",
 )
 def q_demographic_gap_report(spark, sf):
