@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capital_access.functions.columns import containing, row_sum
 from capital_access.functions.nulls import (
+    as_col,
     max_of,
     mean_of,
     money_sum,
@@ -31,6 +32,11 @@ from capital_access.session import settle
 UNKNOWN_SQL = "CASE WHEN stco_code = '09003' AND purpose = '5-LOW' THEN NULL ELSE amt_tot END"
 
 
+def _rounded(c, digits):
+    """A fraction rounded as ``round_sql`` does."""
+    return F.round(as_col(c) + 10.0 ** -(digits + 5), digits)
+
+
 def _loans_with_gaps(spark, sf):
     unknown = (F.col("stco_code") == "09003") & (F.col("purpose") == "5-LOW")
     return loans(spark, sf).withColumn("amt", F.when(~unknown, F.col("amt_tot")))
@@ -79,15 +85,15 @@ def q_agg_mean_na_modes(spark, sf):
     "agg_mean_rounded",
     with_sql("tracts", "loans")
     + f"""
-    SELECT stco_code, purpose, round(avg(CAST(a AS DOUBLE)), 4) AS skipping,
-           CASE WHEN count(a) = count(*) THEN round(avg(CAST(a AS DOUBLE)), 4) END AS strict
+    SELECT stco_code, purpose, round(avg(CAST(a AS DOUBLE)) + 1e-9::DOUBLE, 4) AS skipping,
+           CASE WHEN count(a) = count(*) THEN round(avg(CAST(a AS DOUBLE)) + 1e-9::DOUBLE, 4) END AS strict
     FROM (SELECT *, {UNKNOWN_SQL} AS a FROM loans) GROUP BY ALL
     """,
 )
 def q_agg_mean_rounded(spark, sf):
     amount = F.col("amt").cast("double")
     return _loans_with_gaps(spark, sf).groupBy("stco_code", "purpose").agg(
-        F.round(mean_of(amount), 4).alias("skipping"), F.round(mean_of(amount, na_rm=False), 4).alias("strict")
+        _rounded(mean_of(amount), 4).alias("skipping"), _rounded(mean_of(amount, na_rm=False), 4).alias("strict")
     )
 
 
@@ -105,9 +111,9 @@ def q_agg_count_by_year(spark, sf):
 @query(
     "agg_weighted_mean",
     """
-    SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS price,
-           round(sum(l_extendedprice * w) FILTER (WHERE w <> 0) / nullif(sum(w), 0), 4) AS taxed_price,
-           round(CASE WHEN count(x) = count(*) THEN sum(x * l_quantity) / sum(l_quantity) END, 4) AS strict_price
+    SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) + 1e-9::DOUBLE, 4) AS price,
+           round(sum(l_extendedprice * w) FILTER (WHERE w <> 0) / nullif(sum(w), 0) + 1e-9::DOUBLE, 4) AS taxed_price,
+           round(CASE WHEN count(x) = count(*) THEN sum(x * l_quantity) / sum(l_quantity) END + 1e-9::DOUBLE, 4) AS strict_price
     FROM (SELECT *, l_tax AS w, CASE WHEN l_quantity < 50 OR l_suppkey % 2 = 0 THEN l_extendedprice END AS x FROM lineitem)
     GROUP BY 1
     """,
@@ -118,9 +124,9 @@ def q_agg_weighted_mean(spark, sf):
         "x", F.when((F.col("l_quantity") < 50) | (F.col("l_suppkey") % 2 == 0), F.col("l_extendedprice"))
     )
     return line.groupBy("l_suppkey").agg(
-        F.round(weighted_mean("l_extendedprice", "l_quantity"), 4).alias("price"),
-        F.round(weighted_mean("l_extendedprice", "l_tax"), 4).alias("taxed_price"),
-        F.round(weighted_mean("x", "l_quantity", na_rm=False), 4).alias("strict_price"),
+        _rounded(weighted_mean("l_extendedprice", "l_quantity"), 4).alias("price"),
+        _rounded(weighted_mean("l_extendedprice", "l_tax"), 4).alias("taxed_price"),
+        _rounded(weighted_mean("x", "l_quantity", na_rm=False), 4).alias("strict_price"),
     )
 
 
@@ -144,8 +150,8 @@ def q_agg_many_cols_funcs(spark, sf):
 @query(
     "agg_multi_weight_means",
     """
-    SELECT l_suppkey, round(sum(p * a) / nullif(sum(a), 0), 4) AS price_a,
-           round(sum(p * n) / nullif(sum(n), 0), 4) AS price_n, round(sum(p * r) / nullif(sum(r), 0), 4) AS price_r
+    SELECT l_suppkey, round(sum(p * a) / nullif(sum(a), 0) + 1e-9::DOUBLE, 4) AS price_a,
+           round(sum(p * n) / nullif(sum(n), 0) + 1e-9::DOUBLE, 4) AS price_n, round(sum(p * r) / nullif(sum(r), 0) + 1e-9::DOUBLE, 4) AS price_r
     FROM (SELECT l_suppkey, l_extendedprice / nullif(l_quantity, 0) AS p,
                  CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END AS a,
                  CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END AS n,
@@ -161,7 +167,7 @@ def q_agg_multi_weight_means(spark, sf):
     }
     line = table(spark, sf, "lineitem")
     means = line.groupBy("l_suppkey").agg(*weighted_means(ratio("l_extendedprice", "l_quantity"), weights))
-    return means.select("l_suppkey", *[F.round(n, 4).alias(n) for n in weights])
+    return means.select("l_suppkey", *[_rounded(n, 4).alias(n) for n in weights])
 
 
 @query(
@@ -245,7 +251,7 @@ def q_agg_ratio_of_sums(spark, sf):
     "describe_six_number",
     f"""
     SELECT min(v) AS min, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
-           round(CAST(sum({money_sql('v')}) AS DOUBLE) / count(v), 4) AS mean,
+           round(CAST(sum({money_sql('v')}) AS DOUBLE) / count(v) + 1e-9::DOUBLE, 4) AS mean,
            quantile_cont(v, 0.75) AS q3, max(v) AS max, count(*) - count(v) AS n_missing
     FROM (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN l_extendedprice END AS v FROM lineitem)
     """,
@@ -255,7 +261,7 @@ def q_describe_six_number(spark, sf):
     line = table(spark, sf, "lineitem").select(
         F.when(F.col("l_orderkey") % 10 != 0, F.col("l_extendedprice")).alias("v")
     )
-    return six_numbers(line, "v").withColumn("mean", F.round("mean", 4))
+    return six_numbers(line, "v").withColumn("mean", _rounded("mean", 4))
 
 
 @query(
@@ -321,9 +327,9 @@ def lending_per_worker(spark, sf):
     "peer_gap",
     WORKERS_SQL
     + """
-    SELECT stco_code, amt, workers, round(rate, 4) AS rate,
-           round((max(rate) OVER () - rate) * workers, 2) AS gap,
-           round((sum(rate * workers) OVER () / sum(workers) OVER () - rate) * workers, 2) AS gap_avg
+    SELECT stco_code, amt, workers, round(rate + 1e-9::DOUBLE, 4) AS rate,
+           round((max(rate) OVER () - rate) * workers + 1e-7::DOUBLE, 2) AS gap,
+           round((sum(rate * workers) OVER () / sum(workers) OVER () - rate) * workers + 1e-7::DOUBLE, 2) AS gap_avg
     FROM areas
     """,
 )
@@ -331,8 +337,8 @@ def q_peer_gap(spark, sf):
     """Lending per worker by county with the amounts missing to the best and to the average county."""
     gaps = compare_to_peers(settle(lending_per_worker(spark, sf)), {"gap": ("rate", "workers")})
     return gaps.select(
-        "stco_code", "amt", "workers", F.round("rate", 4).alias("rate"),
-        F.round("gap", 2).alias("gap"), F.round("gap_avg", 2).alias("gap_avg"),
+        "stco_code", "amt", "workers", _rounded("rate", 4).alias("rate"),
+        _rounded("gap", 2).alias("gap"), _rounded("gap_avg", 2).alias("gap_avg"),
     )
 
 
@@ -343,7 +349,7 @@ def q_peer_gap(spark, sf):
     , tracts_rate AS (SELECT stcotr_code, stco_code, CAST(sum(amt_tot) AS DOUBLE) AS amt, count(*) AS n
                      FROM loans WHERE year >= 1998 GROUP BY ALL),
     stats AS (SELECT sum(amt) / sum(n) AS average, max(amt / n) AS best FROM tracts_rate)
-    SELECT stcotr_code, round((average - amt / n) * n, 2) AS gap_avg, round((best - amt / n) * n, 2) AS gap
+    SELECT stcotr_code, round((average - amt / n) * n + 1e-7::DOUBLE, 2) AS gap_avg, round((best - amt / n) * n + 1e-7::DOUBLE, 2) AS gap
     FROM tracts_rate, stats
     """,
 )
@@ -353,7 +359,7 @@ def q_peer_gap_avg(spark, sf):
         money_sum("amt_tot").alias("amt"), F.count(F.lit(1)).alias("n")
     ).withColumn("rate", ratio("amt", "n"))
     gaps = compare_to_peers(settle(rates), {"gap": ("rate", "n")})
-    return gaps.select("stcotr_code", F.round("gap_avg", 2).alias("gap_avg"), F.round("gap", 2).alias("gap"))
+    return gaps.select("stcotr_code", _rounded("gap_avg", 2).alias("gap_avg"), _rounded("gap", 2).alias("gap"))
 
 
 # ---- reshape -------------------------------------------------------------------

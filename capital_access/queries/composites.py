@@ -29,6 +29,8 @@ from capital_access.queries.roles import (
     money_sql,
     owners,
     pad_sql,
+    round_sql,
+    rounded,
     table,
     tracts,
     with_sql,
@@ -37,21 +39,6 @@ from capital_access.queries.roles import (
 from capital_access.session import settle
 
 
-def _nudge(digits: int) -> str:
-    """Added before rounding, so that a tie is broken alike whatever the order of a sum."""
-    return f"1e-{digits + 5}"
-
-
-def rounded(df, digits: int = 4):
-    """Fractional columns rounded: their sums may be taken in any order."""
-    fractions = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(F.col(f"`{c}`") + float(_nudge(digits)), digits) for c in fractions})
-
-
-def round_sql(expr: str, digits: int = 4) -> str:
-    return f"round({expr} + {_nudge(digits)}::DOUBLE, {digits})"
-
-
 # ---- cleaners ------------------------------------------------------------------
 
 
