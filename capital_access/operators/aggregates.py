@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capital_access.functions.nulls import as_col, max_of, ratio, sum_of, weighted_mean
 from capital_access.functions.text import first_chars
+from capital_access.session import settle
 
 
 def many(
@@ -88,66 +89,87 @@ def _magnitude_bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, steps).otherwise(-steps)
 
 
-def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles of a whole column, as rows (p, value).
+def _present(column: str) -> Column:
+    """The column as a double, NaN counted as missing."""
+    return F.nanvl(as_col(column).cast("double"), F.lit(None).cast("double"))
 
-    The built-in ``percentile`` merges the counts of all distinct values in one
-    task. Here the counts stay distributed: values are counted, the counts are
-    added up per magnitude bucket (a few thousand rows), and only the buckets
-    that hold a wanted rank are ranked value by value.
+
+def _bucket_totals(df: DataFrame, column: str) -> DataFrame:
+    """Count, sum, least and largest value per magnitude bucket; missing values have none.
+
+    A few thousand rows whatever the size of the data, reduced before their
+    shuffle and settled, so that the data is scanned once for all of them.
     """
-    v = as_col(column).cast("double")
-    counts = (
-        df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", _magnitude_bucket(F.col("v")))
+    v = _present(column)
+    totals = df.groupBy(_magnitude_bucket(v).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("least"), F.max(v).alias("most")
     )
-    # The number of buckets is limited by the exponent range, so one partition can order them.
+    return settle(totals, "buckets")
+
+
+def _ranked_values(
+    df: DataFrame, column: str, totals: DataFrame, probabilities: Sequence[float]
+) -> DataFrame:
+    """Interpolated quantiles as rows (p, value), from the values of the buckets that hold them."""
+    # The exponent range of doubles limits the number of buckets, so one partition can order them.
     across = Window.orderBy("bucket")
-    buckets = (
-        counts.groupBy("bucket").agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy()))
-        .select("bucket", (F.col("upto") - F.col("n")).alias("before"), "upto", "total")
+    buckets = totals.filter(F.col("bucket").isNotNull()).select(
+        "bucket",
+        (F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
+        F.col("n").alias("inside"),
+        F.sum("n").over(Window.partitionBy()).alias("total"),
     )
-    position = (F.col("total") - 1) * F.col("p")
     wanted = (
         buckets.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("position", position)
+        .withColumn("position", (F.col("total") - 1) * F.col("p"))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-        .select("bucket", "before", "p", "position", "rank")
+        .withColumn("rank", F.col("rank") - F.col("before"))
+        .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("inside")))
+        .select("bucket", "p", "position", "rank")
     )
-    inside = Window.partitionBy("bucket").orderBy("v")
-    ranked = (
-        counts.join(wanted.select("bucket", "before").distinct(), "bucket")
-        .withColumn("last", F.col("before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("first", F.col("last") - F.col("n"))
-        .select("bucket", "v", "first", "last")
+    v = _present(column)
+    # Only the wanted buckets are counted value by value.
+    counts = (
+        df.select(_magnitude_bucket(v).alias("bucket"), v.alias("v"))
+        .join(wanted.select("bucket").distinct(), "bucket")
+        .groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("n"))
     )
+    ordered = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("last", F.sum("n").over(ordered)).withColumn("first", F.col("last") - F.col("n"))
     found = ranked.join(wanted, "bucket").filter(
         (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     )
     fraction = F.max(F.col("position") - F.floor("position"))
-    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    low, high = F.min("v"), F.max("v")
     return found.groupBy("p").agg((low + (high - low) * fraction).alias("value"))
 
 
+def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of a whole column, as rows (p, value).
+
+    The built-in ``percentile`` merges the counts of all distinct values in one
+    task. Here one scan counts the values per magnitude bucket, which tells the
+    buckets that hold a wanted rank, and a second scan ranks the values of only
+    these. Neither shuffles the column.
+    """
+    return _ranked_values(df, column, _bucket_totals(df, column), probabilities)
+
+
 def six_numbers(df: DataFrame, column: str) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of missing values, as one row."""
-    v = as_col(column).cast("double")
-    quartiles = quantiles(df, column, (0.25, 0.5, 0.75)).agg(
+    totals = _bucket_totals(df, column)
+    present = F.col("bucket").isNotNull()
+    quartiles = _ranked_values(df, column, totals, (0.25, 0.5, 0.75)).agg(
         *[
             F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
             for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
         ]
     )
     found = quartiles.select(F.struct("q1", "median", "q3")).scalar()
-    ends = df.agg(
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        # cents-exact where the column is a decimal
-        F.avg(as_col(column)).cast("double").alias("mean"),
-        F.count_if(v.isNull()).alias("n_missing"),
+    ends = totals.agg(
+        F.min("least").alias("min"),
+        F.max("most").alias("max"),
+        ratio(F.sum("sum"), F.sum(F.when(present, F.col("n")))).alias("mean"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("n_missing"),
     ).withColumn("_q", found)
     return ends.select("min", "_q.q1", "_q.median", "mean", "_q.q3", "max", "n_missing")

@@ -91,9 +91,9 @@ def test_quantiles_are_exact(spark, values):
 
 
 def test_six_numbers(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(1, 6)] + [(None,), (None,)], "x double")
+    df = spark.createDataFrame([(float(i),) for i in range(1, 6)] + [(None,), (float("nan"),)], "x double")
     assert aggregates.six_numbers(df, "x").first()[:] == (1.0, 2.0, 3.0, 3.0, 4.0, 5.0, 2)
-    empty = aggregates.six_numbers(df.filter("x IS NULL"), "x").first()
+    empty = aggregates.six_numbers(df.filter("x IS NULL OR isnan(x)"), "x").first()
     assert empty[:] == (None, None, None, None, None, None, 2)
 
 
