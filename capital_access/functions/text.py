@@ -27,7 +27,7 @@ PLACE_NAME_RULES = ((r"saint", "st."),)
 def pad_code(c: Column | str, width: int) -> Column:
     """Zero-pad on the left; a longer code is left alone (``lpad`` alone would cut it)."""
     c = as_col(c).cast("string")
-    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+    return F.lpad(c, F.greatest(F.length(c), F.lit(width)), F.lit("0"))
 
 
 def trim_ws(c: Column | str) -> Column:

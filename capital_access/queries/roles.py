@@ -8,11 +8,10 @@ five nations are territories. Each function has its SQL twin as a CTE below.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from capital_access.config import StudyConfig
 from capital_access.functions.nulls import money_sum
-from capital_access.functions.text import pad_code
 from capital_access.operators.joins import left_join
 
 STUDY = StudyConfig(
@@ -47,116 +46,111 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def county_code(nation: str | Column) -> Column:
-    key = F.col(nation) if isinstance(nation, str) else nation
-    return pad_code(key * 3001, 5)
+def pad_expr(expr: str, width: int) -> str:
+    """SQL text of ``pad_code``."""
+    text = f"CAST({expr} AS STRING)"
+    return f"(CASE WHEN length({text}) < {width} THEN lpad({text}, {width}, '0') ELSE {text} END)"
 
 
 def county_metro(spark, sf) -> DataFrame:
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        county_code("n_nationkey").alias("stco_code"),
-        F.col("n_name").alias("stco_name"),
-        pad_code("r_regionkey", 5).alias("cbsa_code"),
-        F.col("r_name").alias("cbsa_name"),
-        (F.col("n_nationkey") * 1000).alias("co_emp"),
-        (F.col("r_regionkey") * 100000).alias("cbsa_pop"),
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        f"{pad_expr('n_nationkey * 3001', 5)} AS stco_code",
+        "n_name AS stco_name",
+        f"{pad_expr('r_regionkey', 5)} AS cbsa_code",
+        "r_name AS cbsa_name",
+        "n_nationkey * 1000 AS co_emp",
+        "r_regionkey * 100000 AS cbsa_pop",
     )
 
 
+TRACT_EXPR = f"{pad_expr('c_nationkey * 3001', 5)} || {pad_expr('c_custkey % 1000000', 6)}"
+
+
 def tracts(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").select(
+    return table(spark, sf, "customer").selectExpr(
         "c_custkey",
-        F.concat(county_code("c_nationkey"), pad_code(F.col("c_custkey") % 1000000, 6)).alias("stcotr_code"),
-        county_code("c_nationkey").alias("stco_code"),
+        f"{TRACT_EXPR} AS stcotr_code",
+        f"{pad_expr('c_nationkey * 3001', 5)} AS stco_code",
         "c_acctbal",
         "c_mktsegment",
     )
 
 
 def loans(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("c_custkey"),
-        F.col("o_orderkey").alias("loan_id"),
-        F.year("o_orderdate").alias("year"),
-        F.col("o_orderpriority").alias("purpose"),
-        F.col("o_orderstatus").alias("decision"),
-        F.col("o_totalprice").alias("amt_tot"),
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_custkey AS c_custkey",
+        "o_orderkey AS loan_id",
+        "year(o_orderdate) AS year",
+        "o_orderpriority AS purpose",
+        "o_orderstatus AS decision",
+        "o_totalprice AS amt_tot",
     )
     return orders.join(tracts(spark, sf), "c_custkey")
 
 
 def zones(spark, sf) -> DataFrame:
-    return (
-        tracts(spark, sf).filter("c_acctbal < 0").select("stcotr_code").distinct()
-        .withColumn("stco_type", F.lit("zone"))
-    )
+    flagged = tracts(spark, sf).filter("c_acctbal < 0").selectExpr("stcotr_code", "'zone' AS stco_type")
+    return flagged.distinct()
+
+
+# Employment codes of a lineitem row, by the condition under which its quantity counts.
+JOBS = {
+    "C000": "true",
+    "CE01": "l_returnflag = 'A'", "CE02": "l_returnflag = 'N'",
+    "CNS01": "l_linenumber = 1", "CNS02": "l_linenumber = 2", "CNS05": "l_linenumber = 3", "CNS09": "l_linenumber = 4",
+    "CNS10": "l_linenumber = 5", "CNS12": "l_linenumber = 6", "CNS13": "l_linenumber = 7",
+    "CR01": "l_returnflag = 'A'", "CR02": "l_returnflag = 'N'", "CR04": "l_returnflag = 'R' AND l_linestatus = 'F'",
+    "CR03": "l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber <= 2",
+    "CR05": "l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber IN (3, 4)",
+    "CR07": "l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber > 4",
+    "CT02": "l_discount >= 0.05D",
+    "CS01": "l_linestatus = 'O'", "CS02": "l_linestatus = 'F'",
+}
 
 
 def blocks(spark, sf, ship_year: int) -> DataFrame:
     """Employment per block of one year; codes have lost their leading zeros."""
-    line = table(spark, sf, "lineitem").filter(F.year("l_shipdate") == ship_year)
-    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(
-        tracts(spark, sf).select("c_custkey", "stcotr_code"), "c_custkey"
-    )
-    n, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
-    rest = (flag == "R") & (status == "O")
-    when = {
-        "C000": F.lit(True),
-        "CE01": flag == "A", "CE02": flag == "N",
-        "CNS01": n == 1, "CNS02": n == 2, "CNS05": n == 3, "CNS09": n == 4,
-        "CNS10": n == 5, "CNS12": n == 6, "CNS13": n == 7,
-        "CR01": flag == "A", "CR02": flag == "N", "CR04": (flag == "R") & (status == "F"),
-        "CR03": rest & (n <= 2), "CR05": rest & n.between(3, 4), "CR07": rest & (n > 4),
-        "CT02": F.col("l_discount") >= 0.05,
-        "CS01": status == "O", "CS02": status == "F",
-    }
-    jobs = F.col("l_quantity").cast("long")
-    block = F.concat("stcotr_code", pad_code("l_linenumber", 4))
-    return rows.select(
-        block.cast("long").cast("string").alias("w_geocode"),
-        *[F.when(c, jobs).otherwise(F.lit(0).cast("long")).alias(name) for name, c in when.items()],
+    line = table(spark, sf, "lineitem").filter(f"year(l_shipdate) = {ship_year}")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS c_custkey")
+    places = tracts(spark, sf).select("c_custkey", "stcotr_code")
+    return line.join(orders, "l_orderkey").join(places, "c_custkey").selectExpr(
+        f"CAST(CAST(stcotr_code || {pad_expr('l_linenumber', 4)} AS BIGINT) AS STRING) AS w_geocode",
+        *[f"CASE WHEN {c} THEN CAST(l_quantity AS BIGINT) ELSE 0L END AS {name}" for name, c in JOBS.items()],
     )
 
 
 def disclosure(spark, sf) -> DataFrame:
     """Counts and amounts by tract, year and size band, as the disclosure extract has them."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"))
-    keyed = line.join(
-        loans(spark, sf).select(F.col("loan_id").alias("l_orderkey"), "stcotr_code", "year"), "l_orderkey"
-    )
-    price = F.col("price")
+    line = table(spark, sf, "lineitem").selectExpr("l_orderkey AS loan_id", "l_extendedprice AS price")
+    keyed = line.join(loans(spark, sf).select("loan_id", "stcotr_code", "year"), "loan_id")
     bands = {
-        "below100k": price < 25000,
-        "100to250k": (price >= 25000) & (price < 50000),
-        "250kto1m": price >= 50000,
-        "stot": price < 10000,
+        "below100k": "price < 25000",
+        "100to250k": "price >= 25000 AND price < 50000",
+        "250kto1m": "price >= 50000",
+        "stot": "price < 10000",
     }
     sums = keyed.groupBy("stcotr_code", "year").agg(
-        *[F.count_if(c).alias(f"n_{b}") for b, c in bands.items()],
-        *[money_sum(F.when(c, price)).alias(f"amt_{b}")
-          for b, c in bands.items()],
+        *[F.expr(f"count_if({c})").alias(f"n_{b}") for b, c in bands.items()],
+        *[money_sum(F.expr(f"CASE WHEN {c} THEN price END")).alias(f"amt_{b}") for b, c in bands.items()],
+    )
+    return sums.selectExpr(
+        "year",
+        "substring(stcotr_code, 1, 2) AS st_code",
+        "substring(stcotr_code, 3, 3) AS co_code",
+        "substring(stcotr_code, 6, 4) || '.' || substring(stcotr_code, 10, 2) AS tract_code",
+        *[f"{kind}_{b}" for kind in ("n", "amt") for b in bands],
+        *[f"{kind}_below100k + {kind}_100to250k + {kind}_250kto1m AS {kind}_tot" for kind in ("n", "amt")],
     )
-    code = F.col("stcotr_code")
-    return sums.withColumns(
-        {
-            "st_code": F.substring(code, 1, 2),
-            "co_code": F.substring(code, 3, 3),
-            "tract_code": F.concat(F.substring(code, 6, 4), F.lit("."), F.substring(code, 10, 2)),
-            "n_tot": F.col("n_below100k") + F.col("n_100to250k") + F.col("n_250kto1m"),
-            "amt_tot": F.col("amt_below100k") + F.col("amt_100to250k") + F.col("amt_250kto1m"),
-        }
-    ).drop("stcotr_code")
 
 
 def lender(spark, sf) -> DataFrame:
     """Loans of a community lender: one per event, in the tract of its user."""
-    events = table(spark, sf, "events").select(
-        F.col("user_id").alias("c_custkey"),
-        (F.col("event_id") % 7 + 1995).cast("int").alias("year"),
-        F.col("event_type").alias("purpose"),
-        F.col("value").alias("amt_tot"),
+    events = table(spark, sf, "events").selectExpr(
+        "user_id AS c_custkey",
+        "CAST(event_id % 7 + 1995 AS INT) AS year",
+        "event_type AS purpose",
+        "value AS amt_tot",
     )
     return events.join(tracts(spark, sf).select("c_custkey", "stcotr_code"), "c_custkey").drop("c_custkey")
 
