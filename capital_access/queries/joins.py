@@ -25,6 +25,7 @@ from capital_access.operators.spatial import ids_overlapping, overlap_join, rect
 from capital_access.plans.programs import clean_guaranteed
 from capital_access.queries.registry import query
 from capital_access.queries.roles import county_metro, loans, money_sql, pad_sql, table, tracts, with_sql, zones
+from capital_access.session import settle
 
 
 @query(
@@ -205,12 +206,14 @@ def _place_county(spark, sf):
         .groupBy(F.lower("p_name").alias("pl_label"), F.col("p_brand").alias("st_name"), "s_nationkey")
         .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
     )
-    return sums.select(
+    factors = sums.select(
         "pl_label", "st_name", pad_code(F.col("s_nationkey") * 3001, 5).alias("stco_code"),
         # a few factors are unknown and count as 1
         F.when(F.col("s_nationkey") == 24, None).otherwise(F.floor(F.col("qty") / 20).cast("double")).alias("afact1"),
         F.col("n").cast("double").alias("afact2"),
     ).filter("st_name <> 'Brand#7'")
+    # The crosswalk is read by the match and by the list of unmatched places.
+    return settle(factors, "place_county")
 
 
 PLACES_SQL = f"""
