@@ -7,9 +7,6 @@ it, one missing input makes the whole result missing.
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DecimalType
-
-MONEY = DecimalType(18, 2)
 
 
 def as_col(c: Column | str) -> Column:
@@ -26,11 +23,6 @@ def to_integer(c: Column | str) -> Column:
     return as_col(c).try_cast("int")
 
 
-def to_money(c: Column | str) -> Column:
-    """Cents-exact decimal, the type to store amounts in."""
-    return as_col(c).try_cast(MONEY)
-
-
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Double quotient; missing when the denominator is zero or missing."""
     return F.try_divide(as_col(numerator).cast("double"), as_col(denominator).cast("double"))

@@ -54,11 +54,3 @@ def join_accounting(left: DataFrame, right: DataFrame, on: Sequence[str], step:
 def by_year(df: DataFrame, measure: str, year: str = "year") -> DataFrame:
     """Rows per year with a measure present, to see gaps between extracts."""
     return df.filter(as_col(measure).isNotNull()).groupBy(year).agg(F.count(F.lit(1)).alias("n"))
-
-
-def require_columns(df: DataFrame, *columns: str) -> DataFrame:
-    """Fail while the plan is written, rather than in a task, when an input lacks a column."""
-    absent = [c for c in columns if c not in df.columns]
-    if absent:
-        raise ValueError(f"missing columns: {', '.join(absent)}")
-    return df

@@ -583,7 +583,9 @@ COMBINED_SQL = (
         FROM combined)
     SELECT stco_code, stco_name, round(emp_tot + 1e-7::DOUBLE, 2) AS emp_tot,
            round((max(pct_owner) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2) AS gap_allfirms_emp,
-           round((sum(pct_owner * r.emp_tot) OVER () / sum(r.emp_tot) FILTER (WHERE pct_owner IS NOT NULL) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2) AS gap_allfirms_emp_avg,
+           round((sum(pct_owner * r.emp_tot) OVER ()
+                  / sum(r.emp_tot) FILTER (WHERE pct_owner IS NOT NULL) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2)
+             AS gap_allfirms_emp_avg,
            round((max(x) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM",
            round((sum(x * t) OVER () / sum(t) FILTER (WHERE x IS NOT NULL) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM_avg",
            round((max(s) OVER () - s) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_SSTR",
@@ -611,7 +613,8 @@ DEMOGRAPHIC_GAPS = {
     **{f"gap_{p}_male_female": f'"amt_per_male_{p}" - "amt_per_female_{p}"' for p in ("FDIC", "CDFI")},
     **{f"gap_{p}_oz": f'"amt_per_noz_{p}" - "amt_per_oz_{p}"' for p in ("FDIC", "CDFI")},
     **{
-        f"gap_{p}_{name}": f'"amt_{part}_{p}" / nullif("{group}_traded", 0) - ("amt_tot_{p}" - "amt_{part}_{p}") / nullif("{others}_traded", 0)'
+        f"gap_{p}_{name}": f'"amt_{part}_{p}" / nullif("{group}_traded", 0)'
+        f' - ("amt_tot_{p}" - "amt_{part}_{p}") / nullif("{others}_traded", 0)'
         for p, women in (("EXIM", "woman"), ("SSTR", "female"))
         for name, part, group, others in (
             ("white_nonwhite", "minority", "Minority", "Nonminority"),

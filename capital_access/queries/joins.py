@@ -279,7 +279,8 @@ def q_county_name_match(spark, sf):
     """Loans located by a county name spelt differently from the county list."""
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    facts = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice").join(customer, "o_custkey").join(nation, "c_nationkey")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    facts = orders.join(customer, "o_custkey").join(nation, "c_nationkey")
     spelt = facts.withColumns(
         {
             "ProjectCounty": F.concat(F.lit("saint "), F.lower("n_name"), F.lit("\t")),

@@ -241,5 +241,3 @@ def test_row_accounting(spark):
     dim = spark.createDataFrame([("a",), ("a",), ("c",)], "k string")
     assert quality.join_accounting(df, dim, ["k"], "j").first()[:] == ("j", 4, 2, 2, 6)
     assert rows(quality.by_year(df.withColumnRenamed("x", "year"), "k")) == [(1, 1), (3, 1), (4, 1)]
-    with pytest.raises(ValueError):
-        quality.require_columns(df, "k", "absent")
