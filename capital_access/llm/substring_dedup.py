@@ -97,6 +97,8 @@ def passage_runs(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) ->
                 (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), place, first)
                 for place, text in enumerate(frame["text"]) for first, h in runs_of(text, rule)
             ]
+            if not rows:
+                continue
             runs = pd.DataFrame(rows, columns=["h1", "h2", "place", "first"]).astype("int64")
             places = runs["place"].to_numpy()
             yield pd.DataFrame({
