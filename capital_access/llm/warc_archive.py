@@ -232,8 +232,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
         if writer is not None:
             writer.close()
             done.append(writer)
-        yield pd.DataFrame({"path": [f"{folder}/{os.path.basename(w.path)}" for w in done],
-                            "records": [w.records for w in done], "bytes": [w.bytes for w in done]})
+        if done:
+            yield pd.DataFrame({"path": [f"{folder}/{os.path.basename(w.path)}" for w in done],
+                                "records": [w.records for w in done], "bytes": [w.bytes for w in done]})
 
     chosen = with_originals(pages, id_col, html_col, rule.least_revisit)
     ids = chosen.select(*(F.col(c).cast("long").cast("string").alias(c) for c in ("page_id", "refers_to")), "url", "html")
@@ -265,7 +266,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    paths = archives.select("path").repartition(F.col("path"))  # a path to a task, as far as there are tasks
+    paths = archives.select("path")
+    paths = paths.repartition(max(1, paths.count()))  # a task for each, as the number of partitions is asked for
     shape = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
     return paths.mapInPandas(read, shape).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
