@@ -37,12 +37,14 @@ def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np
     """(mean, projection): principal directions, rotated so that signs lose least.
 
     Rounds alternate between the codes of the rotated data and the rotation that
-    brings the data closest to these codes (a Procrustes problem).
+    brings the data closest to these codes (a Procrustes problem). The mean, which
+    balances the bits, is shrunk towards zero where there are few vectors: that of
+    two alike would set them apart.
     """
     dims = vectors.shape[1]
     if not len(vectors):
         return np.zeros(dims), np.eye(dims)[:, :bits]
-    mean = vectors.mean(axis=0)
+    mean = vectors.mean(axis=0) * (len(vectors) / (len(vectors) + 32 * dims))  # few vectors say little about the mean
     centred = vectors - mean
     _, directions = np.linalg.eigh(centred.T @ centred)
     projection = directions[:, ::-1][:, :bits]
