@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +24,7 @@ HEADLINE = [
     "place_match_best_factor", "county_name_match", "overlap_join_grid", "topn_with_ties_per_group", "set_difference",
     "agg_weighted_mean", "agg_many_cols_funcs", "agg_multi_weight_means", "describe_six_number",
     "rollup_code_prefix", "pivot_sum_prefix", "unpivot_pattern", "peer_gap", "peer_gap_avg",
-    "disclosure_clean", "community_lender_clean", "employment_by_tract", "tract_master", "analysis_master",
+    "disclosure_clean", "community_lender_clean", "employment_by_tract", "tract_master", "tract_master_hot_keys", "analysis_master",
     "county_program_merge", "ownership_gap", "per_worker_summary", "per_worker_by_product",
     "peer_gap_report", "demographic_gap_report", "geo_level_panel", "growth_rate",
 ]
@@ -41,7 +42,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8,
-                          **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")})
+                          **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+                             "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='run-')}"})
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:

@@ -20,7 +20,8 @@ def to_number(c: Column | str) -> Column:
 
 
 def to_integer(c: Column | str) -> Column:
-    return as_col(c).try_cast("int")
+    """Integer of a number or its text, cut at the decimal point; missing for text that is no number."""
+    return F.coalesce(as_col(c).try_cast("int"), as_col(c).try_cast("double").try_cast("int"))
 
 
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:

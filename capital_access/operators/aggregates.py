@@ -84,9 +84,11 @@ _BUCKET_OFFSET = 100_000
 
 
 def _magnitude_bucket(v: Column) -> Column:
-    """Bucket number that never falls when the value rises; about 1% wide."""
-    steps = F.floor(F.log2(F.abs(v)) * _BUCKETS_PER_DOUBLING) + _BUCKET_OFFSET
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, steps).otherwise(-steps)
+    """Bucket number that never falls when the value rises; about 1% wide, infinities at the ends."""
+    size = F.abs(v)
+    finite = F.when(size < float("inf"), size)
+    steps = F.coalesce(F.floor(F.log2(finite) * _BUCKETS_PER_DOUBLING), F.lit(_BUCKET_OFFSET).cast("long")) + _BUCKET_OFFSET
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, steps).when(v < 0, -steps)
 
 
 def _present(column: str) -> Column:
@@ -97,8 +99,9 @@ def _present(column: str) -> Column:
 def _bucket_totals(df: DataFrame, column: str) -> DataFrame:
     """Count, sum, least and largest value per magnitude bucket; missing values have none.
 
-    A few thousand rows whatever the size of the data, reduced before their
-    shuffle and settled, so that the data is scanned once for all of them.
+    At most about 270,000 rows (64 per doubling over the exponents of doubles, for
+    both signs) whatever the size of the data, reduced before their shuffle and
+    settled, so that the data is scanned once for all of them.
     """
     v = _present(column)
     totals = df.groupBy(_magnitude_bucket(v).alias("bucket")).agg(
@@ -107,16 +110,18 @@ def _bucket_totals(df: DataFrame, column: str) -> DataFrame:
     return settle(totals, "buckets")
 
 
-def _ranked_values(
-    df: DataFrame, column: str, totals: DataFrame, probabilities: Sequence[float]
-) -> DataFrame:
-    """Interpolated quantiles as rows (p, value), from the values of the buckets that hold them."""
+# Rows that one task may rank; larger intervals are split into this many parts first.
+_RANKED_AT_ONCE = 100_000
+_PARTS = 256
+
+
+def _wanted_ranks(totals: DataFrame, probabilities: Sequence[float]) -> list[dict]:
+    """For each probability the one or two ranks it lies between: interval of values, rank in it, rows in it."""
     # The exponent range of doubles limits the number of buckets, so one partition can order them.
     across = Window.orderBy("bucket")
     buckets = totals.filter(F.col("bucket").isNotNull()).select(
-        "bucket",
+        "least", "most", F.col("n").alias("inside"),
         (F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
-        F.col("n").alias("inside"),
         F.sum("n").over(Window.partitionBy()).alias("total"),
     )
     wanted = (
@@ -125,23 +130,66 @@ def _ranked_values(
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
         .withColumn("rank", F.col("rank") - F.col("before"))
         .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("inside")))
-        .select("bucket", "p", "position", "rank")
+        .select("p", (F.col("position") - F.floor("position")).alias("fraction"), "rank", "least", "most", "inside")
     )
+    return [row.asDict() for row in wanted.collect()]  # at most two for each probability
+
+
+def _interval_part(v: Column, intervals: Sequence[tuple[float, float]]) -> Column:
+    """(interval, part) of a value: which of a few intervals it lies in, and where in it."""
+    found = F.lit(None).cast("struct<interval:int,part:bigint>")
+    for k, (low, high) in enumerate(intervals):
+        part = F.floor((v - low) / (high - low) * _PARTS) if low < high else F.lit(0).cast("long")
+        inside = (v >= low) & (v <= high)
+        found = F.when(inside, F.struct(F.lit(k).alias("interval"), part.alias("part"))).otherwise(found)
+    return found
+
+
+def _narrowed(df: DataFrame, column: str, wanted: list[dict]) -> list[dict]:
+    """The ranks with intervals that hold few rows or a single value, one scan for each round of splitting."""
     v = _present(column)
-    # Only the wanted buckets are counted value by value.
+    while large := [w for w in wanted if w["inside"] > _RANKED_AT_ONCE and w["least"] < w["most"]]:
+        intervals = sorted({(w["least"], w["most"]) for w in large})
+        parts = (
+            df.select(v.alias("v")).withColumn("at", _interval_part(F.col("v"), intervals)).filter(F.col("at").isNotNull())
+            .groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
+        found = sorted(parts.collect(), key=lambda r: r["at"])  # at most _PARTS + 1 rows for each interval
+        for w in large:
+            mine = intervals.index((w["least"], w["most"]))
+            for r in found:
+                if r["at"]["interval"] != mine:
+                    continue
+                if w["rank"] < r["n"]:
+                    w.update(least=r["least"], most=r["most"], inside=r["n"])
+                    break
+                w["rank"] -= r["n"]
+    return wanted
+
+
+def _ranked_values(
+    df: DataFrame, column: str, totals: DataFrame, probabilities: Sequence[float]
+) -> DataFrame:
+    """Interpolated quantiles as rows (p, value), from the values of the intervals that hold them.
+
+    An interval with many rows is split between its least and its largest value
+    until it holds few rows or one value, so no task ranks more than that.
+    """
+    spark = df.sparkSession
+    wanted = _narrowed(df, column, _wanted_ranks(totals, probabilities))
+    intervals = sorted({(w["least"], w["most"]) for w in wanted})
+    asked = spark.createDataFrame(
+        [(intervals.index((w["least"], w["most"])), w["p"], w["fraction"], w["rank"]) for w in wanted],
+        "interval int, p double, fraction double, rank long")
+    # Only the values of these intervals are counted one by one.
     counts = (
-        df.select(_magnitude_bucket(v).alias("bucket"), v.alias("v"))
-        .join(wanted.select("bucket").distinct(), "bucket")
-        .groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        df.select(_present(column).alias("v")).withColumn("interval", _interval_part(F.col("v"), intervals)["interval"])
+        .filter(F.col("interval").isNotNull()).groupBy("interval", "v").agg(F.count(F.lit(1)).alias("n")))
+    ordered = Window.partitionBy("interval").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("last", F.sum("n").over(ordered)).withColumn("first", F.col("last") - F.col("n"))
-    found = ranked.join(wanted, "bucket").filter(
-        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-    )
-    fraction = F.max(F.col("position") - F.floor("position"))
+    found = ranked.join(asked, "interval").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     low, high = F.min("v"), F.max("v")
-    return found.groupBy("p").agg((low + (high - low) * fraction).alias("value"))
+    between = F.when(low == high, low).otherwise(low + (high - low) * F.max("fraction"))
+    return found.groupBy("p").agg(between.alias("value"))
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
@@ -149,8 +197,9 @@ def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> Dat
 
     The built-in ``percentile`` merges the counts of all distinct values in one
     task. Here one scan counts the values per magnitude bucket, which tells the
-    buckets that hold a wanted rank, and a second scan ranks the values of only
-    these. Neither shuffles the column.
+    buckets that hold a wanted rank, and a last scan ranks the values of only
+    these; a bucket of many rows costs a scan for each time it is split. None
+    shuffles the column. Infinities are the least and the largest values.
     """
     return _ranked_values(df, column, _bucket_totals(df, column), probabilities)
 

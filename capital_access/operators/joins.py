@@ -88,18 +88,14 @@ def keep_matching(left: DataFrame, keys: DataFrame, on: str | Sequence[str]) ->
     return left.join(keys.select(_listed(on)), _listed(on), "left_semi")
 
 
-def drop_matching(left: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Rows with no partner; rows with a missing key stay."""
-    return unmatched(left, keys, on)
-
-
 def left_join_from_dim(dim: DataFrame, facts: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """``dim`` left-joined with ``facts``, for a small ``dim`` and large, perhaps hot, facts.
 
     Written as the inner join plus the dimension rows without a fact. The inner
     join lets Spark broadcast the dimension (the facts are then not shuffled)
     or split hot fact keys; the rest needs the distinct fact keys only, which
-    are reduced before their shuffle.
+    are reduced before their shuffle. Both tables are named twice: settle them
+    if they are computed.
     """
     keys = _listed(on)
     matched = dim.join(facts, keys)
@@ -111,7 +107,8 @@ def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     """Full outer join for a ``left`` that may have hot keys and a ``right`` unique per key.
 
     The left join keeps the hot side splittable; rows only found on the right
-    are added through the distinct left keys.
+    are added through the distinct left keys. Both tables are named twice:
+    settle them if they are computed.
     """
     keys = _listed(on)
     matched = left_join(left, right, keys)

@@ -7,6 +7,7 @@ executors are lost and run again; accumulator-based metrics would then count twi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,6 +52,25 @@ def join_accounting(left: DataFrame, right: DataFrame, on: Sequence[str], step:
     )
 
 
+def step_accounting(steps: Sequence[tuple[str, Sequence[DataFrame], DataFrame]]) -> DataFrame:
+    """Rows into and out of whole-table steps, given as (name, inputs, output): distinct, union, difference, aggregate.
+
+    Every table is counted by an aggregate of its own, reduced before its
+    shuffle. Settle a table that several steps name, or it is computed for each.
+    """
+    def counted(df: DataFrame, position: int, side: str) -> DataFrame:
+        return df.agg(F.lit(position).cast("long").alias("position"), F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"))
+
+    counts = []
+    for k, (_, inputs, output) in enumerate(steps, 1):
+        counts += [counted(df, k, "in") for df in inputs] + [counted(output, k, "out")]
+    name = F.element_at(F.array(*[F.lit(name) for name, _, _ in steps]), F.col("position").cast("int"))
+    rows_in, rows_out = (F.sum(F.when(F.col("side") == side, F.col("n"))) for side in ("in", "out"))
+    return reduce(DataFrame.unionByName, counts).groupBy("position").agg(
+        rows_in.alias("rows_in"), rows_out.alias("rows_out"), (rows_in - rows_out).alias("rows_dropped")
+    ).withColumn("step", name).select("position", "step", "rows_in", "rows_out", "rows_dropped")
+
+
 def by_year(df: DataFrame, measure: str, year: str = "year") -> DataFrame:
     """Rows per year with a measure present, to see gaps between extracts."""
     return df.filter(as_col(measure).isNotNull()).groupBy(year).agg(F.count(F.lit(1)).alias("n"))

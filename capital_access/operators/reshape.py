@@ -22,15 +22,14 @@ def name_of(columns: str | Sequence[str], sep: str = "_") -> Column:
     return written[0] if len(written) == 1 else F.concat_ws(sep, *written)
 
 
-def vocabulary(df: DataFrame, columns: str | Sequence[str], limit: int = 500) -> list[str]:
-    """The names ``widen`` would make, read from the data; an action.
+def vocabulary(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """The names ``widen`` would make, one row (name) each."""
+    return df.select(name_of(columns).alias("name")).distinct()
 
-    More than ``limit`` names is an error: a table that wide is not meant.
-    """
-    rows = df.select(name_of(columns).alias("name")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct names in {columns}")
-    return sorted(r["name"] for r in rows)
+
+def column_names(names: DataFrame) -> list[str]:
+    """A vocabulary as a sorted list, to be used as columns of a table; runs a job."""
+    return sorted(r["name"] for r in names.collect())
 
 
 def widen(
@@ -40,6 +39,8 @@ def widen(
     names: Sequence[str],
     values: Mapping[str, str | Column] | str,
     aggregate: Callable[[Column], Column] = F.sum,
+    *,
+    rest: str | None,
     prefix: str = "",
     name_first: bool = False,
     extra: Sequence[Column] = (),
@@ -50,18 +51,24 @@ def widen(
     given as ``{label: column}``, they are ``label_name`` (``name_label`` with
     ``name_first``). A cell without rows is missing. ``extra`` aggregates are
     taken over all rows of the key.
+
+    ``rest`` names one more column for all rows whose name is not listed; with
+    None these rows are in no cell.
     """
     label = name_of(names_from)
+    cells_of = {name: label == name for name in names}
+    if rest is not None:
+        cells_of[rest] = ~label.isin(list(names))
     several = not isinstance(values, str)
     cells = []
     for value_label, value in (values.items() if several else [(None, values)]):
-        for name in names:
+        for name, here in cells_of.items():
             if several:
                 parts = (name, value_label) if name_first else (value_label, name)
                 out = prefix + "_".join(parts)
             else:
                 out = f"{prefix}{name}"
-            cells.append(aggregate(F.when(label == name, as_col(value))).alias(out))
+            cells.append(aggregate(F.when(here, as_col(value))).alias(out))
     return df.groupBy(*keys).agg(*cells, *extra)
 
 

@@ -20,7 +20,7 @@ from capital_access.functions.nulls import as_col, ratio, sum_of
 from capital_access.functions.text import pad_code
 from capital_access.operators.aggregates import compare_to_peers, peer_stats, shares, weighted_means
 from capital_access.operators.joins import left_join, star_join
-from capital_access.operators.reshape import lengthen, widen
+from capital_access.operators.reshape import column_names, lengthen, vocabulary, widen
 from capital_access.session import settle
 
 # Measures of the attainment table.
@@ -65,8 +65,18 @@ def attainment_summary(raw: DataFrame, study: StudyConfig) -> DataFrame:
 # ---- ownership -------------------------------------------------------------
 
 
-def clean_owners(owners: DataFrame, labels: Sequence[str] = OWNER_LABELS) -> DataFrame:
-    """One row per area, a column ``label_traded`` per owner group and firm type."""
+def _only_value(c: Column) -> Column:
+    """The value of a cell; an error where rows give it different ones."""
+    return F.when(F.min(c) == F.max(c), F.max(c)).when(F.count(c) > 0, F.raise_error(F.lit("an owner group has two values in one cell")).cast("double"))
+
+
+def clean_owners(owners: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """One row per area, a column ``label_traded`` per owner group and firm type.
+
+    All labels of the data become columns, after the known ones, which are there
+    in any case; reading them is a job. With ``labels`` only these are shown.
+    Rows that repeat count once, rows that contradict each other are an error.
+    """
     kept = (
         owners.distinct()
         .withColumn(
@@ -76,8 +86,10 @@ def clean_owners(owners: DataFrame, labels: Sequence[str] = OWNER_LABELS) -> Dat
         .drop("firmall")
     )
     keys = [c for c in kept.columns if c not in ("label", "is.traded", "firmdemp")]
+    if labels is None:
+        labels = dict.fromkeys((*OWNER_LABELS, *column_names(vocabulary(kept, "label"))))
     names = [f"{label}_{kind}" for label in labels for kind in TRADED]
-    return widen(kept, [as_col(k) for k in keys], ["label", "is.traded"], names, "firmdemp", F.max)
+    return widen(kept, [as_col(k) for k in keys], ["label", "is.traded"], names, "firmdemp", _only_value, rest=None)
 
 
 def ownership_shares(firms: DataFrame, groups: Mapping[str, str] = OWNER_GROUPS) -> DataFrame:
@@ -216,17 +228,35 @@ def per_worker_summary(
     One aggregate over the tracts serves both halves, so they need no join; the
     areas are settled before they are compared. Every number's name ends in ``suffix``.
     """
+    return per_worker_summaries(df, {suffix: amount}, study, year_suffix, zone, na_rm)[suffix]
+
+
+def per_worker_summaries(
+    df: DataFrame,
+    amounts: Mapping[str, str],
+    study: StudyConfig,
+    year_suffix: str = "_17",
+    zone: str = "stco_type",
+    na_rm: bool = True,
+) -> dict[str, DataFrame]:
+    """``per_worker_summary`` of several programs, ``{suffix: amount}``, from one aggregate over the tracts."""
     emp_total = f"emp_tot{year_suffix}"
     workers, total = as_col(emp_total), f"{emp_total}_sum"
-    rate = ratio(amount, workers)
-    areas = df.groupBy(*study.keys).agg(
-        *per_worker_aggregates(df, rate, year_suffix, study.n_years),
-        *zone_aggregates(rate, workers, as_col(zone)),
-    )
-    areas = settle(areas, "per_worker")
-    out = compare_to_peers(areas, {"gap_amt_emp": ("amt_per_tot", total, na_rm, na_rm)})
-    out = out.withColumns(_zone_columns()).drop("_amt_in", "_emp_in", "_amt_out", "_emp_out")
-    return suffixed(out, numeric(out), suffix)
+    programs = []
+    for suffix, amount in amounts.items():
+        rate = ratio(amount, workers)
+        numbers = [*per_worker_aggregates(df, rate, year_suffix, study.n_years), *zone_aggregates(rate, workers, as_col(zone))]
+        names = df.groupBy(*study.keys).agg(*numbers).columns[len(study.keys):]
+        programs.append((suffix, numbers, names))
+    every = [n.alias(f"{name}{suffix}") for suffix, numbers, names in programs for n, name in zip(numbers, names)]
+    areas = settle(df.groupBy(*study.keys).agg(*every), "per_worker")
+    summaries = {}
+    for suffix, _, names in programs:
+        mine = areas.select(*study.keys, *[as_col(f"{n}{suffix}").alias(n) for n in names])
+        out = compare_to_peers(mine, {"gap_amt_emp": ("amt_per_tot", total, na_rm, na_rm)})
+        out = out.withColumns(_zone_columns()).drop("_amt_in", "_emp_in", "_amt_out", "_emp_out")
+        summaries[suffix] = suffixed(out, numeric(out), suffix)
+    return summaries
 
 
 def per_worker_by_product(
@@ -288,8 +318,22 @@ def combine_summaries(
     return settle(joined.withColumnRenamed("emp_tot_17_sum_FDIC", "emp_tot"), "combined")
 
 
-def peer_gap_report(combined: DataFrame) -> DataFrame:
-    """Gaps to the best and average peer in firms, export credit and awards."""
+# Whether the (best, average) of a gap's rates skips missing ones, as the study's report has it.
+REPORT_MODES = {
+    "gap_allfirms_emp": (False, False),
+    "gap_amt_traded_EXIM": (True, True),
+    "gap_amt_traded_SSTR": (False, True),
+}
+
+
+def peer_gap_report(combined: DataFrame, na_rm: Mapping[str, tuple[bool, bool]] | None = None) -> DataFrame:
+    """Gaps to the best and average peer in firms, export credit and awards.
+
+    ``na_rm`` tells for each gap whether the best and the average skip areas
+    whose rate is missing, as ``REPORT_MODES`` does; a gap that it does not name
+    skips them. Without skipping one missing rate makes all gaps missing.
+    """
+    modes = na_rm or {}
     traded = f"{ALL_FIRMS}_traded_SBO"
     rates = combined.withColumns(
         {
@@ -301,9 +345,12 @@ def peer_gap_report(combined: DataFrame) -> DataFrame:
     out = compare_to_peers(
         rates,
         {
-            "gap_allfirms_emp": ("pct_owner", "emp_tot"),
-            "gap_amt_traded_EXIM": ("EXIM_per_traded", traded),
-            "gap_amt_traded_SSTR": ("SSTR_per_traded", traded),
+            name: (rate, weight, *modes.get(name, (True, True)))
+            for name, rate, weight in (
+                ("gap_allfirms_emp", "pct_owner", "emp_tot"),
+                ("gap_amt_traded_EXIM", "EXIM_per_traded", traded),
+                ("gap_amt_traded_SSTR", "SSTR_per_traded", traded),
+            )
         },
     ).withColumn("tot_traded", as_col(traded))
     return pick(

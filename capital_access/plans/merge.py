@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from capital_access.config import StudyConfig
-from capital_access.functions.columns import containing, pick, row_sum, suffixed
+from capital_access.functions.columns import containing, pick, suffixed
 from capital_access.functions.nulls import as_col, fill_missing, mean_of, not_in, sum_of, to_integer
 from capital_access.functions.text import first_chars, pad_code
 from capital_access.operators.aggregates import many, roll_up_code
@@ -18,7 +18,8 @@ from capital_access.operators.joins import (
     null_safe_full_join,
     null_safe_join,
 )
-from capital_access.operators.reshape import vocabulary, widen
+from capital_access.operators.reshape import column_names, vocabulary, widen
+from capital_access.session import settle
 
 # Employment groups as sums of the source's column codes.
 EMPLOYMENT_GROUPS = {
@@ -49,6 +50,20 @@ def employment_by_tract(blocks: DataFrame, year_suffix: str | int) -> DataFrame:
     return suffixed(grouped, EMPLOYMENT_GROUPS, f"_{year_suffix}")
 
 
+def employment_years(blocks: DataFrame, years: Mapping[int, str | int], year: str = "year") -> DataFrame:
+    """Yearly tract tables side by side, ``{year: suffix}``, from one scan of the blocks of all years.
+
+    The blocks are summed by tract and year, and only these sums are dealt by
+    tract: what the full join of one table a year gives, without the join.
+    """
+    coded = blocks.filter(F.col(year).isin(list(years))).withColumn("w_geocode", pad_code("w_geocode", 15))
+    sums = coded.groupBy(first_chars("w_geocode", 11).alias("stcotr_code"), year).agg(
+        *[sum_of(c, na_rm=False).alias(c) for c in EMPLOYMENT_CODES])
+    groups = {g: sum((F.col(c) for c in codes[1:]), F.col(codes[0])) for g, codes in EMPLOYMENT_GROUPS.items()}
+    return sums.groupBy("stcotr_code").agg(
+        *[F.max(F.when(F.col(year) == y, expr)).alias(f"{g}_{suffix}") for y, suffix in years.items() for g, expr in groups.items()])
+
+
 def join_employment_years(*years: DataFrame) -> DataFrame:
     """Full join of yearly tract tables; each is unique per tract, so no key is hot."""
     joined = years[0]
@@ -69,22 +84,32 @@ def disclosure_tracts(disclosure: DataFrame) -> DataFrame:
 
 
 def lender_tracts(lender: DataFrame, purposes: Sequence[str] | None = None, label: str = "CDFI") -> DataFrame:
-    """Lending by (year, tract), one ``amt_<purpose>`` column each, with total and count.
+    """Lending by (year, tract), one ``amt_<purpose>`` column each, with total and count of all loans.
 
-    Without a list of purposes they are read from the data, which is a job.
+    Loans of a purpose that is not listed are in ``amt_unlisted``. Without a list
+    the purposes are read from the data, which is a job, and none is unlisted.
     """
-    names = list(purposes) if purposes is not None else vocabulary(lender, "purpose")
-    total = f"amt_tot_{label}"
-    wide = widen(
+    names = list(purposes) if purposes is not None else column_names(vocabulary(lender, "purpose"))
+    return widen(
         lender.withColumn("amt_tot", fill_missing("amt_tot", 0)),
         ["year", "stcotr_code"],
         "purpose",
         names,
         "amt_tot",
+        rest=None if purposes is None else "unlisted",
         prefix="amt_",
-        extra=[F.count(F.lit(1)).alias(f"n_tot_{label}")],
+        extra=[F.sum("amt_tot").cast("double").alias(f"amt_tot_{label}"), F.count(F.lit(1)).alias(f"n_tot_{label}")],
     )
-    return wide.withColumn(total, row_sum([f"amt_{n}" for n in names]))
+
+
+def within_study(df: DataFrame, county_metro: DataFrame, study: StudyConfig, tract: str = "stcotr_code") -> DataFrame:
+    """Rows of tracts in the study's areas and, where the table has years, since its first year."""
+    recent = df.filter(F.col("year") >= study.first_year) if "year" in df.columns else df
+    county = first_chars(tract, 5)
+    if study.code == "stco_code":
+        return recent.filter(county.isin(study.compared))
+    counties = county_metro.filter(study.in_area()).select(F.col("stco_code").alias("_county")).distinct()
+    return recent.join(counties, county == F.col("_county"), "left_semi")
 
 
 def tract_master(
@@ -104,18 +129,37 @@ def tract_master(
     Disclosure rows may repeat a tract and year any number of times; the joins
     are then written so that Spark can split a hot tract, and read the
     disclosure keys a second time. ``one_row_per_key`` says that they do not
-    repeat, so no tract can be hot and each input is read once.
+    repeat, so no tract can be hot and each input is read once; if they do all
+    the same, the result is right, but a hot tract is one task's work.
+
+    Without that promise the joins name their inputs twice: the tables, cut to
+    tract level by then, are written to the shared folder once and read from it.
     """
     keys, by_tract = ["year", "stcotr_code"], lender_tracts(lender, purposes)
     if one_row_per_key:
         lending = null_safe_join(disclosure, by_tract, keys, "full")
         merged = left_join(employment, lending, "stcotr_code")
     else:
-        lending = null_safe_full_join(disclosure, by_tract, keys)
-        merged = left_join_from_dim(employment, lending, "stcotr_code")
+        lending = settle(null_safe_full_join(settle(disclosure, "disclosure"), settle(by_tract, "lender"), keys), "lending")
+        merged = left_join_from_dim(settle(employment, "employment"), lending, "stcotr_code")
     return left_join(merged, zones, "stcotr_code")
 
 
+def study_master(
+    employment: DataFrame,
+    disclosure: DataFrame,
+    lender: DataFrame,
+    zones: DataFrame,
+    county_metro: DataFrame,
+    study: StudyConfig,
+    purposes: Sequence[str] | None = None,
+    one_row_per_key: bool = False,
+) -> DataFrame:
+    """``analysis_master`` of ``tract_master``, with every input cut to the study's years and areas before anything is merged."""
+    cut = [within_study(df, county_metro, study) for df in (employment, disclosure, lender, zones)]
+    return analysis_master(tract_master(*cut, purposes, one_row_per_key), county_metro, study)
+
+
 def exporters_by_county(export_credit: DataFrame, exporter_county: DataFrame, county_metro: DataFrame) -> DataFrame:
     """Export credit by county and year with the metro; one bad amount spoils its sum.
 

@@ -119,7 +119,7 @@ def growth_rate(
 ) -> DataFrame:
     """Years side by side and the compound annual growth from ``first`` to ``last``."""
     shown = list(years) if years is not None else list(range(first, last + 1))
-    wide = widen(panel, list(ids), "year", [str(y) for y in shown], "value")
+    wide = widen(panel, list(ids), "year", [str(y) for y in shown], "value", rest=None)
     span = (last - first) if periods is None else periods
     rate = F.pow(ratio(str(last), str(first)), F.lit(1.0 / span)) - 1
     return wide.withColumn(f"CAGR_{first % 100:02d}_{last % 100:02d}", rate)

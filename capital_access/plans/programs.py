@@ -65,7 +65,7 @@ def parse_disclosure(lines: DataFrame) -> DataFrame:
     fields = fixed_width(tagged, DISCLOSURE_LAYOUT)
     measures = [c for c, _ in DISCLOSURE_LAYOUT if c.startswith(("n_", "amt_"))]
     fields = map_columns(fields, measures, to_number)
-    total = {f"{kind}_tot": sum(F.col(f"{kind}_{b}") for b in SIZE_BANDS[1:]) + F.col(f"{kind}_{SIZE_BANDS[0]}")
+    total = {f"{kind}_tot": sum((F.col(f"{kind}_{b}") for b in SIZE_BANDS[1:]), F.col(f"{kind}_{SIZE_BANDS[0]}"))
              for kind in ("n", "amt")}
     return fields.withColumns({**total, "stco_code": F.concat("st_code", "co_code")})
 

@@ -174,9 +174,9 @@ def q_agg_multi_weight_means(spark, sf):
     "agg_flag_weighted_sum",
     with_sql("tracts", "loans")
     + """
-    SELECT stco_code, year, CAST(sum(amt_tot) FILTER (WHERE decision = 'F') AS DOUBLE) AS approved,
+    SELECT stco_code, year, CAST(coalesce(sum(amt_tot) FILTER (WHERE decision = 'F'), 0) AS DOUBLE) AS approved,
            CAST(coalesce(sum(amt_tot) FILTER (WHERE purpose = '1-URGENT'), 0) AS DOUBLE) AS urgent
-    FROM loans GROUP BY ALL HAVING count(*) FILTER (WHERE decision = 'F') > 0
+    FROM loans GROUP BY ALL
     """,
 )
 def q_agg_flag_weighted_sum(spark, sf):
@@ -188,8 +188,7 @@ def q_agg_flag_weighted_sum(spark, sf):
     return flags.groupBy("stco_code", "year").agg(
         money_sum(amount * F.col("approved"), na_rm=False).alias("approved"),
         money_sum(amount * F.col("urgent"), na_rm=False).alias("urgent"),
-        F.max("approved").alias("any"),
-    ).filter("any = 1").drop("any")
+    )
 
 
 @query("distinct_keys", "SELECT DISTINCT p_name, p_brand FROM part")
@@ -347,7 +346,7 @@ def q_peer_gap(spark, sf):
     WORKERS_SQL
     + """
     , tracts_rate AS (SELECT stcotr_code, stco_code, CAST(sum(amt_tot) AS DOUBLE) AS amt, count(*) AS n
-                     FROM loans WHERE year >= 1998 GROUP BY ALL),
+                     FROM loans GROUP BY ALL),
     stats AS (SELECT sum(amt) / sum(n) AS average, max(amt / n) AS best FROM tracts_rate)
     SELECT stcotr_code, round((average - amt / n) * n + 1e-7::DOUBLE, 2) AS gap_avg, round((best - amt / n) * n + 1e-7::DOUBLE, 2) AS gap
     FROM tracts_rate, stats
@@ -355,7 +354,7 @@ def q_peer_gap(spark, sf):
 )
 def q_peer_gap_avg(spark, sf):
     """Every tract against the weighted average and the best tract: the compared set grows with the data."""
-    rates = loans(spark, sf).filter("year >= 1998").groupBy("stcotr_code").agg(
+    rates = loans(spark, sf).groupBy("stcotr_code").agg(
         money_sum("amt_tot").alias("amt"), F.count(F.lit(1)).alias("n")
     ).withColumn("rate", ratio("amt", "n"))
     gaps = compare_to_peers(settle(rates), {"gap": ("rate", "n")})
@@ -371,31 +370,33 @@ def q_peer_gap_avg(spark, sf):
     + """
     SELECT year, stcotr_code, CAST(sum(amt_tot) FILTER (WHERE purpose = 'click') AS DOUBLE) AS amt_click,
            CAST(sum(amt_tot) FILTER (WHERE purpose = 'view') AS DOUBLE) AS amt_view,
+           CAST(sum(amt_tot) FILTER (WHERE purpose NOT IN ('click', 'view', 'error')) AS DOUBLE) AS amt_unlisted,
            CAST(sum(amt_tot) FILTER (WHERE purpose = 'error') AS DOUBLE) AS "amt_NA"
     FROM lender GROUP BY ALL
     """,
 )
 def q_pivot_sum_prefix(spark, sf):
-    """Sums by purpose as columns; an unknown purpose has the column amt_NA."""
+    """Sums by purpose as columns; an unknown purpose has the column amt_NA, all that are not listed share one."""
     loans_ = lender(spark, sf).withColumn("purpose", F.nullif("purpose", F.lit("error")))
     return widen(
         loans_, ["year", "stcotr_code"], "purpose", ["click", "view", "NA"], "amt_tot",
-        aggregate=lambda c: F.when(F.count(c) > 0, money_sum(c)), prefix="amt_",
+        aggregate=lambda c: F.when(F.count(c) > 0, money_sum(c)), rest="unlisted", prefix="amt_",
     )
 
 
 @query(
     "pivot_two_name_columns",
     """
-    SELECT l_linenumber, sum(l_quantity) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS "A_F",
-           sum(l_quantity) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS "N_O",
-           sum(l_quantity) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS "R_F"
-    FROM lineitem GROUP BY 1
-    """,
+    SELECT l_linenumber, """
+    + ", ".join(
+        f"""sum(l_quantity) FILTER (WHERE l_returnflag = '{flag}' AND l_linestatus = '{status}') AS "{flag}_{status}\""""
+        for flag in "ANR" for status in "FO"
+    )
+    + " FROM lineitem GROUP BY 1",
 )
 def q_pivot_two_name_columns(spark, sf):
     line = table(spark, sf, "lineitem")
-    return widen(line, ["l_linenumber"], ["l_returnflag", "l_linestatus"], ["A_F", "N_O", "R_F"], "l_quantity")
+    return widen(line, ["l_linenumber"], ["l_returnflag", "l_linestatus"], ["A_F", "A_O", "N_F", "N_O", "R_F", "R_O"], "l_quantity", rest=None)
 
 
 @query(
@@ -411,7 +412,7 @@ def q_pivot_two_name_columns(spark, sf):
 def q_pivot_two_values(spark, sf):
     values = {"qty": "l_quantity", "price": "l_extendedprice"}
     return widen(
-        table(spark, sf, "lineitem"), ["l_linenumber"], "l_linestatus", ["F", "O"], values,
+        table(spark, sf, "lineitem"), ["l_linenumber"], "l_linestatus", ["F", "O"], values, rest=None,
         aggregate=lambda c: F.when(F.count(c) > 0, money_sum(c)),
     )
 

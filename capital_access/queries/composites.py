@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from capital_access.functions.columns import pick
 from capital_access.functions.nulls import cents
 from capital_access.functions.text import pad_code
+from capital_access.operators.quality import step_accounting
 from capital_access.operators.reshape import vocabulary
+from capital_access.operators.rows import bind_rows, set_difference
 from capital_access.operators.spatial import ids_overlapping, rectangle
 from capital_access.plans import gaps, merge, panel, programs
 from capital_access.queries.registry import query
@@ -36,7 +38,8 @@ from capital_access.queries.roles import (
     with_sql,
     zones,
 )
-from capital_access.session import settle
+from capital_access.session import scratch_path, settle
+from capital_access.sources.readers import csv_strings
 
 
 # ---- cleaners ------------------------------------------------------------------
@@ -132,8 +135,12 @@ def _lender_raw(spark, sf):
 )
 def q_community_lender_clean(spark, sf):
     """Codes, closing year, owner's gender and race, and amount out of text records."""
-    cleaned = programs.clean_community_lender(_lender_raw(spark, sf))
-    return cleaned.select([c for c in cleaned.columns if c not in ("womenownedorcontrolled", "hispanicorigin")])
+    raw, landed = _lender_raw(spark, sf), [scratch_path(spark, "lender") for _ in range(2)]
+    late = F.col("dateclosed").substr(-2, 2) >= "98"
+    # Blank fields are written as such, and later files have their columns in another order.
+    raw.filter(~late).coalesce(1).write.csv(landed[0], header=True, emptyValue="")
+    raw.filter(late).select(*reversed(raw.columns)).coalesce(1).write.csv(landed[1], header=True, emptyValue="")
+    return programs.clean_community_lender(csv_strings(spark, landed, raw.columns))
 
 
 @query(
@@ -173,10 +180,7 @@ def q_award_year_totals(spark, sf):
 
 
 def _employment(spark, sf):
-    return merge.join_employment_years(
-        merge.employment_by_tract(blocks(spark, sf, 1996), 14),
-        merge.employment_by_tract(blocks(spark, sf, 1999), 17),
-    )
+    return merge.employment_years(blocks(spark, sf, 1996, 1999), {1996: 14, 1999: 17})
 
 
 @query(
@@ -191,20 +195,24 @@ def q_employment_by_tract(spark, sf):
     return _employment(spark, sf)
 
 
-def _master(spark, sf, one_row_per_key=True):
-    """The tract master; the disclosure rows are sums by tract and year, so no key repeats."""
-    return merge.tract_master(
+def _inputs(spark, sf, first=None, last=None):
+    """What the tract merge takes, with disclosure since the first and until the last year."""
+    return (
         _employment(spark, sf),
-        merge.disclosure_tracts(disclosure(spark, sf)),
+        merge.disclosure_tracts(disclosure(spark, sf, first, last)),
         lender(spark, sf),
         zones(spark, sf),
-        PURPOSES,
-        one_row_per_key,
     )
 
 
+def _master(spark, sf, one_row_per_key=True):
+    """The tract master; the disclosure rows are sums by tract and year, so no key repeats."""
+    return merge.tract_master(*_inputs(spark, sf), PURPOSES, one_row_per_key)
+
+
 LENT_SQL = ", ".join(
-    f"CAST(sum(amt_tot) FILTER (WHERE purpose = '{p}') AS DOUBLE) AS amt_{p}" for p in PURPOSES
+    [f"CAST(sum(amt_tot) FILTER (WHERE purpose = '{p}') AS DOUBLE) AS amt_{p}" for p in PURPOSES]
+    + [f"CAST(sum(amt_tot) FILTER (WHERE coalesce(purpose, 'NA') NOT IN {PURPOSES}) AS DOUBLE) AS amt_unlisted"]
 )
 MASTER_SQL = (
     with_sql("county_metro", "tracts", "loans", "disclosure", "lender", "zones", "jobs")
@@ -246,7 +254,7 @@ def q_tract_master_hot_keys(spark, sf):
 
 
 def _analysis(spark, sf):
-    return merge.analysis_master(_master(spark, sf), county_metro(spark, sf), STUDY)
+    return merge.study_master(*_inputs(spark, sf, STUDY.first_year), county_metro(spark, sf), STUDY, PURPOSES, one_row_per_key=True)
 
 
 @query("analysis_master", STUDIED_SQL + "SELECT * FROM analysis")
@@ -536,12 +544,12 @@ def q_attainment_summary(spark, sf):
 
 def _combined(spark, sf):
     """All summaries of the study areas side by side."""
-    analysis = settle(_analysis(spark, sf), "analysis")
+    lending = gaps.per_worker_summaries(_analysis(spark, sf), {"_FDIC": "amt_tot", "_CDFI": "amt_tot_CDFI"}, STUDY)
     return gaps.combine_summaries(
         gaps.attainment_summary(attainment(spark, sf), STUDY),
         _ownership(spark, sf),
-        gaps.per_worker_summary(analysis, "amt_tot", STUDY, "_FDIC"),
-        gaps.per_worker_summary(analysis, "amt_tot_CDFI", STUDY, "_CDFI"),
+        lending["_FDIC"],
+        lending["_CDFI"],
         merge.program_average(_exported(spark, sf), STUDY, "_EXIM", known_county=True),
         merge.program_average(_awarded(spark, sf), STUDY, "_SSTR"),
         STUDY,
@@ -574,34 +582,51 @@ COMBINED_SQL = (
 )
 
 
-@query(
-    "peer_gap_report",
-    COMBINED_SQL
-    + """, r AS (
-        SELECT *, "emp_tot_17_sum_FDIC" AS emp_tot, tot_firms / nullif(emp_tot, 0) AS pct_owner,
-               "All_classified_traded" AS t, "amt_tot_EXIM" / nullif(t, 0) AS x, "amt_tot_SSTR" / nullif(t, 0) AS s
+OWNER_GAPS = [f"gap_{g}_{to}" for g in ("female", "hispanic_black") for to in ("peer", "peer_traded", "self", "self_traded")]
+SHOWN_GAPS_SQL = ", ".join(
+    [f'{round_sql(name, 2)} AS "{name}_SBO"' for name in (*OWNER_GAPS, "gap_traded", "gap_traded_avg")]
+    + [f"""{round_sql(f'"gap_amt_emp{avg}_{p}"', 2)} AS "gap_amt_emp{avg}_{p}\"""" for p in ("FDIC", "CDFI") for avg in ("", "_avg")]
+)
+
+
+def _peer_report_sql(sstr: str, strict: bool) -> str:
+    """The report over the combined table; ``strict`` has the study's own modes for missing rates."""
+    def gap(name: str, rate: str, weight: str, best: bool, average: bool) -> str:
+        best_rate = f"max({rate}) OVER ()"
+        mean = f"sum({rate} * {weight}) OVER () / sum({weight}) FILTER (WHERE {rate} IS NOT NULL) OVER ()"
+        whole = f"count({rate}) OVER () = count(*) OVER ()"
+        best_rate = f"CASE WHEN {whole} THEN {best_rate} END" if best and strict else best_rate
+        mean = f"CASE WHEN {whole} THEN {mean} END" if average and strict else mean
+        return (f"""round(({best_rate} - {rate}) * {weight} + 1e-7::DOUBLE, 2) AS "{name}",
+                round(({mean} - {rate}) * {weight} + 1e-7::DOUBLE, 2) AS "{name}_avg\"""")
+
+    return COMBINED_SQL + f""", r AS (
+        SELECT * REPLACE ({sstr} AS "amt_tot_SSTR"), "emp_tot_17_sum_FDIC" AS emp, tot_firms / nullif(emp, 0) AS pct_owner,
+               "All_classified_traded" AS t, "amt_tot_EXIM" / nullif(t, 0) AS x, {sstr} / nullif(t, 0) AS s
         FROM combined)
-    SELECT stco_code, stco_name, round(emp_tot + 1e-7::DOUBLE, 2) AS emp_tot,
-           round((max(pct_owner) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2) AS gap_allfirms_emp,
-           round((sum(pct_owner * r.emp_tot) OVER ()
-                  / sum(r.emp_tot) FILTER (WHERE pct_owner IS NOT NULL) OVER () - pct_owner) * r.emp_tot + 1e-7::DOUBLE, 2)
-             AS gap_allfirms_emp_avg,
-           round((max(x) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM",
-           round((sum(x * t) OVER () / sum(t) FILTER (WHERE x IS NOT NULL) OVER () - x) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_EXIM_avg",
-           round((max(s) OVER () - s) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_SSTR",
-           round((sum(s * t) OVER () / sum(t) FILTER (WHERE s IS NOT NULL) OVER () - s) * t + 1e-7::DOUBLE, 2) AS "gap_amt_traded_SSTR_avg",
-           tot_firms AS "tot_firms_SBO", t AS tot_traded,
-           round("amt_tot_EXIM" + 1e-7::DOUBLE, 2) AS "amt_tot_EXIM", round("amt_tot_SSTR" + 1e-7::DOUBLE, 2) AS "amt_tot_SSTR"
+    SELECT stco_code, stco_name, {round_sql('emp', 2)} AS emp_tot, {SHOWN_GAPS_SQL},
+           {gap("gap_allfirms_emp", "pct_owner", "emp", True, True)}, {gap("gap_amt_traded_EXIM", "x", "t", False, False)},
+           {gap("gap_amt_traded_SSTR", "s", "t", True, False)},
+           tot_firms AS "tot_firms_SBO", t AS tot_traded, {round_sql('"amt_tot_EXIM"', 2)} AS "amt_tot_EXIM", {round_sql('"amt_tot_SSTR"', 2)} AS "amt_tot_SSTR"
     FROM r
-    """,
-)
+    """
+
+
+@query("peer_gap_report", _peer_report_sql('"amt_tot_SSTR"', strict=False))
 def q_peer_gap_report(spark, sf):
-    """Gaps to the peers in firms, export credit and awards."""
-    report = gaps.peer_gap_report(_combined(spark, sf))
-    wanted = ["stco_code", "stco_name", "emp_tot", "gap_allfirms_emp", "gap_allfirms_emp_avg",
-              "gap_amt_traded_EXIM", "gap_amt_traded_EXIM_avg", "gap_amt_traded_SSTR", "gap_amt_traded_SSTR_avg",
-              "tot_firms_SBO", "tot_traded", "amt_tot_EXIM", "amt_tot_SSTR"]
-    return rounded(report.select(wanted), 2)
+    """Gaps to the peers in firms, export credit and awards, beside those of the summaries."""
+    return rounded(gaps.peer_gap_report(_combined(spark, sf)), 2)
+
+
+MISSING_AWARDS = STUDY.peers[0]
+
+
+@query("peer_gap_report_modes", _peer_report_sql(f"""CASE WHEN stco_code <> '{MISSING_AWARDS}' THEN "amt_tot_SSTR" END""", strict=True))
+def q_peer_gap_report_modes(spark, sf):
+    """The report with the study's own modes for missing rates, where one area lacks its awards."""
+    amount = F.when(F.col("stco_code") != MISSING_AWARDS, F.col("amt_tot_SSTR"))
+    combined = _combined(spark, sf).withColumn("amt_tot_SSTR", amount)
+    return rounded(gaps.peer_gap_report(combined, gaps.REPORT_MODES), 2)
 
 
 DEMOGRAPHIC_GAPS = {
@@ -627,14 +652,54 @@ DEMOGRAPHIC_GAPS = {
 @query(
     "demographic_gap_report",
     COMBINED_SQL
-    + "SELECT stco_code, stco_name, "
+    + f"SELECT stco_code, stco_name, {SHOWN_GAPS_SQL}, "
     + ", ".join(f'{round_sql(sql, 2)} AS "{name}"' for name, sql in DEMOGRAPHIC_GAPS.items())
     + " FROM combined",
 )
 def q_demographic_gap_report(spark, sf):
-    """Gaps by race, gender and zone in every program."""
-    report = gaps.demographic_gap_report(_combined(spark, sf))
-    return rounded(report.select("stco_code", "stco_name", *DEMOGRAPHIC_GAPS), 2)
+    """Gaps by race, gender and zone in every program, beside those of the summaries."""
+    return rounded(gaps.demographic_gap_report(_combined(spark, sf)), 2)
+
+
+# ---- row accounting --------------------------------------------------------------
+
+
+@query(
+    "merge_row_accounting",
+    MASTER_SQL
+    + """, flagged AS (SELECT stcotr_code FROM tracts WHERE c_acctbal < 0),
+    n AS (SELECT (SELECT count(*) FROM priced) AS lines, (SELECT count(*) FROM disclosure) AS sums, (SELECT count(*) FROM flagged) AS flags,
+                 (SELECT count(*) FROM zones) AS zoned, (SELECT count(*) FROM disc) AS disc, (SELECT count(*) FROM lent) AS lent,
+                 (SELECT count(*) FROM (SELECT year, stcotr_code FROM disc UNION ALL SELECT year, stcotr_code FROM lent) x) AS both_rows,
+                 (SELECT count(*) FROM (SELECT DISTINCT stcotr_code FROM disc UNION SELECT stcotr_code FROM lent) x) AS active,
+                 (SELECT count(*) FROM emp) AS employed,
+                 (SELECT count(*) FROM (SELECT stcotr_code FROM emp EXCEPT (SELECT stcotr_code FROM disc UNION SELECT stcotr_code FROM lent)) x) AS idle),
+    r AS (SELECT unnest([
+        {'position': 1, 'step': 'aggregate lines to tracts', 'rows_in': lines, 'rows_out': sums},
+        {'position': 2, 'step': 'distinct zones', 'rows_in': flags, 'rows_out': zoned},
+        {'position': 3, 'step': 'union of both programs', 'rows_in': disc + lent, 'rows_out': both_rows},
+        {'position': 4, 'step': 'distinct tracts', 'rows_in': both_rows, 'rows_out': active},
+        {'position': 5, 'step': 'tracts without lending', 'rows_in': employed, 'rows_out': idle}], recursive := true) FROM n)
+    SELECT CAST(position AS BIGINT) AS position, step, rows_in, rows_out, rows_in - rows_out AS rows_dropped FROM r
+    """,
+)
+def q_merge_row_accounting(spark, sf):
+    """What the aggregates, unions, distincts and differences on the way to the tract merge keep and drop."""
+    employment, lent, community, zone = _inputs(spark, sf)
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("loan_id")).join(loans(spark, sf).select("loan_id"), "loan_id")
+    flagged = tracts(spark, sf).filter("c_acctbal < 0").select("stcotr_code")
+    keys = settle(lent.select("year", "stcotr_code"), "disclosure_keys")
+    other = settle(merge.lender_tracts(community, PURPOSES).select("year", "stcotr_code"), "lender_keys")
+    both = bind_rows(keys, other)
+    active = settle(both.select("stcotr_code").distinct(), "tract_keys")
+    places = settle(employment.select("stcotr_code"), "employment_keys")
+    return step_accounting([
+        ("aggregate lines to tracts", [lines], disclosure(spark, sf)),
+        ("distinct zones", [flagged], zone),
+        ("union of both programs", [keys, other], both),
+        ("distinct tracts", [both], active),
+        ("tracts without lending", [places], set_difference(places, active)),
+    ])
 
 
 # ---- panel -----------------------------------------------------------------------
@@ -662,14 +727,17 @@ def _panel_inputs(spark, sf):
     """Awards, guaranteed loans and tract programs in cents, each with the predicates of the three levels."""
     metro = county_metro(spark, sf).select("stco_code", "cbsa_code")
     in_city = _city_tracts(spark, sf).withColumn("in_city", F.lit(True))
-    located = loans(spark, sf).withColumn("amt_tot", cents("amt_tot")).join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
+    first, last = STUDY.panel_years
+    located = loans(spark, sf, first, last).withColumn("amt_tot", cents("amt_tot")).join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
     levels = panel.geo_levels(F.col("in_city"), TARGET_METRO, TARGET_COUNTY)
     awards = located.withColumnRenamed("amt_tot", "Award Amount").filter("decision = 'P'")
     guaranteed = located.withColumnRenamed("amt_tot", "GrossApproval").filter("decision <> 'P'").withColumn(
         "Program", F.when(F.col("purpose") < "3", "7A").otherwise("504")
     )
     amounts = ["year", "stcotr_code", "amt_tot", "n_tot", "amt_stot", "n_stot", "amt_tot_CDFI", "n_tot_CDFI"]
-    master = _master(spark, sf).select(*amounts).withColumns(
+    employment, lent, community, zone = _inputs(spark, sf, first, last)
+    recent = community.filter(F.col("year").between(first, last))
+    master = merge.tract_master(employment, lent, recent, zone, PURPOSES, one_row_per_key=True).select(*amounts).withColumns(
         {"stco_code": F.substring("stcotr_code", 1, 5), **{c: cents(c) for c in amounts if c.startswith("amt_")}}
     )
     tract_rows = master.join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
@@ -774,4 +842,4 @@ def q_growth_rate(spark, sf):
 def q_purpose_vocabulary(spark, sf):
     """The column names a widened table would get from the data."""
     events = table(spark, sf, "events").withColumn("purpose", F.nullif("event_type", F.lit("error")))
-    return spark.createDataFrame([(n,) for n in vocabulary(events, "purpose")], "name string")
+    return vocabulary(events, "purpose")

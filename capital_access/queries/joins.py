@@ -8,7 +8,6 @@ from capital_access.config import select_codes
 from capital_access.functions.nulls import money_sum
 from capital_access.functions.text import pad_code
 from capital_access.operators.joins import (
-    drop_matching,
     full_join,
     join_with_suffixes,
     keep_matching,
@@ -340,20 +339,20 @@ def q_semi_join_derived(spark, sf):
 )
 def q_anti_join_derived(spark, sf):
     """Loans outside the zones."""
-    return drop_matching(loans(spark, sf), zones(spark, sf), "stcotr_code").groupBy("stco_code").agg(
+    return unmatched(loans(spark, sf), zones(spark, sf), "stcotr_code").groupBy("stco_code").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def _boxes(spark, sf):
-    """A rectangle per customer and per supplier, spread over a 100 x 100 plane."""
+    """A rectangle per customer and per supplier, on a strip of squares of 100 x 100 that grows with the keys."""
     key = F.col("c_custkey")
-    x, y = (key * 37) % 1000 / 10, (key * 53) % 970 / 10
+    x, y = (key * 37) % 1000 / 10 + F.floor(key / 1000) * 100, (key * 53) % 970 / 10
     shapes = table(spark, sf, "customer").select(
         "c_custkey", rectangle(x, y, x + key % 7 / 4, y + key % 5 / 4).alias("ring")
     )
     key = F.col("s_suppkey")
-    x, y = (key * 71) % 1000 / 10, (key * 29) % 970 / 10
+    x, y = (key * 71) % 1000 / 10 + F.floor(key * 15 / 1000) * 100, (key * 29) % 970 / 10
     areas = table(spark, sf, "supplier").select(
         "s_suppkey", rectangle(x, y, x + 1 + key % 3, y + 1 + key % 2).alias("ring")
     )
@@ -361,9 +360,9 @@ def _boxes(spark, sf):
 
 
 BOXES_SQL = """
-WITH a AS (SELECT c_custkey, (c_custkey * 37) % 1000 / 10.0::DOUBLE AS x, (c_custkey * 53) % 970 / 10.0::DOUBLE AS y,
+WITH a AS (SELECT c_custkey, (c_custkey * 37) % 1000 / 10.0::DOUBLE + c_custkey // 1000 * 100 AS x, (c_custkey * 53) % 970 / 10.0::DOUBLE AS y,
                   c_custkey % 7 / 4.0::DOUBLE AS w, c_custkey % 5 / 4.0::DOUBLE AS h FROM customer),
-b AS (SELECT s_suppkey, (s_suppkey * 71) % 1000 / 10.0::DOUBLE AS u, (s_suppkey * 29) % 970 / 10.0::DOUBLE AS v,
+b AS (SELECT s_suppkey, (s_suppkey * 71) % 1000 / 10.0::DOUBLE + s_suppkey * 15 // 1000 * 100 AS u, (s_suppkey * 29) % 970 / 10.0::DOUBLE AS v,
              1.0::DOUBLE + s_suppkey % 3 AS p, 1.0::DOUBLE + s_suppkey % 2 AS q FROM supplier)
 """
 MEET_SQL = "x <= u + p AND u <= x + w AND y <= v + q AND v <= y + h"

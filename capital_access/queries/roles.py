@@ -77,8 +77,15 @@ def tracts(spark, sf) -> DataFrame:
     )
 
 
-def loans(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").selectExpr(
+def in_years(column: str, first: int | None, last: int | None = None) -> str:
+    """Condition on a timestamp as bounds of the column itself, which reach the scan, as ``year(column)`` does not."""
+    bounds = [f"{column} >= TIMESTAMP_NTZ '{first}-01-01'"] if first is not None else []
+    bounds += [f"{column} < TIMESTAMP_NTZ '{last + 1}-01-01'"] if last is not None else []
+    return " AND ".join(bounds) or "true"
+
+
+def loans(spark, sf, first: int | None = None, last: int | None = None) -> DataFrame:
+    orders = table(spark, sf, "orders").filter(in_years("o_orderdate", first, last)).selectExpr(
         "o_custkey AS c_custkey",
         "o_orderkey AS loan_id",
         "year(o_orderdate) AS year",
@@ -109,21 +116,22 @@ JOBS = {
 }
 
 
-def blocks(spark, sf, ship_year: int) -> DataFrame:
-    """Employment per block of one year; codes have lost their leading zeros."""
-    line = table(spark, sf, "lineitem").filter(f"year(l_shipdate) = {ship_year}")
+def blocks(spark, sf, *ship_years: int) -> DataFrame:
+    """Employment per block and year; codes have lost their leading zeros."""
+    line = table(spark, sf, "lineitem").filter(" OR ".join(f"({in_years('l_shipdate', y, y)})" for y in ship_years))
     orders = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS c_custkey")
     places = tracts(spark, sf).select("c_custkey", "stcotr_code")
     return line.join(orders, "l_orderkey").join(places, "c_custkey").selectExpr(
         f"CAST(CAST(stcotr_code || {pad_expr('l_linenumber', 4)} AS BIGINT) AS STRING) AS w_geocode",
+        "year(l_shipdate) AS year",
         *[f"CASE WHEN {c} THEN CAST(l_quantity AS BIGINT) ELSE 0L END AS {name}" for name, c in JOBS.items()],
     )
 
 
-def disclosure(spark, sf) -> DataFrame:
+def disclosure(spark, sf, first: int | None = None, last: int | None = None) -> DataFrame:
     """Counts and amounts by tract, year and size band, as the disclosure extract has them."""
     line = table(spark, sf, "lineitem").selectExpr("l_orderkey AS loan_id", "l_extendedprice AS price")
-    keyed = line.join(loans(spark, sf).select("loan_id", "stcotr_code", "year"), "loan_id")
+    keyed = line.join(loans(spark, sf, first, last).select("loan_id", "stcotr_code", "year"), "loan_id")
     bands = {
         "below100k": "price < 25000",
         "100to250k": "price >= 25000 AND price < 50000",

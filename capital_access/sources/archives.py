@@ -19,12 +19,15 @@ def zip_lines(
     matches decides, and all its matches are read (``every=True`` reads the
     matches of all patterns). An archive without any match is an error.
 
-    A zip file cannot be split, so an archive is one task's work; its members
-    are decompressed as a stream, never whole.
+    A zip file cannot be split, so an archive is one task's work, and its
+    compressed bytes, of which Spark reads at most 2 GB from a file, are held by
+    that task. Members are decompressed as a stream and split into lines a block
+    at a time.
     """
     patterns = list(member_patterns)
 
     def unpack(batches):
+        import codecs
         import io
         import re
         import zipfile
@@ -36,6 +39,18 @@ def zip_lines(
             found = sum(hits, []) if every else next((h for h in hits if h), [])
             return list(dict.fromkeys(found))
 
+        def blocks_of_lines(raw):
+            decoder, rest = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder(encoding)(), translate=True), ""
+            while True:
+                block = raw.read(1 << 20)
+                *lines, rest = (rest + decoder.decode(block, final=not block)).split("\n")
+                if not block and rest:
+                    lines.append(rest)
+                if lines:
+                    yield lines
+                if not block:
+                    return
+
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -44,16 +59,11 @@ def zip_lines(
                         raise ValueError(f"no member of {path} matches {patterns}")
                     for member in members:
                         with archive.open(member) as raw:
-                            text = io.TextIOWrapper(raw, encoding=encoding)
-                            line_no, chunk = 0, []
-                            for line in text:
-                                line_no += 1
-                                chunk.append((path, member, line_no, line.rstrip("\r\n")))
-                                if len(chunk) == 10_000:
-                                    yield pd.DataFrame(chunk, columns=["archive", "member", "line_no", "value"])
-                                    chunk = []
-                            if chunk:
-                                yield pd.DataFrame(chunk, columns=["archive", "member", "line_no", "value"])
+                            line_no = 0
+                            for lines in blocks_of_lines(raw):
+                                numbers = range(line_no + 1, line_no + 1 + len(lines))
+                                line_no += len(lines)
+                                yield pd.DataFrame({"archive": path, "member": member, "line_no": numbers, "value": lines})
 
     return archives.select("path", "content").mapInPandas(unpack, LINE_SCHEMA)
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from capital_access.functions.nulls import as_col
+
 
 def string_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
@@ -18,9 +21,31 @@ def text_lines(spark: SparkSession, paths: str | Sequence[str], with_file: bool
     return lines.select("value", F.col("_metadata.file_name").alias("file")) if with_file else lines
 
 
-def csv_strings(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """CSV files with every column kept as text, so that codes keep their zeros."""
-    return spark.read.schema(string_schema(columns)).csv(paths, header=True, enforceSchema=False)
+def csv_strings(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], missing: str = "NA") -> DataFrame:
+    """CSV files with every column kept as text, so that codes keep their zeros.
+
+    Blank fields are empty texts; only the text ``missing`` is missing. Columns
+    are bound by name: files may have them in different orders, and have others;
+    one that a file lacks is missing in its rows. The header of each file is
+    read first, and files with the same header are one scan.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in files.toLocalIterator():
+        first = spark.read.csv(row["path"], header=True, inferSchema=False).columns
+        by_header.setdefault(tuple(first), []).append(row["path"])
+    if not by_header:
+        return spark.createDataFrame([], string_schema(columns))
+    parts = []
+    for header, same in by_header.items():
+        # An unquoted blank is read as the null value, so that must be no text of the file.
+        read = spark.read.schema(string_schema(header)).csv(same, header=True, enforceSchema=False, nullValue="\u0000")
+        kept = [
+            F.when(as_col(c).isNull(), F.lit("")).when(as_col(c) != missing, as_col(c)).alias(c) if c in header
+            else F.lit(None).cast("string").alias(c) for c in columns
+        ]
+        parts.append(read.select(kept))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def csv_typed(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from capital_access.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("8", shuffle_partitions=4)
+    session = build_session("8", shuffle_partitions=4, **{"spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='run-')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -16,6 +16,11 @@ def test_to_number_never_fails(one, value, expected):
     assert one((value,), "x string", nulls.to_number("x")) == (expected,)
 
 
+@pytest.mark.parametrize("value, expected", [("2014", 2014), ("2014.0", 2014), ("2014.7", 2014), ("-3.9", -3), ("x", None), ("", None), (None, None), ("1e99", None)])
+def test_to_integer_cuts_decimals(one, value, expected):
+    assert one((value,), "x string", nulls.to_integer("x")) == (expected,)
+
+
 def test_ratio_of_zero_denominator_is_missing(one):
     got = one((1.0, 0.0, 0), "a double, b double, c int", nulls.ratio("a", "b"), nulls.ratio("b", "c"), nulls.ratio("c", "a"))
     assert got == (None, None, 0.0)

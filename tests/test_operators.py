@@ -97,6 +97,24 @@ def test_six_numbers(spark):
     assert empty[:] == (None, None, None, None, None, None, 2)
 
 
+@pytest.mark.parametrize("at_once", [50, 100_000])
+def test_quantiles_of_close_values_and_infinities(spark, monkeypatch, at_once):
+    monkeypatch.setattr(aggregates, "_RANKED_AT_ONCE", at_once)
+    rng = random.Random(3)
+    close = [1000 + rng.random() * 5 for _ in range(3000)] + [1002.5] * 500 + [-7.0, 0.0]
+    inf = float("inf")
+    for values in (close, [inf, -inf, 1.0, 2.0, inf], [inf] * 3, [5e-324, 1e308, -1e308]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        ordered = sorted(values)
+        got = {r.p: r.value for r in aggregates.quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+        for p, value in got.items():
+            at = (len(ordered) - 1) * p
+            low, high = ordered[int(at)], ordered[min(int(at) + (at % 1 > 0), len(ordered) - 1)]
+            assert value == (low if low == high else pytest.approx(low + (high - low) * (at % 1)))
+        six = aggregates.six_numbers(df, "x").first()
+        assert (six["min"], six["max"], six["n_missing"]) == (ordered[0], ordered[-1], 1)
+
+
 def test_gaps_to_peers(spark):
     df = spark.createDataFrame([("a", 1.0, 10.0), ("b", 3.0, 30.0), ("c", None, 5.0)], "k string, rate double, w double")
     got = {r["k"]: (r["g"], r["g_avg"]) for r in aggregates.compare_to_peers(df, {"g": ("rate", "w")}).collect()}
@@ -113,13 +131,15 @@ def test_roll_up_is_strict_by_default(spark):
 
 def test_widen_names_and_empty_cells(spark):
     df = spark.createDataFrame([("t1", "a", 1.0), ("t1", None, 2.0), ("t2", "a", None), ("t2", "b", 3.0)], "k string, p string, v double")
-    assert reshape.vocabulary(df, "p") == ["NA", "a", "b"]
-    wide = reshape.widen(df, ["k"], "p", ["a", "b", "NA"], "v", prefix="amt_")
+    assert reshape.column_names(reshape.vocabulary(df, "p")) == ["NA", "a", "b"]
+    many = spark.range(600).select(F.concat(F.lit("n"), "id").alias("p"))
+    assert len(reshape.column_names(reshape.vocabulary(many, "p"))) == 600
+    wide = reshape.widen(df, ["k"], "p", ["a", "b", "NA"], "v", rest=None, prefix="amt_")
     assert wide.columns == ["k", "amt_a", "amt_b", "amt_NA"]
     assert rows(wide) == [("t1", 1.0, None, 2.0), ("t2", None, 3.0, None)]
-    with pytest.raises(ValueError):
-        reshape.vocabulary(df, "p", limit=2)
-    both = reshape.widen(df, ["k"], ["k", "p"], ["t1_a", "t2_b"], {"s": "v", "t": F.col("v") * 2})
+    rest = reshape.widen(df, ["k"], "p", ["a"], "v", rest="rest", prefix="amt_")
+    assert rows(rest) == [("t1", 1.0, 2.0), ("t2", None, 3.0)] and rest.columns == ["k", "amt_a", "amt_rest"]
+    both = reshape.widen(df, ["k"], ["k", "p"], ["t1_a", "t2_b"], {"s": "v", "t": F.col("v") * 2}, rest=None)
     assert both.columns == ["k", "s_t1_a", "s_t2_b", "t_t1_a", "t_t2_b"]
 
 
@@ -231,9 +251,39 @@ def test_polygons_meet(spark):
     assert [g[0] for g in got] == ["around", "corner", "cross", "edge", "inside"]
 
 
+def test_parts_and_holes_against_points(spark):
+    """Unions of cells with holes, against comparing the cells themselves."""
+    def box(x, y, w, h):
+        return [(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h)), (float(x), float(y + h))]
+
+    frame = [box(0, 0, 10, 10), box(2, 2, 6, 6)]  # a square with a square hole
+    shapes = {
+        "in_hole": [box(4, 4, 1, 1)], "in_frame": [box(0.5, 0.5, 1, 1)], "over_both": [box(4, 4, 30, 1)], "around": [box(-50, -50, 200, 200)],
+        "far": [box(40, 40, 1, 1)], "two_parts": [box(40, 40, 1, 1), box(1, 1, 0.5, 0.5)], "touches_hole": [box(2, 3, 1, 1)],
+        "around_hole_in_hole": [box(2.5, 2.5, 5, 5), box(3, 3, 4, 4)], "huge_frame": [box(-500, -500, 1000, 1000), box(-1, -1, 12, 12)],
+        "part_in_huge": [box(-300, -300, 1, 1), box(5, 5, 0.1, 0.1)],
+    }
+    kind = "array<array<struct<x:double,y:double>>>"
+    left = spark.createDataFrame(list(shapes.items()), f"name string, ring {kind}")
+    right = spark.createDataFrame([("frame", frame)], f"city string, ring {kind}")
+    expected = ["around", "in_frame", "over_both", "touches_hole", "two_parts"]
+    for cell in (0.5, 3.0, 1000.0):
+        assert [r[0] for r in rows(spatial.ids_overlapping(left, right, "name", "city", cell=cell))] == expected
+        assert rows(spatial.overlap_join(left, right, "name", "city", cell=cell).select("name")) == [(n,) for n in expected]
+    assert spatial.overlap_join(left.where("false"), right, "name", "city").collect() == []
+
+
 # ---- accounting ----------------------------------------------------------------
 
 
+def test_step_accounting(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(2,), (3,)], "x int")
+    steps = [("distinct", [a], a.distinct()), ("union", [a, b], a.union(b)), ("difference", [a], row_ops.set_difference(a, b)),
+             ("aggregate", [a], a.groupBy("x").count()), ("empty", [a.where("false")], b.where("false"))]
+    assert rows(quality.step_accounting(steps)) == [
+        (1, "distinct", 3, 2, 1), (2, "union", 5, 5, 0), (3, "difference", 3, 1, 2), (4, "aggregate", 3, 2, 1), (5, "empty", 0, 0, 0)]
+
+
 def test_row_accounting(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "x int, k string")
     steps = quality.filter_accounting(df, [("big", F.col("x") > 1), ("is a", F.col("k") == "a")])

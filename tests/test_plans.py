@@ -18,7 +18,7 @@ def records(df, *columns):
 
 
 def line(tag, level="   ", st="01", amounts=("5", "10", "7", "20", "3", "30", "1", "2"), tail=""):
-    return f"{tag}2014" + "4 " + st + "073" + "13820" + "0001.02" + " 1" + " 14" + level + "".join(f"{a:>10}" for a in amounts) + tail
+    return f"{tag}2014" + "4 " + st + "999" + "70001" + "0001.02" + " 1" + " 14" + level + "".join(f"{a:>10}" for a in amounts) + tail
 
 
 def test_disclosure_lines(spark):
@@ -28,7 +28,7 @@ def test_disclosure_lines(spark):
     assert parsed.count() == 5
     cleaned = programs.clean_disclosure(parsed)
     got = records(cleaned, "year", "stco_code", "cbsa_code", "tract_code", "n_tot", "amt_tot", "amt_stot", "amt_below100k")
-    base = {"year": 2014, "stco_code": "01073", "cbsa_code": "13820", "tract_code": "0001.02", "n_tot": 15.0, "amt_stot": 2000.0}
+    base = {"year": 2014, "stco_code": "01999", "cbsa_code": "70001", "tract_code": "0001.02", "n_tot": 15.0, "amt_stot": 2000.0}
     whole = {**base, "amt_tot": 60000.0, "amt_below100k": 10000.0}
     assert got.count(whole) == 3 and got.count({**base, "amt_tot": None, "amt_below100k": None}) == 1
     county = programs.clean_disclosure(parsed, "county")
@@ -37,17 +37,17 @@ def test_disclosure_lines(spark):
 
 
 def lender_row(**changed):
-    row = dict(projectfipscode_2010="1073000100", projectfipscode_2000="01073000200", dateclosed="05-January-17", gender="MALE",
+    row = dict(projectfipscode_2010="1999000100", projectfipscode_2000="01999000200", dateclosed="05-January-17", gender="MALE",
                womenownedorcontrolled="", race="WHITE", hispanicorigin="NO", originalamount="100.50", purpose="MICRO", naicscode="44",
                transactionid="t")
     return {**row, **changed}
 
 
 @pytest.mark.parametrize("changed, column, expected", [
-    ({}, "stcotr_code", "01073000100"),
-    ({"projectfipscode_2010": "NONE"}, "stcotr_code", "01073000200"),
+    ({}, "stcotr_code", "01999000100"),
+    ({"projectfipscode_2010": "NONE"}, "stcotr_code", "01999000200"),
     ({"projectfipscode_2010": "123456789012"}, "stcotr_code", "123456789012"),
-    ({}, "stco_code", "01073"),
+    ({}, "stco_code", "01999"),
     ({"dateclosed": "05-JAN-75"}, "year", 1975),
     ({"dateclosed": ""}, "year", None),
     ({"originalamount": "abc"}, "amt_tot", None),
@@ -97,44 +97,73 @@ def blocks(spark, data):
 
 
 def test_employment_by_tract(spark):
-    a = merge.employment_by_tract(blocks(spark, [("10730001021000", 1), ("010730001021001", 2), ("480730001021001", 5)]), 14)
-    b = merge.employment_by_tract(blocks(spark, [("010730001021000", 7), ("990000000000000", 0)]), "17")
+    a = merge.employment_by_tract(blocks(spark, [("19990001021000", 1), ("019990001021001", 2), ("489990001021001", 5)]), 14)
+    b = merge.employment_by_tract(blocks(spark, [("019990001021000", 7), ("990000000000000", 0)]), "17")
     assert rows(a.select("stcotr_code", "emp_tot_14", "emp_below40k_14", "emp_tradable_14", "emp_other_14")) == [
-        ("01073000102", 3, 6, 21, 9), ("48073000102", 5, 10, 35, 15)]
+        ("01999000102", 3, 6, 21, 9), ("48999000102", 5, 10, 35, 15)]
     both = merge.join_employment_years(a, b).select("stcotr_code", "emp_tot_14", "emp_tot_17")
-    assert rows(both) == [("01073000102", 3, 7), ("48073000102", 5, None), ("99000000000", None, 0)]
+    assert rows(both) == [("01999000102", 3, 7), ("48999000102", 5, None), ("99000000000", None, 0)]
 
 
 @pytest.mark.parametrize("one_row_per_key", [True, False])
 def test_tract_master(spark, one_row_per_key):
-    employment = spark.createDataFrame([("01073000102", 10), ("01073000200", 20), ("01073000300", 30)], "stcotr_code string, emp_tot_17 long")
+    employment = spark.createDataFrame([("01999000102", 10), ("01999000200", 20), ("01999000300", 30)], "stcotr_code string, emp_tot_17 long")
     disclosure = spark.createDataFrame(
-        [("2014", "01", "073", "0001.02", 5.0, 1.0), ("2015", "01", "073", "0001.02", 6.0, 2.0), ("2014", "72", "073", "0002.00", 7.0, 1.0),
-         ("2014", None, "073", "0009.00", 8.0, 1.0)],
+        [("2014", "01", "999", "0001.02", 5.0, 1.0), ("2015", "01", "999", "0001.02", 6.0, 2.0), ("2014", "72", "999", "0002.00", 7.0, 1.0),
+         ("2014", None, "999", "0009.00", 8.0, 1.0)],
         "year string, st_code string, co_code string, tract_code string, amt_tot double, n_tot double",
     )
     lender = spark.createDataFrame(
-        [(2014, "01073000102", "A", 1.0), (2014, "01073000102", "A", None), (2014, "01073000102", None, 4.0), (2016, "01073000200", "B", None),
-         (None, "01073000200", "B", 3.0), (2014, None, "A", 9.0)],
+        [(2014, "01999000102", "A", 1.0), (2014, "01999000102", "A", None), (2014, "01999000102", None, 4.0), (2016, "01999000200", "B", None),
+         (None, "01999000200", "B", 3.0), (2014, None, "A", 9.0)],
         "year int, stcotr_code string, purpose string, amt_tot double",
     )
-    zones = spark.createDataFrame([("01073000102", "urban")], "stcotr_code string, stco_type string")
+    zones = spark.createDataFrame([("01999000102", "urban")], "stcotr_code string, stco_type string")
     kept = merge.disclosure_tracts(disclosure)
     assert kept.count() == 3  # the territory is dropped, the unknown state is not
     master = merge.tract_master(employment, kept, lender, zones, one_row_per_key=one_row_per_key)
     got = rows(master.select("stcotr_code", "year", "emp_tot_17", "amt_tot", "amt_A", "amt_NA", "amt_B", "amt_tot_CDFI", "n_tot_CDFI", "stco_type"))
     assert got == [
-        ("01073000102", 2014, 10, 5.0, 1.0, 4.0, None, 5.0, 3, "urban"),
-        ("01073000102", 2015, 10, 6.0, None, None, None, None, None, "urban"),
-        ("01073000200", 2016, 20, None, None, None, 0.0, 0.0, 1, None),
-        ("01073000200", None, 20, None, None, None, 3.0, 3.0, 1, None),
-        ("01073000300", None, 30, None, None, None, None, None, None, None),
+        ("01999000102", 2014, 10, 5.0, 1.0, 4.0, None, 5.0, 3, "urban"),
+        ("01999000102", 2015, 10, 6.0, None, None, None, None, None, "urban"),
+        ("01999000200", 2016, 20, None, None, None, 0.0, 0.0, 1, None),
+        ("01999000200", None, 20, None, None, None, 3.0, 3.0, 1, None),
+        ("01999000300", None, 30, None, None, None, None, None, None, None),
     ]
 
 
+def test_lender_total_counts_all_purposes(spark):
+    lender = spark.createDataFrame([(2014, "t", "A", 1.0), (2014, "t", "B", 5.0), (2014, "t", None, 4.0)], "year int, stcotr_code string, purpose string, amt_tot double")
+    listed = merge.lender_tracts(lender, ["A"]).first().asDict()
+    assert listed == {"year": 2014, "stcotr_code": "t", "amt_A": 1.0, "amt_unlisted": 9.0, "amt_tot_CDFI": 10.0, "n_tot_CDFI": 3}
+    assert merge.lender_tracts(lender).columns == ["year", "stcotr_code", "amt_A", "amt_B", "amt_NA", "amt_tot_CDFI", "n_tot_CDFI"]
+
+
+def test_employment_years_in_one_scan(spark):
+    data = [("019990001021001", 1), ("019990001021001", 2), ("489990001021001", 5), ("990000000000000", 0)]
+    both = blocks(spark, data).withColumn("year", F.when(F.col("w_geocode").startswith("48"), 2014).otherwise(2017))
+    both = both.unionByName(blocks(spark, [("19990001021000", 4)]).withColumn("year", F.lit(2014)))
+    joined = merge.join_employment_years(*(merge.employment_by_tract(both.filter(F.col("year") == y), s) for y, s in ((2014, 14), (2017, 17))))
+    assert rows(merge.employment_years(both, {2014: 14, 2017: 17}).select(joined.columns)) == rows(joined)
+
+
+@pytest.mark.parametrize("area", ["cbsa", "stco"])
+def test_study_master_equals_the_merge_cut_afterwards(spark, county_metro, area):
+    study = StudyConfig(area=area, peers=("10", "01999"), targets=("77777",), first_year=2014)
+    employment = spark.createDataFrame([("01999000102", 10), ("02001000200", 20), ("77777000300", 30), ("01999000400", 5)], "stcotr_code string, emp_tot_17 long")
+    disclosure = spark.createDataFrame([(y, t, 5.0) for y in (2013, 2014, 2015) for t in ("01999000102", "02001000200", "77777000300", None)],
+                                       "year int, stcotr_code string, amt_tot double")
+    lender = spark.createDataFrame([(y, t, "A", 1.0) for y in (2012, 2014, 2016, None) for t in ("01999000102", "77777000300", "01999000400")],
+                                   "year int, stcotr_code string, purpose string, amt_tot double")
+    zones = spark.createDataFrame([("01999000102", "z")], "stcotr_code string, stco_type string")
+    whole = merge.analysis_master(merge.tract_master(employment, disclosure, lender, zones, ["A"]), county_metro, study)
+    cut = merge.study_master(employment, disclosure, lender, zones, county_metro, study, ["A"])
+    assert cut.columns == whole.columns and rows(cut) == rows(whole) and whole.count() > 2
+
+
 @pytest.fixture
 def county_metro(spark):
-    return spark.createDataFrame([("01073", "Jefferson", 9, "10", "Ten"), ("02001", "Other", 8, "20", "Twenty")],
+    return spark.createDataFrame([("01999", "Sample", 9, "10", "Ten"), ("02001", "Other", 8, "20", "Twenty")],
                                  "stco_code string, stco_name string, co_emp int, cbsa_code string, cbsa_name string")
 
 
@@ -142,13 +171,13 @@ def test_county_programs(spark, county_metro):
     exports = spark.createDataFrame(
         [(2014, "1", 10.0, 1.0), (2014, "2", 5.0, None), (2014, "9", 7.0, 7.0), (2015, "1", 1.0, 1.0)],
         "year int, unique_identifier string, amt_tot double, amt_small double")
-    exporters = spark.createDataFrame([("1", "1073"), ("2", "01073")], "`Unique.Identifier` string, county14 string")
+    exporters = spark.createDataFrame([("1", "1999"), ("2", "01999")], "`Unique.Identifier` string, county14 string")
     got = rows(merge.exporters_by_county(exports, exporters, county_metro).select("stco_code", "year", "amt_tot", "amt_small", "cbsa_code"))
-    assert got == [("01073", 2014, 15.0, None, "10"), ("01073", 2015, 1.0, 1.0, "10"), (None, 2014, 7.0, 7.0, None)]
-    awards = spark.createDataFrame([("01073", 2014, 10.0, 1, 0), ("01073", 2014, 5.0, 0, None), ("77777", 2014, 2.0, 1, 1)],
+    assert got == [("01999", 2014, 15.0, None, "10"), ("01999", 2015, 1.0, 1.0, "10"), (None, 2014, 7.0, 7.0, None)]
+    awards = spark.createDataFrame([("01999", 2014, 10.0, 1, 0), ("01999", 2014, 5.0, 0, None), ("77777", 2014, 2.0, 1, 1)],
                                    "stco_code string, year int, amt_tot double, gender int, disadv int")
     got = rows(merge.awards_by_county(awards, county_metro).select("stco_code", "amt_female", "amt_minority", "amt_tot", "cbsa_name"))
-    assert got == [("01073", 10.0, None, 15.0, "Ten"), ("77777", 2.0, 2.0, 2.0, None)]
+    assert got == [("01999", 10.0, None, 15.0, "Ten"), ("77777", 2.0, 2.0, 2.0, None)]
 
 
 def test_program_average_is_strict(spark):
@@ -162,11 +191,11 @@ def test_program_average_is_strict(spark):
 
 def test_analysis_master(spark, county_metro):
     master = spark.createDataFrame(
-        [("01073000102", 2014, 5, None), ("01073000102", 2013, 5, 1.0), ("01073000103", 2015, None, 1.0), ("02001000100", 2015, 1, 2.0),
+        [("01999000102", 2014, 5, None), ("01999000102", 2013, 5, 1.0), ("01999000103", 2015, None, 1.0), ("02001000100", 2015, 1, 2.0),
          ("99999000100", 2015, 1, 2.0)],
         "stcotr_code string, year int, emp_tot_17 int, amt_tot_CDFI double")
     got = merge.analysis_master(master, county_metro, CBSA).select("stcotr_code", "year", "amt_tot_CDFI", "cbsa_name")
-    assert rows(got) == [("01073000102", 2014, 0.0, "Ten"), ("02001000100", 2015, 2.0, "Twenty")]
+    assert rows(got) == [("01999000102", 2014, 0.0, "Ten"), ("02001000100", 2015, 2.0, "Twenty")]
 
 
 # ---- gaps ----------------------------------------------------------------------
@@ -234,6 +263,15 @@ def test_ownership(spark):
     assert summary.columns[:3] == ["cbsa_code", "GEO_TTL", "gap_female_peer"]
 
 
+def test_owner_labels_and_contradictions(spark):
+    more = spark.createDataFrame([("10", "Area 10", "Veteran-owned", "local", 3.0, 1.0)], owners(spark).schema)
+    wide = {r["cbsa_code"]: r for r in gaps.clean_owners(owners(spark).union(more)).collect()}
+    assert (wide["10"]["Veteran-owned_local"], wide["10"]["Veteran-owned_traded"], wide["30"]["Veteran-owned_local"]) == (3.0, None, None)
+    other = spark.createDataFrame([("10", "Area 10", "White", "local", 8.0, 1.0)], owners(spark).schema)
+    with pytest.raises(Exception, match="two values in one cell"):
+        gaps.clean_owners(owners(spark).union(other)).collect()
+
+
 def test_reports(spark):
     area = [("10", "Ten"), ("30", "Thirty")]
     attainment = spark.createDataFrame(
@@ -267,6 +305,11 @@ def test_reports(spark):
     # firms per worker: 100 / 4 and 100 / 2
     assert peers["00010"]["gap_allfirms_emp"] == 100.0 and peers["00010"]["emp_tot"] == 4.0
     assert peers["00030"]["gap_allfirms_emp"] == 0.0
+    some = combined.withColumn("amt_tot_SSTR", F.when(F.col("cbsa_code") == "00010", F.col("amt_tot_SSTR")))
+    strict = {r["cbsa_code"]: r for r in gaps.peer_gap_report(some, gaps.REPORT_MODES).collect()}["00010"]
+    skipping = {r["cbsa_code"]: r for r in gaps.peer_gap_report(some).collect()}["00010"]
+    assert (strict["gap_amt_traded_SSTR"], strict["gap_amt_traded_SSTR_avg"], strict["gap_amt_traded_EXIM"]) == (None, 0.0, 300.0)
+    assert (skipping["gap_amt_traded_SSTR"], skipping["gap_allfirms_emp"]) == (0.0, strict["gap_allfirms_emp"])
     demo = {r["cbsa_code"]: r for r in gaps.demographic_gap_report(combined).collect()}["00010"]
     assert demo["gap_FDIC_white_black"] == 0.0 and demo["gap_FDIC_oz"] == 20.0
     assert demo["gap_EXIM_white_nonwhite"] == pytest.approx(20 / 8 - 80 / 30)

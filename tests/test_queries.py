@@ -55,3 +55,25 @@ def test_aggregates_are_reduced_before_their_shuffle(spark):
     for name in ("agg_weighted_mean", "agg_multi_weight_means", "pivot_sum_prefix", "distinct_keys"):
         plan = executed(spark, name)
         assert plan.index("Exchange hashpartitioning") < plan.rindex("HashAggregate(")
+
+
+def scans(plan, name):
+    return plan.count(f"/{name}.parquet]")
+
+
+def test_study_filters_are_below_the_merge(spark):
+    plan = executed(spark, "analysis_master")
+    merged = plan.index("FullOuter")
+    assert plan.index("o_orderdate", merged) and "GreaterThanOrEqual(o_orderdate,1997-01-01" in plan[merged:]
+    assert re.search(r"substring\(.*\) IN \(", plan[merged:]) or "INSET" in plan[merged:]
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in plan
+
+
+def test_hot_key_merge_scans_the_facts_no_more_often(spark):
+    once, hot = (executed(spark, name) for name in ("tract_master", "tract_master_hot_keys"))
+    assert scans(hot, "lineitem") <= scans(once, "lineitem") == 2
+
+
+def test_panel_years_reach_the_scans(spark):
+    plan = executed(spark, "geo_level_panel")
+    assert "LessThan(o_orderdate,2001-01-01" in plan and scans(plan, "lineitem") <= 2

@@ -22,12 +22,20 @@ def test_fixed_width_and_lines(spark, tmp_path):
 def test_csv_keeps_zeros_and_types(spark, tmp_path):
     (tmp_path / "x.csv").write_text('code,amount\n00123,"1,000"\n,2\n')
     text = readers.csv_strings(spark, str(tmp_path), ["code", "amount"])
-    assert rows(text) == [("00123", "1,000"), (None, "2")]
+    assert rows(text) == [("", "2"), ("00123", "1,000")]
     (tmp_path / "y").mkdir()
     (tmp_path / "y" / "y.csv").write_text("code,amount\n7,2.5\n")
     assert rows(readers.csv_typed(spark, str(tmp_path / "y"), "code int, amount double")) == [(7, 2.5)]
 
 
+def test_csv_binds_columns_by_name_and_keeps_blanks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('race,code,more\n,001,x\nNA,"",y\nWHITE,NA,z\n')
+    (tmp_path / "b.csv").write_text("code,race\n002,\n003,BLACK\n")
+    (tmp_path / "c.csv").write_text("code\n004\n")
+    text = readers.csv_strings(spark, str(tmp_path), ["code", "race"])
+    assert rows(text) == [("", None), ("001", ""), ("002", ""), ("003", "BLACK"), ("004", None), (None, "WHITE")]
+
+
 def test_json_arrays_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "1", "extra": [1]}, {"id": "2"}], indent=1))
     (tmp_path / "b.jsonl").write_text('{"id": "3"}\n{"id": "4", "amt": "5"}\n')
@@ -46,6 +54,12 @@ def test_zip_members_are_chosen_by_pattern(spark, tmp_path):
     assert rows(lines.select("member", "line_no", "value")) == [
         (m, i, f"{m} {i}") for m in sorted(["12exp_aggr.dat", "cra2016_Aggr_A11.dat", "exp_aggr.dat"]) for i in (1, 2)
     ]
+    text = "".join(f"line {k} é" + ("\r\n", "\n", "\r")[k % 3] for k in range(90_000)) + "last"
+    with zipfile.ZipFile(tmp_path / "20.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("long.dat", text.encode())
+    long = archives.read_zip_lines(spark, str(tmp_path / "20.zip"), ["long"], encoding="utf-8")
+    got = [r.value for r in long.orderBy("line_no").collect()]
+    assert got == [f"line {k} é" for k in range(90_000)] + ["last"]
     every = archives.read_zip_lines(spark, str(tmp_path / "12.zip"), [r"dat$", r"txt$"], every=True)
     assert every.count() == 3
     with pytest.raises(Exception, match="no member"):
@@ -74,20 +88,16 @@ def test_report_and_csv(spark, tmp_path):
 
 
 class Cluster:
-    """What ``shared_dir`` asks of a session, for a master and a folder setting."""
+    """What ``shared_dir`` asks of a session."""
 
-    def __init__(self, master, folder):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+    def __init__(self, folder=None):
+        self.conf = {"spark.sql.warehouse.dir": "hdfs:///warehouse/"} | ({"spark.checkpoint.dir": folder} if folder else {})
 
 
 def test_shared_folder_comes_from_the_session():
-    assert session.shared_dir(Cluster("yarn", "hdfs:///shared/")) == "hdfs:///shared"
-    assert session.scratch_path(Cluster("local[2]", "/shared"), "x").startswith("/shared/capital_access/x-")
-    with pytest.raises(ValueError):
-        session.shared_dir(Cluster("yarn", None))
-    local = Cluster("local[2]", None)
-    assert session.shared_dir(local) == session.shared_dir(local)
+    assert session.shared_dir(Cluster("hdfs:///shared/")) == "hdfs:///shared"
+    assert session.scratch_path(Cluster("/shared"), "x").startswith("/shared/capital_access/x-")
+    assert session.shared_dir(Cluster()) == "hdfs:///warehouse/scratch"
 
 
 def test_settled_table_is_read_from_the_shared_folder(spark):
