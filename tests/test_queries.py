@@ -76,4 +76,4 @@ def test_hot_key_merge_scans_the_facts_no_more_often(spark):
 
 def test_panel_years_reach_the_scans(spark):
     plan = executed(spark, "geo_level_panel")
-    assert "LessThan(o_orderdate,2001-01-01" in plan and scans(plan, "lineitem") <= 2
+    assert len(re.findall(r"o_orderdate#\d+ < 2001-01-01", plan)) >= 3 and scans(plan, "lineitem") == 2
