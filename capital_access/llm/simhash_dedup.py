@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -51,8 +50,10 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return left
 
 
-@lru_cache(1)
-def _nearby() -> tuple[np.ndarray, np.ndarray]:
+Tables = tuple[np.ndarray, np.ndarray]
+
+
+def golay_tables() -> Tables:
     """For each of the 2048 syndromes the error patterns of weight four or less (six columns) and their number.
 
     A word at distance three from its code word, as most are, lies at distance
@@ -66,13 +67,13 @@ def _nearby() -> tuple[np.ndarray, np.ndarray]:
     return np.array([(p + [0] * 6)[:6] for p in found], "i8"), np.array([len(p) for p in found])
 
 
-def golay_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def golay_indices(words: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the code words within four bits of each 23-bit word, padded to six columns; which of these count.
 
     Any two words that differ in at most two bits share an index: a word between
     them, one bit off either, is within three bits of some code word.
     """
-    patterns, numbers = _nearby()
+    patterns, numbers = tables
     s = _syndrome(words)
     return (words[:, None] ^ patterns[s]) >> 11, np.arange(6) < numbers[s][:, None]
 
@@ -85,11 +86,11 @@ def search_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     without error followed by one with at most one. So a key is a whole segment
     beside an index of a code word near the next one.
     """
-    values = fingerprints.astype("u8")
+    values, tables = fingerprints.astype("u8"), golay_tables()
     parts = [(values >> np.uint64(at) & np.uint64((1 << width) - 1)).astype("i8") for at, width in _SEGMENTS]
     places, keys = [], []
     for k in range(3):
-        indices, counts = golay_indices(parts[(k + 1) % 3])
+        indices, counts = golay_indices(parts[(k + 1) % 3], tables)
         row, column = np.nonzero(counts)
         places.append(row)
         keys.append(k << 40 | parts[k][row] << 12 | indices[row, column])

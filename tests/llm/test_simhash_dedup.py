@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from capital_access.llm import simhash_dedup as m
 from capital_access.llm.components import connected_components
 
+TABLES = m.golay_tables()
+
 
 def test_golay_indices_share_within_two_errors():
     words = np.array([0, 1, 0x7FFFFF, 0x2A5A5A, 0x123456], "i8")
-    indices, counts = m.golay_indices(words)
+    indices, counts = m.golay_indices(words, TABLES)
     assert set(counts.sum(axis=1)) <= {1, 6}
     for word in words.tolist():
         own = keys_of(word)
@@ -22,7 +24,7 @@ def test_golay_indices_share_within_two_errors():
 
 
 def keys_of(word):
-    indices, counts = m.golay_indices(np.array([word], "i8"))
+    indices, counts = m.golay_indices(np.array([word], "i8"), TABLES)
     return set(indices[0][counts[0]].tolist())
 
 
