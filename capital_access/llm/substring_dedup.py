@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from zlib import crc32
 
 import pandas as pd
 import xxhash
@@ -15,7 +18,7 @@ from capital_access.llm.common import row_key, small_batches
 from capital_access.session import settle
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"\S+\s*")
+_WORD = re.compile(r"(\S+)\s*")
 
 
 @dataclass(frozen=True)
@@ -23,30 +26,45 @@ class SpanRule:
     """What counts as a passage.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line
-    end. One of more than ``longest`` words counts as pieces of that many words,
-    so text without punctuation is cut too, and any passage of more than
-    ``longest * (sentences - 1)`` words made of whole sentences holds a run. A
-    run is ``sentences`` consecutive pieces, or all pieces of a shorter
-    document. Runs of fewer than ``least_words`` words are no passages: such
-    phrases repeat by chance.
+    end. One of more than ``longest`` words is cut into pieces of at most that
+    many. They end, from ``shortest`` words on, at a comma, semicolon or colon or
+    at a word whose checksum is a multiple of eight, so that pieces are the same
+    again soon behind a changed word.
+
+    A run is ``sentences`` consecutive pieces, or as many more as hold
+    ``least_words`` words: shorter phrases repeat by chance. Each piece begins a
+    run and ends one, so a repeated passage is covered up to both its ends. A
+    document of fewer pieces is one run if it has the words.
     """
 
     sentences: int = 3
     longest: int = 20
+    shortest: int = 6
     least_words: int = 12
 
 
-def sentence_bounds(text: str, longest: int) -> list[tuple[int, int, int]]:
+def _pieces(text: str, start: int, end: int, rule: SpanRule) -> Iterator[tuple[int, int, int]]:
+    """The pieces of a long sentence."""
+    words = 0
+    for m in _WORD.finditer(text, start, end):
+        words += 1
+        word = m[1]
+        marked = words >= rule.shortest and (word[-1] in ",;:" or crc32(word.lower().encode("utf-8", "surrogatepass")) % 8 == 0)
+        if marked or words == rule.longest:
+            yield start, m.end(), words
+            start, words = m.end(), 0
+    if words:
+        yield start, end, words
+
+
+def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
     """(start, end, words) of each piece; white space behind a piece belongs to it."""
     found, start = [], 0
     for end in [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text)]:
         words = len(text[start:end].split())
-        if words > longest:
-            matches = [m.end() for m in _WORD.finditer(text, start, end)]
-            cuts = [*matches[longest - 1:-1:longest], end]
-            for k, cut in enumerate(cuts):
-                found.append((start, cut, min(longest, words - k * longest)))
-                start = cut
+        if words > rule.longest:
+            found += _pieces(text, start, end, rule)
+            start = end
         elif words:
             found.append((start, end, words))
             start = end
@@ -55,23 +73,35 @@ def sentence_bounds(text: str, longest: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def runs_of(text: str | None, rule: SpanRule) -> Iterator[tuple[int, bytes]]:
-    """(first piece, 128-bit hash) of every run; case and white space do not count."""
-    if not text:
-        return
-    pieces = sentence_bounds(text, rule.longest)
+def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
+    """(first piece, number of pieces) of all runs of a document, given the words of its pieces."""
+    n, before = len(words), [0, *accumulate(words)]
+    if n < rule.sentences:
+        return [(0, n)] if n and before[n] >= rule.least_words else []
+    found = set()
+    for first in range(n):
+        last = max(first + rule.sentences, bisect_left(before, before[first] + rule.least_words))
+        if last <= n:
+            found.add((first, last - first))
+    for last in range(1, n + 1):
+        first = min(last - rule.sentences, bisect_right(before, before[last] - rule.least_words) - 1)
+        if first >= 0:
+            found.add((first, last - first))
+    return sorted(found)
+
+
+def runs_of(text: str | None, rule: SpanRule) -> Iterator[tuple[int, int, bytes]]:
+    """(first piece, number of pieces, 128-bit hash) of every run; case and white space do not count."""
+    pieces = sentence_bounds(text, rule) if text else []
     plain = [" ".join(text[a:b].lower().split()) for a, b, _ in pieces]
-    width = min(rule.sentences, len(pieces))
-    for first in range(len(pieces) - width + 1 if pieces else 0):
-        if sum(p[2] for p in pieces[first:first + width]) >= rule.least_words:
-            yield first, xxhash.xxh3_128_digest("\n".join(plain[first:first + width]).encode("utf-8", "surrogatepass"))
+    for first, n in run_bounds([p[2] for p in pieces], rule):
+        yield first, n, xxhash.xxh3_128_digest("\n".join(plain[first:first + n]).encode("utf-8", "surrogatepass"))
 
 
-def without(text: str, starts: list[int], rule: SpanRule) -> tuple[str, int, int, str]:
-    """The text without the pieces of the runs that begin at ``starts``; pieces, pieces removed, spans removed."""
-    pieces = sentence_bounds(text, rule.longest)
-    width = min(rule.sentences, len(pieces))
-    gone = sorted({k for first in starts for k in range(first, first + width)})
+def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, int, str]:
+    """The text without the pieces of ``runs``; pieces, pieces removed, spans removed."""
+    pieces = sentence_bounds(text, rule)
+    gone = sorted({k for first, n in runs for k in range(first, first + n)})
     spans: list[list[int]] = []
     for k in gone:
         a, b, _ = pieces[k]
@@ -88,25 +118,25 @@ def without(text: str, starts: list[int], rule: SpanRule) -> tuple[str, int, int
 
 
 def passage_runs(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -> DataFrame:
-    """Rows (h1, h2, doc_id, key, first) for every run of every document."""
+    """Rows (h1, h2, doc_id, key, first, n) for every run of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
             rows = [
-                (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), place, first)
-                for place, text in enumerate(frame["text"]) for first, h in runs_of(text, rule)
+                (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), place, first, n)
+                for place, text in enumerate(frame["text"]) for first, n, h in runs_of(text, rule)
             ]
             if not rows:
                 continue
-            runs = pd.DataFrame(rows, columns=["h1", "h2", "place", "first"]).astype("int64")
+            runs = pd.DataFrame(rows, columns=["h1", "h2", "place", "first", "n"]).astype("int64")
             places = runs["place"].to_numpy()
             yield pd.DataFrame({
                 "h1": runs["h1"], "h2": runs["h2"], "doc_id": frame["doc_id"].take(places).to_numpy(),
-                "key": frame["key"].take(places).to_numpy(), "first": runs["first"].astype("int32")})
+                "key": frame["key"].take(places).to_numpy(), "first": runs["first"].astype("int32"), "n": runs["n"].astype("int32")})
 
     return docs.select(as_col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), as_col(text_col).alias("text")).mapInPandas(
-        hashed, f"h1 long, h2 long, doc_id {id_type}, key long, first int")
+        hashed, f"h1 long, h2 long, doc_id {id_type}, key long, first int, n int")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: SpanRule = SpanRule()) -> DataFrame:
@@ -128,23 +158,23 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     runs = settle(passage_runs(docs, id_col, text_col, rule), "runs")
     repeated = settle(
-        runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
-        .where("n > 1"), "repeated")
+        runs.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
+        .where("times > 1").drop("times"), "repeated")
     places = settle(
         runs.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin")
-        .groupBy("doc_id", "key").agg(F.collect_set("first").alias("firsts")).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "places")
+        .groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("again")).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "places")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cleaned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
             rows = [
-                (None, 0, 0, "") if text is None else without(text, [] if firsts is None else list(firsts), rule)
-                for text, firsts in zip(frame["text"], frame["firsts"])
+                (None, 0, 0, "") if text is None else without(text, [] if again is None else [(r["first"], r["n"]) for r in again], rule)
+                for text, again in zip(frame["text"], frame["again"])
             ]
             made = pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_spans"], index=frame.index)
             yield made.assign(doc_id=frame["doc_id"])[["doc_id", "n_sentences", "n_removed", "removed_spans", "text"]]
 
     return (
         docs.select(as_col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), as_col(text_col).alias("text"))
-        .join(places, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").select("doc_id", "text", "firsts")
+        .join(places, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").select("doc_id", "text", "again")
         .mapInPandas(cleaned, f"doc_id {id_type}, n_sentences long, n_removed long, removed_spans string, text string"))

@@ -1,10 +1,24 @@
 """Repeated passages against a dictionary of all runs."""
 
-from capital_access.llm.substring_dedup import SpanRule, remove_repeated_passages, sentence_bounds
+import random
+
+from capital_access.llm.substring_dedup import SpanRule, remove_repeated_passages, run_bounds, sentence_bounds
 
 PASSAGE = "Alpha beta gamma delta one. Epsilon zeta eta theta two. Iota kappa lambda mu three. Nu xi omicron pi four."
 
 
+def every_run(words, rule):
+    """Runs that are just long enough from their first piece on, or up to their last."""
+    found, n = [], len(words)
+    for first in range(n):
+        for last in range(first + 1, n + 1):
+            def long(a, b):
+                return b - a >= min(rule.sentences, n) and sum(words[a:b]) >= rule.least_words
+            if long(first, last) and not (long(first, last - 1) and long(first + 1, last)):
+                found.append((first, last - first))
+    return found
+
+
 def brute(rows, rule):
     """{(id, text): kept text} by going through all documents in the order of their ids."""
     seen, kept = {}, {}
@@ -12,16 +26,13 @@ def brute(rows, rule):
         if text is None:
             kept[doc_id, text] = None
             continue
-        pieces = sentence_bounds(text, rule.longest)
-        width, gone = min(rule.sentences, len(pieces)), set()
-        for first in range(len(pieces) - width + 1 if pieces else 0):
-            run = pieces[first:first + width]
-            if sum(p[2] for p in run) < rule.least_words:
-                continue
-            words = tuple(" ".join(text[a:b].lower().split()) for a, b, _ in run)
-            if words in seen:
-                gone |= set(range(first, first + width))
-            seen.setdefault(words, (doc_id, first))
+        pieces = sentence_bounds(text, rule)
+        words, gone = [p[2] for p in pieces], set()
+        for first, n in every_run(words, rule):
+            run = tuple(" ".join(text[a:b].lower().split()) for a, b, _ in pieces[first:first + n])
+            if run in seen:
+                gone |= set(range(first, first + n))
+            seen.setdefault(run, (doc_id, first))
         kept[doc_id, text] = "".join(text[a:b] for k, (a, b, _) in enumerate(pieces) if k not in gone)
         if not pieces:
             kept[doc_id, text] = text
@@ -33,12 +44,31 @@ def result(df):
 
 
 def test_pieces_cover_the_text():
-    text = "One two.  Three!\n\nFour five? six " + "w " * 45 + "end. "
-    bounds = sentence_bounds(text, 20)
+    text = "One two.  Three!\n\nFour five? " + "a b c d e f g, h, " + "w " * 45 + "end. "
+    bounds = sentence_bounds(text, SpanRule())
     assert [text[a:b] for a, b, _ in bounds][:3] == ["One two.  ", "Three!\n\n", "Four five? "]
-    assert [n for _, _, n in bounds] == [2, 1, 2, 20, 20, 7]
+    assert all(n == len(text[a:b].split()) <= 20 for a, b, n in bounds)
     assert "".join(text[a:b] for a, b, _ in bounds) == text
-    assert sentence_bounds("", 20) == [] and sentence_bounds("  \n ", 20) == []
+    assert sentence_bounds("", SpanRule()) == [] and sentence_bounds("  \n ", SpanRule()) == []
+
+
+def test_runs_are_long_enough_and_no_longer():
+    rng = random.Random(8)
+    for _ in range(200):
+        rule = SpanRule(sentences=rng.randrange(1, 5), least_words=rng.randrange(1, 20))
+        words = [rng.randrange(1, 8) for _ in range(rng.randrange(0, 15))]
+        assert run_bounds(words, rule) == sorted(every_run(words, rule))
+
+
+def test_passage_of_single_words_and_a_changed_word_in_a_long_sentence(docs):
+    shouts = " ".join(f"WORD{k}!!" for k in range(60))
+    long = [f"term{k}" for k in range(120)]
+    changed = [*long[:30], "extra", "words", *long[31:]]
+    df = docs([(1, f"Start. {shouts} End."), (2, f"Other start. {shouts}"), (3, " ".join(long)), (4, " ".join(changed))])
+    found = {r.doc_id: r for r in remove_repeated_passages(df).collect()}
+    assert found[2].text == "Other start. " and found[1].n_removed == found[3].n_removed == 0
+    left = found[4].text.split()
+    assert "extra" in left and len(left) < 45
 
 
 def test_later_occurrences_go(docs):
@@ -72,7 +102,7 @@ def test_repeats_within_a_document_ties_nulls_and_copies(docs):
 
 def test_empty_table_and_clashing_columns(spark, docs):
     assert remove_repeated_passages(docs([])).collect() == []
-    df = spark.createDataFrame([(1, PASSAGE, 5, 6), (2, PASSAGE, 5, 6)], "doc_id long, text string, key int, firsts int")
+    df = spark.createDataFrame([(1, PASSAGE, 5, 6), (2, PASSAGE, 5, 6)], "doc_id long, text string, key int, again int")
     assert result(remove_repeated_passages(df)) == {(1, 0): PASSAGE, (2, 4): ""}
 
 
