@@ -24,6 +24,7 @@ class CodeRule:
     of the others it finds most. Substrings should be about as long as the
     binary logarithm of the vectors in a label, so that a bucket holds a few.
     The rotation is learnt from at most ``sample`` vectors, chosen by a hash of their ids.
+    A bucket of more than ``dense`` vectors is compared in blocks of about ``block`` by ``block``.
     """
 
     bits: int = 64
@@ -31,6 +32,8 @@ class CodeRule:
     radius: int = 1
     sample: int = 8192
     rounds: int = 50
+    dense: int = 128
+    block: int = 1024
 
 
 def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +79,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule = CodeRule()) -> DataFrame:
-    """Rows (a, b, cosine), a < b, of those ``node``s whose ``unit`` vectors under one ``label`` are at least that similar.
+    """Rows (node, other, linked): links of ``node``s whose ``unit`` vectors under one ``label`` are at least that similar.
 
-    ``node`` is a struct that names a vector. Every vector enters each table under its substring and is looked up under
+    ``node`` is a struct that names a vector, ``copies`` its weight. The sum of
+    ``linked`` over the rows of a node is the weight of all nodes linked with it
+    directly; ``other`` is one that links lead to, and all rows together connect
+    whatever is linked.
+
+    Every vector enters each table under its substring and is looked up under
     all substrings within the radius. A pair found in several tables counts in
     the first of them, which both codes tell, so no later deduplication is
     needed. Candidates whose codes differ in far more bits than that cosine
-    would give are cut before vectors are fetched; all others are reranked.
-    Buckets meet in a sort-merge join of two shuffled tables, which adaptive
-    execution splits where a bucket is large.
+    would give are cut; all others are reranked.
+
+    Small buckets meet in a sort-merge join of codes, and vectors are fetched for
+    the candidates left: two rows a link. In larger ones, such as a group of near
+    copies fills, pairs would be rows growing with the square: there the vectors
+    themselves are dealt to blocks (see :func:`_dense_links`).
     """
     dims = vectors.agg(F.max(F.size("unit"))).first()[0] or 0
     if not dims:
-        return vectors.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("cosine")).where("false")
+        return vectors.select("node", F.col("node").alias("other"), F.lit(0).cast("long").alias("linked")).where("false")
     bits = min(rule.bits, dims)
     chosen = bounded_sample(vectors.select("node", "unit"), rule.sample, "node").toPandas()["unit"]
 
@@ -132,20 +143,95 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
 
     own = F.concat(*(entries(t, [0]) for t in range(len(parts))))
     near = F.concat(*(entries(t, flips(size)) for t, (_, size) in enumerate(parts)))
-    stored = codes.select(F.col("node").alias("a"), F.col("code").alias("code_a"), "label", "dims", F.inline(own))
-    asked = codes.select(F.col("node").alias("b"), F.col("code").alias("code_b"), "label", "dims", F.inline(near))
-    errors = F.col("code_a").bitwiseXOR(F.col("code_b"))
+    bucket = ["label", "dims", "t", "part"]
+    stored, asked = (codes.select("node", "code", "label", "dims", F.inline(found)) for found in (own, near))
+    large = settle(stored.groupBy(bucket).agg(F.count("*").alias("n_stored")).where(F.col("n_stored") > rule.dense), "large")
+
+    few = stored.join(large, bucket, "left_anti").withColumnsRenamed({"node": "a", "code": "code_a"})
+    errors, most = F.col("code_a").bitwiseXOR(F.col("code_b")), most_errors(least_cosine, bits)
     first = F.lit(True)
     for t, (at, size) in enumerate(parts):
         first = first & ((F.col("t") <= t) | (F.bit_count(part(errors, at, size)) > rule.radius))
     candidates = (
-        stored.join(asked, ["label", "dims", "t", "part"])
-        .where((F.col("a") < F.col("b")) & first & (F.bit_count(errors) <= most_errors(least_cosine, bits))).select("a", "b"))
-    one = vectors.select(F.col("node").alias("a"), F.col("unit").alias("unit_a"))
-    two = vectors.select(F.col("node").alias("b"), F.col("unit").alias("unit_b"))
+        few.join(asked.withColumnsRenamed({"node": "b", "code": "code_b"}), bucket)
+        .where((F.col("a") < F.col("b")) & first & (F.bit_count(errors) <= most)).select("a", "b"))
+    one, two = (vectors.select(F.col("node").alias(k), F.col("unit").alias(f"unit_{k}"), F.col("copies").alias(f"copies_{k}")) for k in "ab")
+    links = candidates.join(one, "a").join(two, "b").where(cosine(F.col("unit_a"), F.col("unit_b")) >= least_cosine)
+    sparse = links.select(F.inline(F.array(*(
+        F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"copies_{y}").alias("linked")) for x, y in ("ab", "ba")))))
+    if large.isEmpty():
+        return sparse
+    return sparse.unionByName(_dense_links(stored, asked, large, bucket, vectors, parts, most, least_cosine, rule))
+
+
+def linked_in_block(mine: pd.DataFrame, theirs: pd.DataFrame, earlier: list[tuple[int, int]], radius: int, most: int,
+                    least_cosine: float) -> pd.DataFrame:
+    """Links of the stored vectors of a block (``mine``) with the greater ones asked for, as rows (node, other, linked).
+
+    Both have vec_id, tag, code, unit and copies. ``earlier`` are the substrings
+    of the tables before this one, where a pair within the radius has counted.
+    One row for each vector with links: their weight, and the least vector that
+    links within the block lead to.
+    """
+    if mine.empty or theirs.empty:  # a block that the hash left empty
+        return pd.DataFrame(columns=["vec_id", "tag", "other_id", "other_tag", "linked"])
+    names = [list(zip(f["vec_id"], f["tag"])) for f in (mine, theirs)]
+    nodes = sorted({*names[0], *names[1]})
+    rank = {node: k for k, node in enumerate(nodes)}
+    row, column = (np.array([rank[n] for n in found], "i8") for found in names)
+    x, y = (np.array(f["unit"].tolist(), "f8") for f in (mine, theirs))
+    errors = mine["code"].to_numpy("i8").view("u8")[:, None] ^ theirs["code"].to_numpy("i8").view("u8")
+    met = (row[:, None] < column) & (np.bitwise_count(errors) <= most)
+    for at, size in earlier:
+        met &= np.bitwise_count(errors >> np.uint64(at) & np.uint64((1 << size) - 1)) > radius
+    met &= x @ y.T / np.sqrt((x * x).sum(axis=1)[:, None] * (y * y).sum(axis=1)) >= least_cosine
+
+    linked, least = np.zeros(len(nodes), "i8"), np.arange(len(nodes))
+    linked[row] += met @ theirs["copies"].to_numpy("i8")
+    linked[column] += mine["copies"].to_numpy("i8") @ met
+    while True:
+        before = least.copy()
+        least[row] = np.minimum(least[row], np.where(met, least[column], len(nodes)).min(axis=1, initial=len(nodes)))
+        least[column] = np.minimum(least[column], np.where(met, least[row][:, None], len(nodes)).min(axis=0, initial=len(nodes)))
+        least = least[least]
+        if (least == before).all():
+            break
+    found = np.flatnonzero(linked)
+    ends = [nodes[k] for k in found], [nodes[k] for k in least[found]]
+    return pd.DataFrame({"vec_id": [n[0] for n in ends[0]], "tag": [n[1] for n in ends[0]], "other_id": [n[0] for n in ends[1]],
+                         "other_tag": [n[1] for n in ends[1]], "linked": linked[found]})
+
+
+def _dense_links(stored: DataFrame, asked: DataFrame, large: DataFrame, bucket: list[str], vectors: DataFrame,
+                 parts: list[tuple[int, int]], most: int, least_cosine: float, rule: CodeRule) -> DataFrame:
+    """The links found in the ``large`` buckets.
+
+    The two sides of a bucket are cut by hash into blocks of about ``rule.block``
+    vectors, and each two blocks meet in a group of their own. It gives a row for
+    each vector, not for each pair. So no task holds more than two blocks, however
+    many vectors a bucket has, and every pair is compared.
+    """
+    asked = settle(asked.join(large, bucket), "asked")
+    sizes = settle(asked.groupBy(bucket).agg(F.count("*").alias("n_asked")).join(large, bucket), "sizes")
+    blocks = {side: F.ceil(F.col(f"n_{side}") / rule.block).cast("int") for side in ("stored", "asked")}
+
+    def dealt(rows: DataFrame, side: str, other: str, mine: str, theirs: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), blocks[side]).cast("int")
+        against = F.explode(F.sequence(F.lit(0), blocks[other] - 1))
+        return (
+            rows.select("node", "code", *bucket).join(sizes, bucket).join(vectors.select("node", "unit", "copies"), "node")
+            .select(*bucket, block.alias(mine), against.alias(theirs), F.lit(side == "stored").alias("is_stored"),
+                    "node.vec_id", "node.tag", "code", "unit", "copies"))
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows["is_stored"].to_numpy("bool")
+        return linked_in_block(rows[mine], rows[~mine], parts[:int(rows["t"].iloc[0])], rule.radius, most, least_cosine)
+
+    met = dealt(stored, "stored", "asked", "i", "j").unionByName(dealt(asked, "asked", "stored", "j", "i"))
+    id_type = met.schema["vec_id"].dataType.simpleString()
     return (
-        candidates.join(one, "a").join(two, "b").select("a", "b", cosine(F.col("unit_a"), F.col("unit_b")).alias("cosine"))
-        .where(F.col("cosine") >= least_cosine))
+        met.groupBy(*bucket, "i", "j").applyInPandas(compared, f"vec_id {id_type}, tag long, other_id {id_type}, other_tag long, linked long")
+        .select(F.struct("vec_id", "tag").alias("node"), F.struct(F.col("other_id").alias("vec_id"), F.col("other_tag").alias("tag")).alias("other"), "linked"))
 
 
 def most_errors(least_cosine: float, bits: int) -> int:
@@ -182,11 +268,10 @@ def vector_groups(
         good.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
         .select(F.struct("vec_id", F.xxhash64("label", "unit").alias("tag")).alias("node"), "label", "unit", "copies"), "classes")
     members = good.join(classes, ["label", "unit"]).select("vec_id", "node", "copies")
-    links = settle(vector_links(classes.select("node", "label", "unit"), least_cosine, rule), "links")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("node").alias("b"), "copies")
-    counted = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("linked"))
-    found = settle(counted.join(connected_components(links, "a", "b"), "node"), "found")
+    links = settle(vector_links(classes.select("node", "label", "unit", "copies"), least_cosine, rule), "links")
+    counted = links.groupBy("node").agg(F.sum("linked").alias("linked"))
+    roots = connected_components(links.where("node != other"), "node", "other")
+    found = settle(counted.join(roots, "node"), "found")
     linked = members.join(found, "node", "left").select(
         "vec_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("root.vec_id", "node.vec_id").alias("component_id"))

@@ -1,6 +1,7 @@
 """Links and components of vectors against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from capital_access.llm import embedding_dedup as m
@@ -58,6 +59,36 @@ def test_recall_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_blocks_of_large_buckets_give_the_same(spark):
+    """A group of near copies, a chain of links and copies, all compared in blocks of a few vectors."""
+    rng, rows = np.random.default_rng(5), []
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    rows += [(k, near(rng, centre, rng.uniform(0.985, 0.9999)).tolist(), 1) for k in range(90)]
+    turn = np.deg2rad(8)  # each links with its neighbours only
+    rows += [(500 - k, (np.cos(k * turn) * np.eye(1, 64)[0] + np.sin(k * turn) * np.eye(1, 64, 1)[0]).tolist(), 1) for k in range(12)]
+    rows += [(600 + k, rows[k % 3][1], 1) for k in range(9)]
+    rows += [(700 + k, rng.standard_normal(64).tolist(), k % 2) for k in range(40)]
+    df, expected = spark.createDataFrame(rows, SHAPE), brute(rows)
+    results = [sorted(m.vector_groups(df, rule=m.CodeRule(radius=3, dense=dense, block=block)).collect())
+               for dense, block in ((10_000, 1024), (1, 16))]
+    assert results[0] == results[1]
+    got = {r.vec_id: r for r in results[0]}
+    wanted = sum(n for n, _ in expected.values())
+    assert wanted > 2000 and 0.95 * wanted <= sum(r.n_links for r in got.values()) <= wanted
+    assert {got[i].component_id for i in (600, 608, 0, 2)} == {0}
+
+
+def test_a_block_names_vectors_by_text_or_number():
+    same = {"code": [0, 0, 0], "unit": [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]], "copies": [2, 3, 5]}
+    for names in ([1, 2, 3], ["a", "b", "c"]):
+        block = pd.DataFrame({"vec_id": names, "tag": [7, 7, 7], **same})
+        found = m.linked_in_block(block, block, [], 1, 16, 0.98)
+        assert found.values.tolist() == [[names[0], 7, names[0], 7, 3], [names[1], 7, names[0], 7, 2]]
+        assert m.linked_in_block(block, block, [(0, 1)], 1, 16, 0.98).empty  # counted in an earlier table
+        assert m.linked_in_block(block, block.iloc[:0], [], 1, 16, 0.98).empty
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(3, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (9, [1.0, 0.0], 2), (8, [1.0, 0.0], None), (7, None, 1), (6, [0.0, 0.0], 1),
