@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -26,47 +26,70 @@ class SpanRule:
     """What counts as a passage.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line
-    end. One of more than ``longest`` words is cut into pieces of at most that
-    many. They end, from ``shortest`` words on, at a comma, semicolon or colon or
-    at a word whose checksum is a multiple of eight, so that pieces are the same
-    again soon behind a changed word.
+    end. One of ``longest`` words or more is cut into pieces of at most that
+    many: behind the word of the least checksum, the last of equals, of every
+    ``longest`` consecutive words. So a cut depends on words less than
+    ``longest`` away from it, and two occurrences of a passage are cut alike
+    but for at most ``2 * longest - 1`` words at either end, whatever stands
+    around them.
 
     A run is ``sentences`` consecutive pieces, or as many more as hold
     ``least_words`` words: shorter phrases repeat by chance. Each piece begins a
-    run and ends one, so a repeated passage is covered up to both its ends. A
-    document of fewer pieces is one run if it has the words.
+    run and ends one, so a repeated passage is covered up to its first and last
+    common cut. Of 51 words at least 22 lie between these, in three pieces or
+    more: a run, wherever the passage begins and ends. A document of fewer
+    pieces is one run if it has the words.
     """
 
     sentences: int = 3
-    longest: int = 20
-    shortest: int = 6
+    longest: int = 8
     least_words: int = 12
 
 
-def _pieces(text: str, start: int, end: int, rule: SpanRule) -> Iterator[tuple[int, int, int]]:
-    """The pieces of a long sentence."""
-    words = 0
-    for m in _WORD.finditer(text, start, end):
-        words += 1
-        word = m[1]
-        marked = words >= rule.shortest and (word[-1] in ",;:" or crc32(word.lower().encode("utf-8", "surrogatepass")) % 8 == 0)
-        if marked or words == rule.longest:
-            yield start, m.end(), words
-            start, words = m.end(), 0
-    if words:
-        yield start, end, words
+class _Checksums(dict):
+    """Checksums of words in lower case, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = crc32(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_checksums = _Checksums()
+
+
+def _cuts(words: list[str], width: int) -> list[int]:
+    """Places of the words that have the least checksum, the last of equals, of some ``width`` consecutive ones."""
+    sums, found, best = [_checksums[w] for w in words], [], -1
+    for end in range(width - 1, len(sums)):
+        if best <= end - width:
+            least = min(sums[end - width + 1:end + 1])
+            best = end
+            while sums[best] != least:
+                best -= 1
+            found.append(best)
+        elif sums[end] <= sums[best]:
+            best = end
+            found.append(best)
+    return found
 
 
 def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
     """(start, end, words) of each piece; white space behind a piece belongs to it."""
     found, start = [], 0
     for end in [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text)]:
-        words = len(text[start:end].split())
-        if words > rule.longest:
-            found += _pieces(text, start, end, rule)
+        words = text[start:end].lower().split()
+        if len(words) >= rule.longest:
+            ends, done = [m.end() for m in _WORD.finditer(text, start, end)], 0
+            for k in _cuts(words, rule.longest):
+                found.append((start, ends[k], k + 1 - done))
+                start, done = ends[k], k + 1
+            if done < len(words):
+                found.append((start, end, len(words) - done))
             start = end
         elif words:
-            found.append((start, end, words))
+            found.append((start, end, len(words)))
             start = end
     if found and start < len(text):  # white space at the end
         found[-1] = (found[-1][0], len(text), found[-1][2])
@@ -75,27 +98,27 @@ def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
 
 def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
     """(first piece, number of pieces) of all runs of a document, given the words of its pieces."""
-    n, before = len(words), [0, *accumulate(words)]
+    n, before = len(words), np.array([0, *accumulate(words)])
     if n < rule.sentences:
         return [(0, n)] if n and before[n] >= rule.least_words else []
-    found = set()
-    for first in range(n):
-        last = max(first + rule.sentences, bisect_left(before, before[first] + rule.least_words))
-        if last <= n:
-            found.add((first, last - first))
-    for last in range(1, n + 1):
-        first = min(last - rule.sentences, bisect_right(before, before[last] - rule.least_words) - 1)
-        if first >= 0:
-            found.add((first, last - first))
-    return sorted(found)
+    place = np.arange(n)
+    last = np.maximum(place + rule.sentences, np.searchsorted(before, before[:-1] + rule.least_words))
+    first = np.minimum(place + 1 - rule.sentences, np.searchsorted(before, before[1:] - rule.least_words, "right") - 1)
+    begun, ended = last <= n, first >= 0
+    found = np.unique(np.concatenate([place[begun] * (n + 1) + last[begun], first[ended] * (n + 1) + place[ended] + 1]))
+    first, last = np.divmod(found, n + 1)
+    return list(zip(first.tolist(), (last - first).tolist()))
 
 
 def runs_of(text: str | None, rule: SpanRule) -> Iterator[tuple[int, int, bytes]]:
     """(first piece, number of pieces, 128-bit hash) of every run; case and white space do not count."""
     pieces = sentence_bounds(text, rule) if text else []
-    plain = [" ".join(text[a:b].lower().split()) for a, b, _ in pieces]
-    for first, n in run_bounds([p[2] for p in pieces], rule):
-        yield first, n, xxhash.xxh3_128_digest("\n".join(plain[first:first + n]).encode("utf-8", "surrogatepass"))
+    runs = run_bounds([p[2] for p in pieces], rule)
+    if runs:
+        plain = (" ".join(text[a:b].lower().split()) for a, b, _ in pieces)
+        hashes = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in plain)
+        for first, n in runs:
+            yield first, n, xxhash.xxh3_128_digest(hashes[16 * first:16 * (first + n)])
 
 
 def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, int, str]:
@@ -123,13 +146,12 @@ def passage_runs(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) ->
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
-            rows = [
-                (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), place, first, n)
-                for place, text in enumerate(frame["text"]) for first, n, h in runs_of(text, rule)
-            ]
+            rows = [(h, place, first, n) for place, text in enumerate(frame["text"]) for first, n, h in runs_of(text, rule)]
             if not rows:
                 continue
-            runs = pd.DataFrame(rows, columns=["h1", "h2", "place", "first", "n"]).astype("int64")
+            hashes, *numbers = zip(*rows)
+            halves = np.frombuffer(b"".join(hashes), ">i8").astype("i8").reshape(-1, 2)
+            runs = pd.DataFrame(dict(zip(["place", "first", "n"], np.array(numbers, "i8")))).assign(h1=halves[:, 0], h2=halves[:, 1])
             places = runs["place"].to_numpy()
             yield pd.DataFrame({
                 "h1": runs["h1"], "h2": runs["h2"], "doc_id": frame["doc_id"].take(places).to_numpy(),

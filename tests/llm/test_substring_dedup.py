@@ -113,3 +113,30 @@ def test_whole_table_equals_brute_force(small):
     made = remove_repeated_passages(df, rule=rule)
     assert {r.doc_id: r.text for r in made.collect()} == {k[0]: v for k, v in expected.items()}
     assert made.where("n_removed > 0").count() > 5
+
+
+def sentences_around(rng, words, passage):
+    """Random sentences of 3 to 30 words; the passage begins and ends within two of them."""
+    def some(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    before, after = (" ".join(" ".join(some(rng.randrange(3, 31))) + "." for _ in range(3)) for _ in range(2))
+    return " ".join([before, *some(rng.randrange(1, 15)), passage, *some(rng.randrange(1, 15))]) + ". " + after
+
+
+def test_passages_that_begin_and_end_within_sentences(docs):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    passages, rows = {}, []
+    for k in range(300):
+        count, ends = rng.choice([51, 51, 60, 80, 120]), rng.choice([0, 0.05, 0.1, 0.3])
+        passages[k] = " ".join(rng.choice(words) + (rng.choice(".,!?;") if rng.random() < ends else "") for _ in range(count))
+        rows += [(i, sentences_around(rng, words, passages[k])) for i in (k, 1000 + k)]
+    texts = dict(rows)
+    found = {r.doc_id: r for r in remove_repeated_passages(docs(rows)).collect()}
+    for k, passage in passages.items():
+        assert found[k].n_removed == 0
+        at = texts[1000 + k].index(passage)
+        spans = [tuple(map(int, s.split(":"))) for s in found[1000 + k].removed_spans.split(",") if s]
+        inside = sum(len(texts[1000 + k][max(a, at):min(b, at + len(passage))].split()) for a, b in spans)
+        assert inside >= len(passage.split()) - 29  # at most 15 words are left at the beginning, 14 at the end
