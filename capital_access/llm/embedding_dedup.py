@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,9 @@ class CodeRule:
     binary logarithm of the vectors in a label, so that a bucket holds a few.
     The rotation is learnt from at most ``sample`` vectors, chosen by a hash of their ids.
     A bucket of more than ``dense`` vectors is compared in blocks of about ``block`` by ``block``.
+
+    ``tables`` and ``radius`` hold where they find the share ``recall`` of pairs at
+    the least cosine, measured on the sample; otherwise see :func:`search_shape`.
     """
 
     bits: int = 64
@@ -34,6 +38,7 @@ class CodeRule:
     rounds: int = 50
     dense: int = 128
     block: int = 1024
+    recall: float = 0.98
 
 
 def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +64,65 @@ def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np
     return mean, projection @ rotation
 
 
+def near_pair_errors(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, least_cosine: float) -> list[np.ndarray]:
+    """Where codes of near pairs differ, as tables of pairs by bits: of made pairs, and of pairs found if there are a hundred.
+
+    ``vectors`` have length one. A made pair is a vector and one at exactly the
+    least cosine in a random direction. Centring widens the angles of vectors
+    with a common direction, so these errors cannot be told from the cosine.
+    """
+    if not len(vectors):
+        return []
+    rng = np.random.default_rng(42)
+
+    def errors(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return ((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
+
+    x = np.tile(vectors, (-(-4096 // len(vectors)), 1))
+    across = rng.standard_normal(x.shape)
+    across -= (across * x).sum(axis=1, keepdims=True) * x
+    lengths = np.linalg.norm(across, axis=1, keepdims=True)
+    found = [errors(x, least_cosine * x + np.sqrt(max(1 - least_cosine ** 2, 0)) * across / np.where(lengths > 0, lengths, 1))]
+    pairs = []
+    for k in range(0, len(vectors), 512):
+        i, j = np.nonzero(vectors[k:k + 512] @ vectors.T >= least_cosine)
+        i, j = i[i + k < j] + k, j[i + k < j]
+        some = rng.permutation(len(i))[:1024]
+        pairs.append((i[some], j[some]))
+    i, j = map(np.concatenate, zip(*pairs))
+    return found + [errors(vectors[i], vectors[j])] if len(i) >= 100 else found
+
+
+def substrings(bits: int, tables: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each table's part of a code."""
+    width = -(-bits // tables)
+    return [(t * width, min(width, bits - t * width)) for t in range(tables) if t * width < bits]
+
+
+def search_shape(errors: list[np.ndarray], bits: int, largest: Callable[[], int], rule: CodeRule) -> tuple[list[tuple[int, int]], int]:
+    """(substrings, radius) of the search, given where near pairs differ and the number of vectors of the ``largest`` label.
+
+    Those of the rule, if they find the share ``rule.recall`` of each kind of
+    pairs. Else, of the same, two or four times as many tables and all radii, the
+    ones that do so with the fewest look-ups and candidates.
+    """
+    def recall(parts: list[tuple[int, int]], radius: int) -> float:
+        least = (np.min([e[:, at:at + size].sum(axis=1) for at, size in parts], axis=0) for e in errors)
+        return min((float((x <= radius).mean()) for x in least), default=1.0)
+
+    parts = substrings(bits, rule.tables)
+    if recall(parts, rule.radius) >= rule.recall:
+        return parts, rule.radius
+    n, shapes = largest(), []
+    for tables in (rule.tables, 2 * rule.tables, 4 * rule.tables):
+        parts = substrings(bits, tables)
+        radius = next(r for r in range(parts[0][1] + 1) if recall(parts, r) >= rule.recall or r == parts[0][1])
+        lookups = [sum(comb(size, r) for r in range(radius + 1)) for _, size in parts]
+        shapes.append((sum(k * (1 + n / 2 ** size) for k, (_, size) in zip(lookups, parts)), tables, parts, radius))
+    _, _, parts, radius = min(shapes)
+    return parts, radius
+
+
 def usable(vec: Column, label: Column, vec_id: Column) -> Column:
     """Has an id, a label and finite components, not all of them zero."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -89,8 +153,8 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
     Every vector enters each table under its substring and is looked up under
     all substrings within the radius. A pair found in several tables counts in
     the first of them, which both codes tell, so no later deduplication is
-    needed. Candidates whose codes differ in far more bits than that cosine
-    would give are cut; all others are reranked.
+    needed. Candidates whose codes differ in far more bits than near pairs of the
+    sample do are cut; all others are reranked.
 
     Small buckets meet in a sort-merge join of codes, and vectors are fetched for
     the candidates left: two rows a link. In larger ones, such as a group of near
@@ -110,7 +174,12 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
-    mean, projection = learn_rotation(padded(chosen), bits, rule.rounds)
+    fitted = padded(chosen)
+    fitted = fitted[np.lexsort(fitted.T)]  # whatever order the rows came in
+    mean, projection = learn_rotation(fitted, bits, rule.rounds)
+    differing = near_pair_errors(fitted, mean, projection, least_cosine)
+    parts, radius = search_shape(differing, bits, lambda: vectors.groupBy("label").count().agg(F.max("count")).first()[0], rule)
+    most = most_errors(least_cosine, bits, differing)
     weights = np.left_shift(np.uint64(1), np.arange(bits, dtype="u8"))
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,19 +194,16 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
         .mapInPandas(coded, f"vec_id {id_type}, tag long, label {label_type}, dims int, code long")
         .select(F.struct("vec_id", "tag").alias("node"), "label", "dims", "code"), "codes")
 
-    width = -(-bits // rule.tables)
-    parts = [(t * width, min(width, bits - t * width)) for t in range(rule.tables) if t * width < bits]
-
     def part(code: Column, at: int, size: int) -> Column:
         return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
 
     def entries(t: int, flips: list[int]) -> Column:
-        return F.transform(F.array(*(F.lit(f).cast("long") for f in flips)),
+        return F.transform(F.split(F.lit(",".join(map(str, flips))), ",").cast("array<long>"),
                            lambda f: F.struct(F.lit(t).alias("t"), part(F.col("code"), *parts[t]).bitwiseXOR(f).alias("part")))
 
     def flips(size: int) -> list[int]:
         found = {0}
-        for _ in range(rule.radius):
+        for _ in range(radius):
             found |= {f ^ 1 << b for f in found for b in range(size)}
         return sorted(found)
 
@@ -148,10 +214,10 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
     large = settle(stored.groupBy(bucket).agg(F.count("*").alias("n_stored")).where(F.col("n_stored") > rule.dense), "large")
 
     few = stored.join(large, bucket, "left_anti").withColumnsRenamed({"node": "a", "code": "code_a"})
-    errors, most = F.col("code_a").bitwiseXOR(F.col("code_b")), most_errors(least_cosine, bits)
+    errors = F.col("code_a").bitwiseXOR(F.col("code_b"))
     first = F.lit(True)
     for t, (at, size) in enumerate(parts):
-        first = first & ((F.col("t") <= t) | (F.bit_count(part(errors, at, size)) > rule.radius))
+        first = first & ((F.col("t") <= t) | (F.bit_count(part(errors, at, size)) > radius))
     candidates = (
         few.join(asked.withColumnsRenamed({"node": "b", "code": "code_b"}), bucket)
         .where((F.col("a") < F.col("b")) & first & (F.bit_count(errors) <= most)).select("a", "b"))
@@ -161,7 +227,7 @@ def vector_links(vectors: DataFrame, least_cosine: float = 0.98, rule: CodeRule
         F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"copies_{y}").alias("linked")) for x, y in ("ab", "ba")))))
     if large.isEmpty():
         return sparse
-    return sparse.unionByName(_dense_links(stored, asked, large, bucket, vectors, parts, most, least_cosine, rule))
+    return sparse.unionByName(_dense_links(stored, asked, large, bucket, vectors, parts, radius, most, least_cosine, rule))
 
 
 def linked_in_block(mine: pd.DataFrame, theirs: pd.DataFrame, earlier: list[tuple[int, int]], radius: int, most: int,
@@ -203,7 +269,7 @@ def linked_in_block(mine: pd.DataFrame, theirs: pd.DataFrame, earlier: list[tupl
 
 
 def _dense_links(stored: DataFrame, asked: DataFrame, large: DataFrame, bucket: list[str], vectors: DataFrame,
-                 parts: list[tuple[int, int]], most: int, least_cosine: float, rule: CodeRule) -> DataFrame:
+                 parts: list[tuple[int, int]], radius: int, most: int, least_cosine: float, rule: CodeRule) -> DataFrame:
     """The links found in the ``large`` buckets.
 
     The two sides of a bucket are cut by hash into blocks of about ``rule.block``
@@ -225,7 +291,7 @@ def _dense_links(stored: DataFrame, asked: DataFrame, large: DataFrame, bucket:
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         mine = rows["is_stored"].to_numpy("bool")
-        return linked_in_block(rows[mine], rows[~mine], parts[:int(rows["t"].iloc[0])], rule.radius, most, least_cosine)
+        return linked_in_block(rows[mine], rows[~mine], parts[:int(rows["t"].iloc[0])], radius, most, least_cosine)
 
     met = dealt(stored, "stored", "asked", "i", "j").unionByName(dealt(asked, "asked", "stored", "j", "i"))
     id_type = met.schema["vec_id"].dataType.simpleString()
@@ -234,14 +300,17 @@ def _dense_links(stored: DataFrame, asked: DataFrame, large: DataFrame, bucket:
         .select(F.struct("vec_id", "tag").alias("node"), F.struct(F.col("other_id").alias("vec_id"), F.col("other_tag").alias("tag")).alias("other"), "linked"))
 
 
-def most_errors(least_cosine: float, bits: int) -> int:
+def most_errors(least_cosine: float, bits: int, errors: Sequence[np.ndarray] = ()) -> int:
     """Bits in which codes of vectors at that cosine differ with a probability of less than about one in a million.
 
-    A sign differs with probability angle / pi; five standard deviations and two
-    bits are added to the mean for codes that fit the data worse.
+    A sign differs with probability angle / pi, or more where centring widens the
+    angle: the ``errors`` of near pairs tell. The greatest of the means counts,
+    with five standard deviations and two bits for codes that fit the data worse.
     """
     p = float(np.arccos(np.clip(least_cosine, -1, 1)) / np.pi)
-    return int(min(bits, np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p)) + 2)))
+    counts = [e.sum(axis=1) for e in errors]
+    spread = [(bits * p, np.sqrt(bits * p * (1 - p))), *((c.mean(), c.std()) for c in counts)]
+    return int(min(bits, max(np.ceil(mean + 5 * deviation + 2) for mean, deviation in spread)))
 
 
 def vector_groups(

@@ -121,3 +121,19 @@ def test_threshold_is_exact(spark, cosine):
     b = cosine * a + np.sqrt(1 - cosine ** 2) * np.eye(1, 64, 1)[0]
     found = m.vector_groups(spark.createDataFrame([(1, a.tolist(), 0), (2, b.tolist(), 0)], SHAPE)).collect()
     assert {r.n_links for r in found} == {int(cosine >= 0.98)}
+
+
+def test_recall_on_vectors_with_a_common_direction(spark):
+    """Mean cosine 0.95: centring widens the angle of a link, so codes of links differ in far more bits."""
+    rng, rows, common = np.random.default_rng(17), [], np.eye(1, 64)[0]
+    for k in range(3000):
+        other = np.append(0, rng.standard_normal(63))
+        centre = np.sqrt(0.95) * common + np.sqrt(0.05) * other / np.linalg.norm(other)
+        rows += [(2 * k, centre.tolist(), k % 10), (2 * k + 1, near(rng, centre, rng.uniform(0.98, 0.99)).tolist(), k % 10)]
+    x, labels = np.array([r[1] for r in rows], "f4").astype("f8"), np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98) & (labels[:, None] == labels)
+    expected = links.sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in m.vector_groups(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert expected.sum() > 5000 and 0.97 * expected.sum() <= sum(found.values()) <= expected.sum()
+    assert all(found[i] <= n for i, n in enumerate(expected))
