@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from capital_access.llm import (
-    chat_format, decontaminate, embedding_dedup, license_scan, quality_ranker, secret_scan, simhash_dedup, source_mixing,
-    substring_dedup, warc_archive,
+    chat_format, decontaminate, embedding_dedup, fill_in_middle, license_scan, quality_ranker, secret_scan, simhash_dedup,
+    source_mixing, substring_dedup, warc_archive,
 )
 from capital_access.llm.common import table
 from capital_access.llm.registry import query
@@ -135,3 +135,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as read back from the archives they were written to."""
     archives = warc_archive.write_archives(table(spark, sf_dir, "pages"), warc_archive.archive_folder(spark))
     return warc_archive.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_fill_in_middle", r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+    u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                 CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi FROM u),
+    p AS (SELECT *, array_to_string(units[1:lo], '') AS p, array_to_string(units[lo + 1:hi], '') AS m, array_to_string(units[hi + 1:], '') AS s,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's transformed text, and of the text restored from it."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.withColumn("restored", fill_in_middle.restored()).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
