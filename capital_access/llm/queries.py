@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from capital_access.llm import (
-    chat_format, decontaminate, embedding_dedup, fill_in_middle, license_scan, quality_ranker, secret_scan, simhash_dedup,
-    source_mixing, substring_dedup, warc_archive,
+    chat_format, decontaminate, embedding_dedup, fill_in_middle, license_scan, prefix_trie, quality_ranker, secret_scan,
+    simhash_dedup, source_mixing, substring_dedup, warc_archive,
 )
 from capital_access.llm.common import table
 from capital_access.llm.registry import query
@@ -155,3 +155,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return made.withColumn("restored", fill_in_middle.restored()).select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_conversation_prefix_trie", r"""
+    WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+    crc(c, s, k, v) AS (
+        SELECT c, CAST(c AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM ids
+        UNION ALL
+        SELECT c, s, k + 1, xor(b >> 1, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END)
+        FROM (SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(v, CAST(ord(s[k // 8 + 1]) AS BIGINT)) ELSE v END AS b FROM crc WHERE k < 8 * length(s)) x),
+    h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE k = 8 * length(s)),
+    o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+          FROM conversations WHERE conv_id IS NOT NULL),
+    r AS (SELECT h.c, 0 AS own, p, role, text FROM h JOIN o ON o.c = h.c - h.c % 20 AND p < h
+          UNION ALL SELECT h.c, 1, p, role, text FROM h JOIN o ON o.c = h.c AND p >= h),
+    t AS (SELECT c, row_number() OVER w AS d, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS node,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY c) AS n
+          FROM r WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+    m AS (SELECT c, d, node, lag(node, 1, '') OVER (PARTITION BY c ORDER BY d) AS up, words, n FROM t
+          UNION ALL SELECT c, 0, '', NULL, 0, (SELECT count(*) FROM t WHERE t.c = ids.c) FROM ids),
+    v AS (SELECT node, min(d) AS depth, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words,
+                 sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256 FROM m GROUP BY node),
+    k AS (SELECT up AS node, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up),
+    u AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (node)),
+    s AS (SELECT m.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * u.words) AS saved_tokens
+          FROM u JOIN m ON m.c = u.conv_id AND m.d <= u.depth GROUP BY m.node)
+    SELECT u.conv_id, CAST(u.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, u.ends_sha256
+    FROM u JOIN s USING (node) LEFT JOIN v p ON p.node = u.up
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations whose beginnings come from the first of twenty."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
