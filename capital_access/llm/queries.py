@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from capital_access.llm import (
-    chat_format, decontaminate, embedding_dedup, fill_in_middle, license_scan, prefix_trie, quality_ranker, secret_scan,
-    simhash_dedup, source_mixing, substring_dedup, warc_archive,
+    chat_format, decontaminate, embedding_dedup, fill_in_middle, license_scan, lm_scoring, prefix_trie, quality_ranker,
+    secret_scan, simhash_dedup, source_mixing, substring_dedup, warc_archive,
 )
 from capital_access.llm.common import table
 from capital_access.llm.registry import query
@@ -157,6 +157,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of the documents outside the held-out fold."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op13_conversation_prefix_trie", r"""
     WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
     crc(c, s, k, v) AS (

@@ -57,7 +57,7 @@ def test_stages_take_empty_tables_and_keep_columns(spark, docs):
 
 def test_registered():
     names = [k for k in entry_module.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry_module.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry_module.queries()
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
