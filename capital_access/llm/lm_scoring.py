@@ -189,22 +189,39 @@ class LogBilinear:
             setattr(self, n, values[at:at + old.size].reshape(old.shape).astype("f4"))
             at += old.size
 
-    def log_probabilities(self, targets: np.ndarray, before: np.ndarray, rows: int = 1024) -> np.ndarray:
-        """Natural logarithms of the shares of the target cells, over all cells, ``rows`` at a time."""
-        by_distance = [np.hstack([self.inputs @ m, np.zeros((len(self.inputs), 1), "f4")]) for m in self.matrices]
-        by_distance[0][:, -1] = 1  # the bias is one more component
-        weights, out = np.vstack([self.outputs.T, self.bias]), np.empty(len(targets))
-        for a in range(0, len(targets), rows):
-            b = min(a + rows, len(targets))
-            hidden = by_distance[0][before[a:b, 0]]
-            for k in range(1, self.shape.context):
-                hidden += by_distance[k][before[a:b, k]]
-            scores = hidden @ weights
-            if np.abs(hidden).max() * np.abs(weights).sum(axis=0).max() > 80:  # only then can an exponential overflow
-                scores -= scores.max(axis=1, keepdims=True)
-            chosen = scores[np.arange(b - a), targets[a:b]].astype("f8")
-            out[a:b] = chosen - np.log(np.exp(scores, out=scores).sum(axis=1).astype("f8"))
-        return out
+    def log_probabilities(self, targets: np.ndarray, before: np.ndarray, rows: int = 512) -> np.ndarray:
+        """Natural logarithms of the shares of the target cells, over all cells.
+
+        Equal contexts are normalised once, ``rows`` at a time.
+        """
+        contexts, place = _distinct(before, len(self.inputs))
+        weights = np.vstack([self.outputs.T, self.bias])  # the bias is one more component
+        hidden = np.ones((len(contexts), len(weights)), "f4")
+        hidden[:, :-1] = sum((self.inputs @ m)[contexts[:, k]] for k, m in enumerate(self.matrices))
+        largest, ones = np.abs(weights).sum(axis=0).max(initial=0), np.ones(weights.shape[1], "f4")
+        scores, totals = np.empty((rows, weights.shape[1]), "f4"), np.empty(len(hidden))
+        for a in range(0, len(hidden), rows):
+            part = hidden[a:a + rows]
+            found = np.matmul(part, weights, out=scores[:len(part)])
+            shift = 0.0
+            if np.abs(part).max() * largest > 80:  # only then can an exponential overflow
+                shift = found.max(axis=1).astype("f8")
+                found -= shift[:, None]
+            totals[a:a + rows] = np.log((np.exp(found, out=found) @ ones).astype("f8")) + shift
+        chosen = np.einsum("ij,ij->i", hidden[place], np.ascontiguousarray(weights.T)[targets])
+        return chosen.astype("f8") - totals[place]
+
+
+def _distinct(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of numbers below ``size``, and for each row its place among them."""
+    if size ** rows.shape[1] >= 1 << 62:
+        found, place = np.unique(rows, axis=0, return_inverse=True)
+        return found, place.ravel()
+    codes = np.zeros(len(rows), "i8")
+    for column in rows.T:
+        codes = codes * size + column
+    _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+    return rows[first], place
 
 
 def _added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -302,7 +319,7 @@ def train(texts: DataFrame, vocabulary, model: LogBilinear) -> LogBilinear:
     """One round: every task learns from its texts, starting with ``model``; the models are averaged by their tokens.
 
     ``texts`` has the column text. A task hands on one vector of all parameters;
-    these are added up in two steps, as streams, and one vector comes to the driver.
+    these are added up in two steps, as streams, and the last eight on the driver.
     """
     start, shape = model, model.shape
 
@@ -328,11 +345,12 @@ def train(texts: DataFrame, vocabulary, model: LogBilinear) -> LogBilinear:
             yield pd.DataFrame({"tokens": [tokens], "sums": [sums.tobytes()]})
 
     schema = "tokens double, sums binary"
-    found = (
-        texts.select("text").mapInPandas(learnt, schema).repartition(64, F.xxhash64("sums")).mapInPandas(added, schema)
-        .repartition(1).mapInPandas(added, schema).collect())
+    parts = texts.select("text").mapInPandas(learnt, schema)
+    for tasks in (64, 8):
+        parts = parts.repartition(tasks, F.xxhash64("sums")).mapInPandas(added, schema)
+    found = parts.collect()
     model = LogBilinear(shape, start.unigrams)
-    model.unpack(np.frombuffer(found[0]["sums"]) / found[0]["tokens"] if found else start.packed())
+    model.unpack(sum(np.frombuffer(r["sums"]) for r in found) / sum(r["tokens"] for r in found) if found else start.packed())
     return model
 
 
@@ -374,26 +392,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for frame in small_batches(frames):
             rows = len(frame)
             sums = {name: np.zeros(rows) for name in ("n_tokens", "n_known", "base_score", "score")}
-            rare: list[Counter] = [Counter() for _ in range(rows)]
-            for place, numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context):
+            rare: list[list[bytes]] = [[] for _ in range(rows)]
+            for place, numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context, 1 << 17):
                 chances = model.log_probabilities(cells, before) / np.log(10) + reader.within[numbers]
                 for name, values in (("n_tokens", None), ("n_known", known[numbers]), ("base_score", reader.base[numbers]), ("score", chances)):
                     sums[name] += np.bincount(place, values, rows)
                 for k, token in unknown:
-                    rare[k][token] += 1
+                    rare[k].append(token)
             yield pd.DataFrame({
                 "row": frame["row"].to_numpy(), "doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy(),
                 "n_tokens": sums["n_tokens"].astype("i8"), "n_known": sums["n_known"].astype("i8"),
                 "base_score": sums["base_score"], "score": sums["score"],
-                "rare": [[{"token": t, "times": n} for t, n in found.items()] for found in rare]})
+                # A blank before each token; no token holds one.
+                "rare": [b" " + b" ".join(found) if found else None for found in rare]})
 
     parts = settle(read.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
         scored, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-                "rare array<struct<token:binary,times:long>>"), "scored")
-    tokens = parts.select("row", F.explode("rare").alias("t")).select("row", "t.token", F.col("t.times").alias("n"))
+                "rare binary"), "scored")
+    words = F.split(F.substr(F.col("rare").cast("string"), F.lit(2)), " ").cast("array<binary>")
+    tokens = parts.where("rare IS NOT NULL").select("row", F.explode(words).alias("token"))
     added = tokens.join(others, "token", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("times", F.lit(0)) + F.lit(ADDED))).alias("added"),
-        F.sum(F.when(F.col("times") > 0, F.col("n")).otherwise(0)).alias("more_known"))
+        F.sum(F.log10(F.coalesce("times", F.lit(0)) + F.lit(ADDED))).alias("added"), F.count("times").alias("more_known"))
     return parts.drop("rare").join(added, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"),
