@@ -198,14 +198,15 @@ class LogBilinear:
         weights = np.vstack([self.outputs.T, self.bias])  # the bias is one more component
         hidden = np.ones((len(contexts), len(weights)), "f4")
         hidden[:, :-1] = sum((self.inputs @ m)[contexts[:, k]] for k, m in enumerate(self.matrices))
-        largest, ones = np.abs(weights).sum(axis=0).max(initial=0), np.ones(weights.shape[1], "f4")
-        scores, totals = np.empty((rows, weights.shape[1]), "f4"), np.empty(len(hidden))
+        large = np.abs(hidden).max(initial=0) * np.abs(weights).sum(axis=0).max(initial=0) > 80
+        if large:  # only then can an exponential overflow
+            hidden, weights = hidden.astype("f8"), weights.astype("f8")
+        ones, shift, totals = np.ones(weights.shape[1], weights.dtype), 0.0, np.empty(len(hidden))
+        scores = np.empty((rows, weights.shape[1]), weights.dtype)
         for a in range(0, len(hidden), rows):
-            part = hidden[a:a + rows]
-            found = np.matmul(part, weights, out=scores[:len(part)])
-            shift = 0.0
-            if np.abs(part).max() * largest > 80:  # only then can an exponential overflow
-                shift = found.max(axis=1).astype("f8")
+            found = np.matmul(hidden[a:a + rows], weights, out=scores[:len(hidden) - a])
+            if large:
+                shift = found.max(axis=1)
                 found -= shift[:, None]
             totals[a:a + rows] = np.log((np.exp(found, out=found) @ ones).astype("f8")) + shift
         chosen = np.einsum("ij,ij->i", hidden[place], np.ascontiguousarray(weights.T)[targets])
