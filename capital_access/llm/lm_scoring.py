@@ -209,8 +209,11 @@ class LogBilinear:
                 shift = found.max(axis=1)
                 found -= shift[:, None]
             totals[a:a + rows] = np.log((np.exp(found, out=found) @ ones).astype("f8")) + shift
-        chosen = np.einsum("ij,ij->i", hidden[place], np.ascontiguousarray(weights.T)[targets])
-        return chosen.astype("f8") - totals[place]
+        by_cell, out = np.ascontiguousarray(weights.T), -totals[place]
+        for a in range(0, len(out), 1 << 13):
+            part = slice(a, a + (1 << 13))
+            out[part] += np.einsum("ij,ij->i", hidden[place[part]], by_cell[targets[part]])
+        return out
 
 
 def _distinct(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +235,10 @@ def _added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(places.ravel(), rows.ravel(), size * width).reshape(size, width).astype("f4")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def _share(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in the place of x."""
     with np.errstate(over="ignore"):
-        x = np.exp(np.negative(x, out=x), out=x)
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -265,18 +269,20 @@ class Trainer:
         read = [m.inputs[before[:, k]] for k in range(m.shape.context)]
         hidden = sum(r @ c for r, c in zip(read, m.matrices))
         out_true, out_noise = m.outputs[targets], m.outputs[noise]
-        true = np.einsum("ij,ij->i", hidden, out_true) + m.bias[targets] - self.log_noise[targets]
-        false = hidden @ out_noise.T + (m.bias[noise] - self.log_noise[noise])
-        # Slopes of the logistic loss, over the batch.
-        true, false = (_sigmoid(true) - 1) / n, _sigmoid(false) / n
+        # Slopes of the logistic loss: minus the share of noise for the true ones, the share of the corpus for the others.
+        true = -_share(np.einsum("ij,ij->i", hidden, out_true) + (m.bias - self.log_noise)[targets])
+        false = hidden @ -out_noise.T
+        false += (self.log_noise - m.bias)[noise]
+        false = _share(false)
         back = true[:, None] * out_true + false @ out_noise
-        cells = np.concatenate([targets, noise])
-        outputs = _added(cells, np.concatenate([true[:, None] * hidden, false.T @ hidden]), len(m.outputs))
-        bias = np.bincount(cells, np.concatenate([true, false.sum(axis=0)]), len(m.bias)).astype("f4")
+        hidden, from_noise = true[:, None] * hidden, false.T @ hidden
+        outputs, bias = _added(targets, hidden, len(m.outputs)), np.bincount(targets, true, len(m.bias)).astype("f4")
+        np.add.at(outputs, noise, from_noise)
+        np.add.at(bias, noise, false.sum(axis=0))
         matrices = np.stack([r.T @ back for r in read])
-        inputs = _added(np.concatenate([before[:, k] for k in range(m.shape.context)]), np.concatenate([back @ c.T for c in m.matrices]), len(m.inputs))
+        inputs = sum(_added(before[:, k], back @ c.T, len(m.inputs)) for k, c in enumerate(m.matrices))
         for name, gradient in (("outputs", outputs), ("bias", bias), ("matrices", matrices), ("inputs", inputs)):
-            self._move(name, gradient)
+            self._move(name, gradient / n)
 
     def learn(self, targets: np.ndarray, before: np.ndarray) -> None:
         """A step for each batch, of tokens drawn from everywhere in the block."""
@@ -289,7 +295,7 @@ class Trainer:
 def blocks(texts: Iterator[tuple[int, str | None]], reader: Reader, context: int, size: int = 1 << 15) -> Iterator[tuple]:
     """(places, numbers, cells, cells before, tokens not looked up) of consecutive tokens, in blocks of ``size`` or more.
 
-    A block holds whole texts, or pieces of a long one; its last list has (place, token) pairs.
+    A block holds whole texts, or pieces of a long one; its last list has (place, tokens) pairs.
     """
     start = int(reader.cell.max()) + 1
     parts, rare, held = [], [], 0
@@ -306,7 +312,9 @@ def blocks(texts: Iterator[tuple[int, str | None]], reader: Reader, context: int
             n = len(cells)
             before = np.stack([row[context - 1 - k:context - 1 - k + n] for k in range(context)], axis=1)
             last = row[n:]
-            rare.extend((place, words[k]) for k in np.flatnonzero(numbers >= reader.known).tolist())
+            unknown = np.flatnonzero(numbers >= reader.known).tolist()
+            if unknown:
+                rare.append((place, [words[k] for k in unknown]))
             parts.append((np.full(n, place, "i4"), numbers, cells, before))
             held += n
             if held >= size:
@@ -398,8 +406,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 chances = model.log_probabilities(cells, before) / np.log(10) + reader.within[numbers]
                 for name, values in (("n_tokens", None), ("n_known", known[numbers]), ("base_score", reader.base[numbers]), ("score", chances)):
                     sums[name] += np.bincount(place, values, rows)
-                for k, token in unknown:
-                    rare[k].append(token)
+                for k, tokens in unknown:
+                    rare[k] += tokens
             yield pd.DataFrame({
                 "row": frame["row"].to_numpy(), "doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy(),
                 "n_tokens": sums["n_tokens"].astype("i8"), "n_known": sums["n_known"].astype("i8"),
