@@ -138,8 +138,8 @@ def q_community_lender_clean(spark, sf):
     raw, landed = _lender_raw(spark, sf), [scratch_path(spark, "lender") for _ in range(2)]
     late = F.col("dateclosed").substr(-2, 2) >= "98"
     # Blank fields are written as such, and later files have their columns in another order.
-    raw.filter(~late).coalesce(1).write.csv(landed[0], header=True, emptyValue="")
-    raw.filter(late).select(*reversed(raw.columns)).coalesce(1).write.csv(landed[1], header=True, emptyValue="")
+    raw.filter(~late).write.csv(landed[0], header=True, emptyValue="")
+    raw.filter(late).select(*reversed(raw.columns)).write.csv(landed[1], header=True, emptyValue="")
     return programs.clean_community_lender(csv_strings(spark, landed, raw.columns))
 
 

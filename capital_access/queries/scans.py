@@ -9,9 +9,10 @@ from capital_access.functions.text import pad_code
 from capital_access.operators.joins import join_renamed
 from capital_access.operators.rows import bind_rows
 from capital_access.queries.registry import query
-from capital_access.queries.roles import county_metro, loans, money_sql, table, with_sql
-from capital_access.session import scratch_path
-from capital_access.sources.archives import zip_lines
+from capital_access.queries.roles import county_metro, in_years, loans, money_sql, table, with_sql
+from capital_access.session import scratch_path, settle
+from capital_access.sources.archives import read_zip_lines
+from capital_access.sources.files import locate
 from capital_access.sources.readers import (
     csv_strings,
     csv_typed,
@@ -53,24 +54,29 @@ def scan_multi_file_union(spark, sf):
     )
 
 
-def _zipped(lines):
-    """Archives of lines, one per batch; the member's name changes from batch to batch."""
+def _zipped(lines, root):
+    """Paths of archives of lines, one per batch; the members' names change from batch to batch."""
 
     def pack(batches):
-        import io
         import zipfile
 
         import pandas as pd
+        from pyspark import TaskContext
 
-        names = ("exp_aggr.dat", "12exp_aggr.dat", "cra2016_Aggr_A11.dat")
+        names = (["exp_aggr.dat"], ["12exp_aggr.dat", "13exp_aggr.dat", "14exp_aggr.dat"], ["cra2016_Aggr_A11.dat"])
+        attempt = TaskContext.get().taskAttemptId()
         for i, batch in enumerate(batches):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            path = f"{root}/{attempt}-{i}.zip"
+            system, name = locate(path)
+            system.create_dir(name.rpartition("/")[0], recursive=True)
+            members = names[(attempt + i) % 3]
+            with system.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("readme.txt", "not data\n")
-                archive.writestr(names[i % 3], "\n".join(batch["value"]) + "\n")
-            yield pd.DataFrame({"path": [f"{i}.zip"], "content": [buffer.getvalue()]})
+                for k, member in enumerate(members):
+                    archive.writestr(member, "".join(f"{line}\n" for line in batch["value"][k::len(members)]))
+            yield pd.DataFrame({"path": [path]})
 
-    return lines.mapInPandas(pack, "path string, content binary")
+    return [r["path"] for r in settle(lines.mapInPandas(pack, "path string"), "archives").collect()]
 
 
 @query(
@@ -82,12 +88,12 @@ def _zipped(lines):
     """,
 )
 def scan_zip_members(spark, sf):
-    """Zipped fixed-width extracts whose member is named in three ways."""
+    """Zipped fixed-width extracts whose members are named in three ways, read member by member."""
     lines = _orders(spark, sf).select(
         F.concat(pad_code("year", 4), F.lpad(F.col("amt").cast("string"), 14, " ")).alias("value")
     )
     patterns = [r"^exp_aggr\.dat$", r"^\d\dexp_aggr\.dat$", r"^cra20\d\d_Aggr_A11\.dat$"]
-    fields = fixed_width(zip_lines(_zipped(lines), patterns), [("year", 4), ("amt", 14)])
+    fields = fixed_width(read_zip_lines(spark, _zipped(lines, scratch_path(spark, "zips")), patterns), [("year", 4), ("amt", 14)])
     return fields.groupBy(to_integer("year").alias("year")).agg(
         F.count(F.lit(1)).alias("n"), money_sum(to_number("amt")).alias("amt")
     )
@@ -148,7 +154,7 @@ def csv_all_string_scan(spark, sf):
 def csv_typed_scan(spark, sf):
     """One year's CSV, found by a path that holds the year, with a declared schema."""
     root, year = scratch_path(spark, "typed"), 1999
-    line = table(spark, sf, "lineitem").filter(F.year("l_shipdate") == year)
+    line = table(spark, sf, "lineitem").filter(in_years("l_shipdate", year, year))
     save_csv(line.select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("price")), f"{root}/{year}")
     schema = "l_returnflag string, l_quantity double, price double"
     return csv_typed(spark, f"{root}/{year}", schema).groupBy("l_returnflag").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     A session without that setting uses its warehouse, which Spark's own tables
-    need on shared storage in any case.
+    need on shared storage in any case. On a cluster, a warehouse that is a
+    local folder, as it is unless set, would leave each executor's rows on its
+    own disk: that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if urlparse(warehouse).scheme in ("", "file") and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("executors share no folder: set spark.checkpoint.dir, or spark.sql.warehouse.dir to a folder of a shared store")
+    return f"{warehouse}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

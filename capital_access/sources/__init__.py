@@ -1 +1,8 @@
 """Readers and writers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python tasks get the functions themselves, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

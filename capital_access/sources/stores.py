@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 MANIFEST = "_tables"
-MANIFEST_SCHEMA = "name string, path string, columns array<string>, partitioned_by array<string>"
+MANIFEST_SCHEMA = (
+    "version int, tables array<struct<name:string,path:string,columns:array<string>,partitioned_by:array<string>>>")
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -19,6 +22,16 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
         df.write.mode("overwrite").parquet(path)
 
 
+def bundle_versions(spark: SparkSession, root: str) -> DataFrame:
+    """Rows version, tables: what has been saved under a root; none where nothing has."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
 def save_bundle(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
@@ -26,25 +39,41 @@ def save_bundle(
     pattern: str = "",
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Write the tables whose name matches ``pattern``; the manifest comes last."""
+    """Write the tables whose name matches ``pattern`` as a new version of the bundle; their names.
+
+    A version has a folder of its own, and one row in the manifest, a file
+    that is put into place when all tables are written. Until then, and after a
+    failure between tables, readers find the former version whole. So a
+    table may be read from the bundle it is saved to. One writer at a time;
+    former versions stay until the folder's owner removes them.
+    """
     chosen = {n: t for n, t in tables.items() if re.search(pattern, n)}
-    rows = []
+    version = (bundle_versions(spark, root).agg(F.max("version")).first()[0] or 0) + 1
+    folder, rows = f"{root}/{version:06d}-{uuid.uuid4().hex[:8]}", []
     for name, table in chosen.items():
         by = list((partition_by or {}).get(name, ()))
-        save_table(table, f"{root}/{name}", by)
-        rows.append((name, f"{root}/{name}", table.columns, by))
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/{MANIFEST}")
+        save_table(table, f"{folder}/{name}", by)
+        rows.append((name, f"{folder}/{name}", table.columns, by))
+    spark.createDataFrame([(version, rows)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
     return list(chosen)
 
 
+def bundle_tables(spark: SparkSession, root: str, version: int | None = None) -> list[Row]:
+    """Name, path, columns and partitioning of the tables of a version, the latest unless given."""
+    saved = bundle_versions(spark, root)
+    found = (saved if version is None else saved.where(F.col("version") == version)).orderBy(F.col("version").desc()).first()
+    if found is None:
+        raise ValueError(f"no bundle{'' if version is None else f' of version {version}'} at {root}")
+    return found["tables"]
+
+
 def load_bundle(
-    spark: SparkSession, root: str, pattern: str = "", views: bool = False
+    spark: SparkSession, root: str, pattern: str = "", views: bool = False, version: int | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of a bundle by name, optionally also as temporary views."""
-    listed = spark.read.parquet(f"{root}/{MANIFEST}").collect()
+    """Tables of a bundle by name, of its latest version unless given, optionally also as temporary views."""
     tables = {
         row["name"]: spark.read.parquet(row["path"]).select(*[F.col(f"`{c}`") for c in row["columns"]])
-        for row in listed
+        for row in bundle_tables(spark, root, version)
         if re.search(pattern, row["name"])
     }
     if views:

@@ -1,6 +1,7 @@
 """Readers and writers on files in a temporary folder."""
 
 import json
+import os
 import zipfile
 
 import pytest
@@ -66,6 +67,63 @@ def test_zip_members_are_chosen_by_pattern(spark, tmp_path):
         archives.read_zip_lines(spark, str(tmp_path / "12.zip"), ["absent"]).count()
 
 
+def test_members_of_an_archive_are_partitions(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as archive:  # stored, so that sizes are those of the texts
+        for k in range(6):
+            archive.writestr(f"{k}.dat", f"{k}\n" * (2_000 if k < 4 else 10))
+        archive.writestr("empty.dat", "")
+    whole = archives.read_zip_lines(spark, str(tmp_path / "big.zip"), [r"dat$"], together=1000)
+    assert whole.rdd.getNumPartitions() == 5  # the last three are read together
+    assert rows(whole.groupBy("member").agg(F.count("*"), F.max("line_no"), F.min("value"))) == [
+        (f"{k}.dat", 2_000 if k < 4 else 10, 2_000 if k < 4 else 10, str(k)) for k in range(6)]
+    assert archives.read_zip_lines(spark, str(tmp_path / "big.zip"), [r"dat$"]).rdd.getNumPartitions() == 1
+    assert archives.read_zip_lines(spark, str(tmp_path / "big.zip"), [r"^4"]).count() == 10
+
+
+def test_broken_directory_and_odd_names(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "odd name é%20.zip", "w") as archive:
+        archive.writestr("a.dat", "1\n2\n")
+    assert archives.read_zip_lines(spark, str(tmp_path), ["a"]).count() == 2
+    content = (tmp_path / "odd name é%20.zip").read_bytes()
+    (tmp_path / "cut.zip").write_bytes(content[:-30])
+    with pytest.raises(Exception, match="cut.zip has no readable directory"):
+        archives.read_zip_lines(spark, str(tmp_path / "cut.zip"), ["a"]).count()
+
+
+def test_archive_in_a_store_of_spark_alone(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("a.dat", "1\n2\n")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.csv").write_text("\n\ncode,a\n1,2\n")
+    (tmp_path / "c" / "y.csv").write_text("a,code\n3,4\n")
+    monkeypatch.setattr(archives, "reachable", lambda path: False)
+    monkeypatch.setattr(readers, "reachable", lambda path: False)
+    assert archives.read_zip_lines(spark, str(tmp_path / "a.zip"), ["a"]).count() == 2
+    assert rows(readers.csv_strings(spark, str(tmp_path / "c"), ["code", "a"])) == [("1", "2"), ("4", "3")]
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for k in range(n):
+            header = ["code,race", "race,code", "code"][k % 3]
+            (folder / f"{k:04d}.csv").write_text(f"{header}\n" + ",".join({"code": f"{k:03d}", "race": "W"}[c] for c in header.split(",")) + "\n")
+        spark.sparkContext.setJobGroup(f"headers {n}", "")
+        read = readers.csv_strings(spark, str(folder), ["code", "race"])
+        started = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers {n}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert rows(read) == sorted(((f"{k:03d}", None if k % 3 == 2 else "W") for k in range(n)), key=str)
+        return started
+
+    # Spark lists the files of a header by a job of its own where they are many.
+    assert jobs(200) <= jobs(40) + 3 <= 10
+
+
+def test_header_names():
+    assert readers.header_names('a,,"b, c",A,d') == ["a0", "_c1", "b, c", "A3", "d"]
+
+
 def test_bundle_keeps_only_matching_names(spark, tmp_path):
     facts = spark.createDataFrame([(2014, "a"), (2015, "b")], "year int, `odd name` string")
     names = stores.save_bundle(
@@ -76,8 +134,31 @@ def test_bundle_keeps_only_matching_names(spark, tmp_path):
     back = stores.load_bundle(spark, str(tmp_path / "b"), "facts", views=True)
     assert list(back) == ["facts_cleaned"] and back["facts_cleaned"].columns == ["year", "odd name"]
     assert rows(spark.table("facts_cleaned")) == [(2014, "a"), (2015, "b")]
-    assert (tmp_path / "b" / "facts_cleaned" / "year=2014").is_dir()
-    assert rows(readers.yearly_parquet(spark, str(tmp_path / "b" / "facts_cleaned"), [2015]).select("year")) == [(2015,)]
+    path = stores.bundle_tables(spark, str(tmp_path / "b"))[0]["path"]
+    assert os.path.isdir(f"{path}/year=2014")
+    assert rows(readers.yearly_parquet(spark, path, [2015]).select("year")) == [(2015,)]
+
+
+def test_bundle_versions(spark, tmp_path):
+    root = str(tmp_path / "b")
+    with pytest.raises(ValueError, match="no bundle at"):
+        stores.load_bundle(spark, root)
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    stores.save_bundle(spark, {"x": first, "y": first}, root)
+    back = stores.load_bundle(spark, root)
+    # Saved over its own source.
+    stores.save_bundle(spark, {"x": back["x"].where("k = 1"), "y": back["y"]}, root)
+    assert rows(stores.load_bundle(spark, root)["x"]) == [(1, "a")] and rows(back["x"]) == [(1, "a"), (2, "b")]
+    # A failure between tables.
+    bad = first.select("k", F.raise_error(F.lit("stop")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="stop"):
+        stores.save_bundle(spark, {"x": first.where("false"), "y": bad}, root)
+    now = stores.load_bundle(spark, root)
+    assert rows(now["x"]) == [(1, "a")] and rows(now["y"]) == [(1, "a"), (2, "b")]
+    assert rows(stores.load_bundle(spark, root, version=1)["x"]) == [(1, "a"), (2, "b")]
+    assert stores.save_bundle(spark, {}, root) == [] and stores.load_bundle(spark, root) == {}
+    with pytest.raises(ValueError, match="of version 9"):
+        stores.load_bundle(spark, root, version=9)
 
 
 def test_report_and_csv(spark, tmp_path):
@@ -90,14 +171,19 @@ def test_report_and_csv(spark, tmp_path):
 class Cluster:
     """What ``shared_dir`` asks of a session."""
 
-    def __init__(self, folder=None):
-        self.conf = {"spark.sql.warehouse.dir": "hdfs:///warehouse/"} | ({"spark.checkpoint.dir": folder} if folder else {})
+    def __init__(self, folder=None, warehouse="hdfs:///warehouse/", master="yarn"):
+        self.conf = {"spark.sql.warehouse.dir": warehouse, "spark.master": master} | ({"spark.checkpoint.dir": folder} if folder else {})
 
 
 def test_shared_folder_comes_from_the_session():
     assert session.shared_dir(Cluster("hdfs:///shared/")) == "hdfs:///shared"
     assert session.scratch_path(Cluster("/shared"), "x").startswith("/shared/capital_access/x-")
     assert session.shared_dir(Cluster()) == "hdfs:///warehouse/scratch"
+    assert session.shared_dir(Cluster(warehouse="file:/w", master="local[8]")) == "file:/w/scratch"
+    assert session.shared_dir(Cluster("file:/shared", "file:/w")) == "file:/shared"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="share no folder"):
+            session.shared_dir(Cluster(warehouse=warehouse))
 
 
 def test_settled_table_is_read_from_the_shared_folder(spark):
