@@ -14,7 +14,7 @@ from capital_access.llm.registry import query
 
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of passages that an earlier document, or place, has."""
+    """Documents without the pieces of passages that an earlier document, or place, has."""
     return substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 

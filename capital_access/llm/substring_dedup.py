@@ -1,4 +1,4 @@
-"""Removal of repeated passages, by runs of consecutive sentences that occur more than once."""
+"""Removal of repeated passages, by runs of consecutive pieces of sentences that occur more than once."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ class SpanRule:
 
     sentences: int = 3
     longest: int = 8
-    least_words: int = 12
+    least_words: int = 20
 
 
 class _Checksums(dict):
@@ -110,19 +110,19 @@ def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last - first).tolist()))
 
 
-def runs_of(text: str | None, rule: SpanRule) -> Iterator[tuple[int, int, bytes]]:
-    """(first piece, number of pieces, 128-bit hash) of every run; case and white space do not count."""
+def runs_of(text: str | None, rule: SpanRule) -> tuple[int, list[tuple[int, int, bytes]]]:
+    """Number of pieces; (first piece, number of pieces, 128-bit hash) of every run. Case and white space do not count."""
     pieces = sentence_bounds(text, rule) if text else []
     runs = run_bounds([p[2] for p in pieces], rule)
-    if runs:
-        plain = (" ".join(text[a:b].lower().split()) for a, b, _ in pieces)
-        hashes = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in plain)
-        for first, n in runs:
-            yield first, n, xxhash.xxh3_128_digest(hashes[16 * first:16 * (first + n)])
+    if not runs:
+        return len(pieces), []
+    plain = (" ".join(text[a:b].lower().split()) for a, b, _ in pieces)
+    hashes = b"".join([xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in plain])
+    return len(pieces), [(first, n, xxhash.xxh3_128_digest(hashes[16 * first:16 * (first + n)])) for first, n in runs]
 
 
-def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, int, str]:
-    """The text without the pieces of ``runs``; pieces, pieces removed, spans removed."""
+def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, str]:
+    """The text without the pieces of ``runs``; pieces removed, spans removed."""
     pieces = sentence_bounds(text, rule)
     gone = sorted({k for first, n in runs for k in range(first, first + n)})
     spans: list[list[int]] = []
@@ -137,66 +137,79 @@ def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return "".join(kept), len(pieces), len(gone), ",".join(f"{a}:{b}" for a, b in spans)
+    return "".join(kept), len(gone), ",".join(f"{a}:{b}" for a, b in spans)
 
 
 def passage_runs(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -> DataFrame:
-    """Rows (h1, h2, doc_id, key, first, n) for every run of every document."""
+    """Rows (h1, h2, doc_id, key, first, n) for every run of every document, and (doc_id, key, pieces, 0) for each without a hash."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
-            rows = [(h, place, first, n) for place, text in enumerate(frame["text"]) for first, n, h in runs_of(text, rule)]
-            if not rows:
-                continue
-            hashes, *numbers = zip(*rows)
-            halves = np.frombuffer(b"".join(hashes), ">i8").astype("i8").reshape(-1, 2)
-            runs = pd.DataFrame(dict(zip(["place", "first", "n"], np.array(numbers, "i8")))).assign(h1=halves[:, 0], h2=halves[:, 1])
-            places = runs["place"].to_numpy()
-            yield pd.DataFrame({
-                "h1": runs["h1"], "h2": runs["h2"], "doc_id": frame["doc_id"].take(places).to_numpy(),
-                "key": frame["key"].take(places).to_numpy(), "first": runs["first"].astype("int32"), "n": runs["n"].astype("int32")})
+            found = [runs_of(text, rule) for text in frame["text"]]
+            hashes = b"".join([h for _, runs in found for _, _, h in runs])
+            halves = np.frombuffer(hashes, ">i8").astype("i8").reshape(-1, 2)
+            times = [len(runs) for _, runs in found]
+            for name, data in (("runs", True), ("pieces", False)):
+                places = np.repeat(np.arange(len(found)), times) if data else np.arange(len(found))
+                if not len(places):
+                    continue
+                first = [a for _, runs in found for a, _, _ in runs] if data else [n for n, _ in found]
+                count = [n for _, runs in found for _, n, _ in runs] if data else 0
+                yield pd.DataFrame({
+                    "h1": halves[:, 0] if data else pd.array([None] * len(places), "Int64"),
+                    "h2": halves[:, 1] if data else pd.array([None] * len(places), "Int64"),
+                    "doc_id": frame["doc_id"].take(places).to_numpy(), "key": frame["key"].take(places).to_numpy(),
+                    "first": np.array(first, "i4"), "n": np.array(count, "i4")})
 
     return docs.select(as_col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), as_col(text_col).alias("text")).mapInPandas(
         hashed, f"h1 long, h2 long, doc_id {id_type}, key long, first int, n int")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: SpanRule = SpanRule()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_sentences, n_removed, removed_spans, text.
+    """One row per row of ``docs``: doc_id, n_pieces, n_removed, removed_spans, text.
 
-    ``text`` lacks every sentence that lies in a repeat of a run; the first
+    ``text`` lacks every piece that lies in a repeat of a run; the first
     occurrence, by id (missing ids first) and place, stays. ``removed_spans``
     lists start:end in code points of the given text, comma-joined.
 
     Rows alike in id and text are one document: they get the same result, and do
     not count as repeats of each other. A passage repeated within a document
     goes too, but for its first occurrence. Empty texts stay empty, missing ones
-    missing, with no sentences. Other columns are not read.
-
-    Runs are written once. Repeated hashes are found by an aggregate reduced
-    before its shuffle and written, so that the join that looks up their other
-    occurrences can split a passage that a third of all documents share. Only
-    places travel; each text is moved once, to meet its places.
+    missing, with no pieces. Texts of any length are cut whole, one at a time.
+    Other columns are not read.
+
+    Runs are written once. Which of their hashes repeat is found from one half of
+    the hash, in an aggregate reduced before its shuffle; only the runs whose half
+    repeats, about one in twenty, are then compared by both halves. The joins
+    that look up their occurrences can split a passage that a third of all
+    documents share. Only places travel; each text is moved once, to meet its
+    places, and only texts that lose something are cut again.
     """
-    runs = settle(passage_runs(docs, id_col, text_col, rule), "runs")
+    written = settle(passage_runs(docs, id_col, text_col, rule), "runs")
+    runs = written.where("n > 0")
+    halves = runs.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
+    likely = settle(runs.join(halves, "h1", "left_semi"), "likely")
     repeated = settle(
-        runs.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
+        likely.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
         .where("times > 1").drop("times"), "repeated")
+    again = likely.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin").select("doc_id", "key", "first", "n")
     places = settle(
-        runs.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin")
-        .groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("again")).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "places")
+        again.unionByName(written.where("n = 0").select("doc_id", "key", "first", "n")).groupBy("doc_id", "key").agg(
+            F.collect_set(F.when(F.col("n") > 0, F.struct("first", "n"))).alias("again"), F.max(F.when(F.col("n") == 0, F.col("first"))).alias("n_pieces"))
+        .withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "places")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cleaned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
             rows = [
-                (None, 0, 0, "") if text is None else without(text, [] if again is None else [(r["first"], r["n"]) for r in again], rule)
+                (text, 0, "") if text is None or not len(again) else without(text, [(r["first"], r["n"]) for r in again], rule)
                 for text, again in zip(frame["text"], frame["again"])
             ]
-            made = pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_spans"], index=frame.index)
-            yield made.assign(doc_id=frame["doc_id"])[["doc_id", "n_sentences", "n_removed", "removed_spans", "text"]]
+            made = pd.DataFrame(rows, columns=["text", "n_removed", "removed_spans"], index=frame.index)
+            yield made.assign(doc_id=frame["doc_id"], n_pieces=frame["n_pieces"])[["doc_id", "n_pieces", "n_removed", "removed_spans", "text"]]
 
     return (
         docs.select(as_col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), as_col(text_col).alias("text"))
-        .join(places, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").select("doc_id", "text", "again")
-        .mapInPandas(cleaned, f"doc_id {id_type}, n_sentences long, n_removed long, removed_spans string, text string"))
+        .join(places, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").select("doc_id", "text", "again", "n_pieces")
+        .mapInPandas(cleaned, f"doc_id {id_type}, n_pieces long, n_removed long, removed_spans string, text string"))

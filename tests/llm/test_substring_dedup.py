@@ -1,6 +1,8 @@
 """Repeated passages against a dictionary of all runs."""
 
 import random
+import re
+from zlib import crc32
 
 from capital_access.llm.substring_dedup import SpanRule, remove_repeated_passages, run_bounds, sentence_bounds
 
@@ -52,6 +54,38 @@ def test_pieces_cover_the_text():
     assert sentence_bounds("", SpanRule()) == [] and sentence_bounds("  \n ", SpanRule()) == []
 
 
+def plain_pieces(text, longest):
+    """Words of each piece, from the words of each sentence alone: a cut behind the least checksum of some ``longest`` words."""
+    pieces = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", text):
+        words = sentence.split()
+        cuts = set()
+        for k in range(len(words) - longest + 1):
+            window = [(crc32(w.lower().encode()), -j) for j, w in enumerate(words[k:k + longest], k)]
+            cuts.add(-min(window)[1])
+        piece = []
+        for k, word in enumerate(words):
+            piece.append(word)
+            if k in cuts:
+                pieces.append(piece)
+                piece = []
+        if piece:
+            pieces.append(piece)
+    return pieces
+
+
+def test_cuts_equal_plain_ones(small):
+    rng = random.Random(6)
+    texts = [r["text"] for r in small("documents").select("text").collect()]
+    texts += [" ".join(rng.choices(["a", "B.", "c", "d\n", "e!", "E", "é"], k=rng.randrange(0, 60))) for _ in range(300)]
+    texts += [" ".join(rng.choices(["x", "y", "z", "w."], k=100_000))]
+    for text in texts:
+        for longest in (3, 8):
+            bounds = sentence_bounds(text, SpanRule(longest=longest))
+            assert [text[a:b].split() for a, b, _ in bounds] == plain_pieces(text, longest)
+            assert [n for _, _, n in bounds] == [len(text[a:b].split()) for a, b, _ in bounds]
+
+
 def test_runs_are_long_enough_and_no_longer():
     rng = random.Random(8)
     for _ in range(200):
@@ -89,7 +123,7 @@ def test_long_passage_without_punctuation_inside(docs):
 def test_repeats_within_a_document_ties_nulls_and_copies(docs):
     df = docs([(1, f"{PASSAGE} {PASSAGE}"), (None, PASSAGE), (None, None), (2, ""), (3, None), (4, " \n"), (7, PASSAGE), (7, PASSAGE), (8, "Short. Of. The."),
                (9, "Short. Of. The."), (7, "Another text under the same id.")])
-    rows = sorted(((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in remove_repeated_passages(df).collect()), key=str)
+    rows = sorted(((r.doc_id, r.n_pieces, r.n_removed, r.text) for r in remove_repeated_passages(df).collect()), key=str)
     by_id = {}
     for r in rows:
         by_id.setdefault(r[0], []).append(r[1:])
