@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -96,29 +95,66 @@ def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
     return found
 
 
-def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
-    """(first piece, number of pieces) of all runs of a document, given the words of its pieces."""
-    n, before = len(words), np.array([0, *accumulate(words)])
+def _runs(words: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray]:
+    """First piece, and the piece behind the last, of all runs of a document, given the words of its pieces."""
+    n, before = len(words), np.concatenate([[0], np.cumsum(words, dtype="i8")])
     if n < rule.sentences:
-        return [(0, n)] if n and before[n] >= rule.least_words else []
+        whole = [0] if n and before[n] >= rule.least_words else []
+        return np.array(whole, "i8"), np.array([n] * len(whole), "i8")
     place = np.arange(n)
     last = np.maximum(place + rule.sentences, np.searchsorted(before, before[:-1] + rule.least_words))
     first = np.minimum(place + 1 - rule.sentences, np.searchsorted(before, before[1:] - rule.least_words, "right") - 1)
     begun, ended = last <= n, first >= 0
     found = np.unique(np.concatenate([place[begun] * (n + 1) + last[begun], first[ended] * (n + 1) + place[ended] + 1]))
-    first, last = np.divmod(found, n + 1)
+    return np.divmod(found, n + 1)
+
+
+def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
+    """(first piece, number of pieces) of all runs of a document, given the words of its pieces."""
+    first, last = _runs(np.array(words, "i8"), rule)
     return list(zip(first.tolist(), (last - first).tolist()))
 
 
-def runs_of(text: str | None, rule: SpanRule) -> tuple[int, list[tuple[int, int, bytes]]]:
-    """Number of pieces; (first piece, number of pieces, 128-bit hash) of every run. Case and white space do not count."""
+def pieces_of(text: str | None, rule: SpanRule) -> tuple[bytes, bytes]:
+    """Numbers of words (16 bits each) and hashes (64 bits each) of the pieces; case and white space do not count."""
     pieces = sentence_bounds(text, rule) if text else []
-    runs = run_bounds([p[2] for p in pieces], rule)
-    if not runs:
-        return len(pieces), []
-    plain = (" ".join(text[a:b].lower().split()) for a, b, _ in pieces)
-    hashes = b"".join([xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in plain])
-    return len(pieces), [(first, n, xxhash.xxh3_128_digest(hashes[16 * first:16 * (first + n)])) for first, n in runs]
+    plain = [" ".join(text[a:b].lower().split()) for a, b, _ in pieces]
+    return (np.array([p[2] for p in pieces], "<u2").tobytes(),
+            b"".join([xxhash.xxh3_64_digest(p.encode("utf-8", "surrogatepass")) for p in plain]))
+
+
+#: Odd numbers, so that they have inverses modulo 2 ** 64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class _Powers:
+    """Powers of the bases and of their inverses, modulo 2 ** 64, as far as needed."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.tables or len(self.tables[0][0]) < n:
+            size = max(1024, 2 * n)
+            self.tables = [tuple(np.concatenate([np.ones(1, "u8"), np.cumprod(np.full(size - 1, factor, "u8"), dtype="u8")])
+                                 for factor in (base, pow(base, -1, 1 << 64))) for base in _BASES]
+        return self.tables
+
+
+_powers = _Powers()
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 64 and of 32 bits of the runs of pieces ``first`` to before ``last``.
+
+    A run's hash is the sum of its pieces' hashes times rising powers, which is
+    a difference of two running sums; so all runs of a document cost one sweep.
+    """
+    out = []
+    for (rising, falling), pieces in zip(_powers.upto(len(hashes) + 1), (hashes, (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_BASES[0]))):
+        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(pieces * rising[:len(pieces)], dtype="u8")])
+        out.append((sums[last] - sums[first]) * falling[first] + (last - first).astype("u8"))
+    return out[0].view("i8"), (out[1] >> np.uint64(32)).astype("u4").view("i4")
 
 
 def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, str]:
@@ -140,30 +176,35 @@ def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str
     return "".join(kept), len(gone), ",".join(f"{a}:{b}" for a, b in spans)
 
 
-def passage_runs(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -> DataFrame:
-    """Rows (h1, h2, doc_id, key, first, n) for every run of every document, and (doc_id, key, pieces, 0) for each without a hash."""
+def cut_documents(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -> DataFrame:
+    """Rows doc_id, key, row, words, hashes: the pieces of every document; ``row`` numbers the rows."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
-            found = [runs_of(text, rule) for text in frame["text"]]
-            hashes = b"".join([h for _, runs in found for _, _, h in runs])
-            halves = np.frombuffer(hashes, ">i8").astype("i8").reshape(-1, 2)
-            times = [len(runs) for _, runs in found]
-            for name, data in (("runs", True), ("pieces", False)):
-                places = np.repeat(np.arange(len(found)), times) if data else np.arange(len(found))
-                if not len(places):
-                    continue
-                first = [a for _, runs in found for a, _, _ in runs] if data else [n for n, _ in found]
-                count = [n for _, runs in found for _, n, _ in runs] if data else 0
-                yield pd.DataFrame({
-                    "h1": halves[:, 0] if data else pd.array([None] * len(places), "Int64"),
-                    "h2": halves[:, 1] if data else pd.array([None] * len(places), "Int64"),
-                    "doc_id": frame["doc_id"].take(places).to_numpy(), "key": frame["key"].take(places).to_numpy(),
-                    "first": np.array(first, "i4"), "n": np.array(count, "i4")})
+            made = pd.DataFrame([pieces_of(text, rule) for text in frame["text"]], columns=["words", "hashes"], index=frame.index)
+            yield made.assign(doc_id=frame["doc_id"], key=frame["key"])[["doc_id", "key", "words", "hashes"]]
 
     return docs.select(as_col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), as_col(text_col).alias("text")).mapInPandas(
-        hashed, f"h1 long, h2 long, doc_id {id_type}, key long, first int, n int")
+        cut, f"doc_id {id_type}, key long, words binary, hashes binary").withColumn("row", F.monotonically_increasing_id())
+
+
+def passage_runs(pieces: DataFrame, rule: SpanRule, whole: bool) -> DataFrame:
+    """Rows h1 (and, if ``whole``, h2, row, first, n) for every run of every document that has been cut."""
+    columns = ["h1", "h2", "row", "first", "n"] if whole else ["h1"]
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in small_batches(frames, 64):
+            parts = []
+            for row, words, hashes in zip(frame["row"], frame["words"], frame["hashes"]):
+                first, last = _runs(np.frombuffer(words, "<u2"), rule)
+                if len(first):
+                    h1, h2 = run_hashes(np.frombuffer(hashes, ">u8").astype("u8"), first, last)
+                    parts.append((h1, h2, np.full(len(first), row), first.astype("i4"), (last - first).astype("i4")) if whole else (h1,))
+            if parts:
+                yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(columns, zip(*parts))})
+
+    return pieces.select("row", "words", "hashes").mapInPandas(runs, "h1 long, h2 int, row long, first int, n int" if whole else "h1 long")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: SpanRule = SpanRule()) -> DataFrame:
@@ -179,23 +220,25 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     missing, with no pieces. Texts of any length are cut whole, one at a time.
     Other columns are not read.
 
-    Runs are written once. Which of their hashes repeat is found from one half of
-    the hash, in an aggregate reduced before its shuffle; only the runs whose half
-    repeats, about one in twenty, are then compared by both halves. The joins
-    that look up their occurrences can split a passage that a third of all
-    documents share. Only places travel; each text is moved once, to meet its
-    places, and only texts that lose something are cut again.
+    The pieces of every document are written once, as eight bytes of hash and two
+    of length each; runs are sums over them. Which runs repeat is found from one
+    part of their hash, in an aggregate reduced before its shuffle; only the runs
+    whose part repeats, about one in twenty, are then compared by both parts (96
+    bits). The joins that look up their occurrences can split a passage that a
+    third of all documents share. Only places travel; each text is moved once,
+    to meet its places, and only texts that lose something are cut again.
     """
-    written = settle(passage_runs(docs, id_col, text_col, rule), "runs")
-    runs = written.where("n > 0")
-    halves = runs.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
-    likely = settle(runs.join(halves, "h1", "left_semi"), "likely")
+    cut = settle(cut_documents(docs, id_col, text_col, rule), "pieces")
+    halves = passage_runs(cut, rule, False).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
+    likely = settle(passage_runs(cut, rule, True).join(halves, "h1", "left_semi"), "likely")
+    found = settle(likely.join(cut.select("row", "doc_id", "key"), "row").drop("row"), "found")
     repeated = settle(
-        likely.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
+        found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
         .where("times > 1").drop("times"), "repeated")
-    again = likely.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin").select("doc_id", "key", "first", "n")
+    again = found.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin").select("doc_id", "key", "first", "n")
+    counted = cut.select("doc_id", "key", (F.octet_length("words") / 2).cast("int").alias("first"), F.lit(0).alias("n"))
     places = settle(
-        again.unionByName(written.where("n = 0").select("doc_id", "key", "first", "n")).groupBy("doc_id", "key").agg(
+        again.unionByName(counted).groupBy("doc_id", "key").agg(
             F.collect_set(F.when(F.col("n") > 0, F.struct("first", "n"))).alias("again"), F.max(F.when(F.col("n") == 0, F.col("first"))).alias("n_pieces"))
         .withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "places")
     id_type = docs.schema[id_col].dataType.simpleString()
