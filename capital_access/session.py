@@ -55,6 +55,13 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     without it, each reader prunes other columns, nothing is reused, and the
     facts are scanned again. The written table also survives lost executors.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    # What was shuffled for a table is of no use once that is written.
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
+    return spark.read.schema(df.schema).parquet(path)
