@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -16,9 +15,6 @@ from capital_access.functions.nulls import as_col
 from capital_access.llm.common import row_key, small_batches
 from capital_access.session import settle
 
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"(\S+)\s*")
-
 
 @dataclass(frozen=True)
 class SpanRule:
@@ -58,41 +54,52 @@ class _Checksums(dict):
 _checksums = _Checksums()
 
 
-def _cuts(words: list[str], width: int) -> list[int]:
-    """Places of the words that have the least checksum, the last of equals, of some ``width`` consecutive ones."""
-    sums, found, best = [_checksums[w] for w in words], [], -1
-    for end in range(width - 1, len(sums)):
-        if best <= end - width:
-            least = min(sums[end - width + 1:end + 1])
-            best = end
-            while sums[best] != least:
-                best -= 1
-            found.append(best)
-        elif sums[end] <= sums[best]:
-            best = end
-            found.append(best)
-    return found
+#: White space by code point; beyond the last one of the table there is none.
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+_STOPS = np.array([ord(c) for c in ".!?"], "u4")
+
+
+def _word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts, whether it is the last of its sentence, and where what follows such a word starts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    edges = np.diff(np.concatenate([[True], _SPACES[np.minimum(codes, len(_SPACES) - 1)], [True]]).astype("i1"))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    last = np.isin(codes[ends - 1], _STOPS)
+    follow = np.append(starts[1:], len(codes))
+    lines = np.flatnonzero(codes == 10)
+    if len(lines):
+        # Without a full stop, a sentence ends behind the first line feeds of the gap.
+        behind = lines[np.append(np.flatnonzero(np.diff(lines) != 1), len(lines) - 1)] + 1
+        first = np.searchsorted(lines, ends)
+        there = lines[np.minimum(first, len(lines) - 1)]
+        broken = ~last & (first < len(lines)) & (there < follow)
+        follow[broken] = behind[np.searchsorted(behind, there[broken], "right")]
+        last |= broken
+    if len(last):
+        last[-1], follow[-1] = True, len(codes)
+    return starts, last, follow
+
+
+def _pieces(text: str, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Where each piece ends in the text, its number of words, and all words in lower case."""
+    starts, last, follow = _word_places(text)
+    words, n, width = text.lower().split(), len(starts), rule.longest
+    ends = last.copy()
+    if n >= width:
+        # The least checksum of each window within a sentence, the last of equals.
+        ranked = np.fromiter(map(_checksums.__getitem__, words), "i8", n) * n + np.arange(n - 1, -1, -1)
+        sentence = np.cumsum(last) - last
+        inside = sentence[:n - width + 1] == sentence[width - 1:]
+        ends[n - 1 - np.lib.stride_tricks.sliding_window_view(ranked, width).min(axis=1)[inside] % n] = True
+    at = np.flatnonzero(ends)
+    return np.where(last[at], follow[at], np.append(starts[1:], len(text))[at]), np.diff(at, prepend=-1), words
 
 
 def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
     """(start, end, words) of each piece; white space behind a piece belongs to it."""
-    found, start = [], 0
-    for end in [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text)]:
-        words = text[start:end].lower().split()
-        if len(words) >= rule.longest:
-            ends, done = [m.end() for m in _WORD.finditer(text, start, end)], 0
-            for k in _cuts(words, rule.longest):
-                found.append((start, ends[k], k + 1 - done))
-                start, done = ends[k], k + 1
-            if done < len(words):
-                found.append((start, end, len(words) - done))
-            start = end
-        elif words:
-            found.append((start, end, len(words)))
-            start = end
-    if found and start < len(text):  # white space at the end
-        found[-1] = (found[-1][0], len(text), found[-1][2])
-    return found
+    ends, counts, _ = _pieces(text, rule)
+    ends = ends.tolist()
+    return list(zip([0, *ends[:-1]], ends, counts.tolist()))
 
 
 def _runs(words: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +124,14 @@ def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
 
 def pieces_of(text: str | None, rule: SpanRule) -> tuple[bytes, bytes]:
     """Numbers of words (16 bits each) and hashes (64 bits each) of the pieces; case and white space do not count."""
-    pieces = sentence_bounds(text, rule) if text else []
-    plain = [" ".join(text[a:b].lower().split()) for a, b, _ in pieces]
-    return (np.array([p[2] for p in pieces], "<u2").tobytes(),
-            b"".join([xxhash.xxh3_64_digest(p.encode("utf-8", "surrogatepass")) for p in plain]))
+    _, counts, words = _pieces(text or "", rule)
+    ends = np.cumsum(counts).tolist()
+    plain = [" ".join(words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+    return counts.astype("<u2").tobytes(), b"".join(map(xxhash.xxh3_64_digest, plain))
+
 
+#: More than the pieces of any run.
+_LENGTHS = 1 << 31
 
 #: Odd numbers, so that they have inverses modulo 2 ** 64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -190,8 +200,8 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -
 
 
 def passage_runs(pieces: DataFrame, rule: SpanRule, whole: bool) -> DataFrame:
-    """Rows h1 (and, if ``whole``, h2, row, first, n) for every run of every document that has been cut."""
-    columns = ["h1", "h2", "row", "first", "n"] if whole else ["h1"]
+    """Rows h1 (and, if ``whole``, h2, row, first) for every run of every document that has been cut; h2 holds the run's length too."""
+    columns = ["h1", "h2", "row", "first"] if whole else ["h1"]
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames, 64):
@@ -200,11 +210,11 @@ def passage_runs(pieces: DataFrame, rule: SpanRule, whole: bool) -> DataFrame:
                 first, last = _runs(np.frombuffer(words, "<u2"), rule)
                 if len(first):
                     h1, h2 = run_hashes(np.frombuffer(hashes, ">u8").astype("u8"), first, last)
-                    parts.append((h1, h2, np.full(len(first), row), first.astype("i4"), (last - first).astype("i4")) if whole else (h1,))
+                    parts.append((h1, h2.astype("i8") * _LENGTHS + last - first, np.full(len(first), row), first.astype("i4")) if whole else (h1,))
             if parts:
                 yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(columns, zip(*parts))})
 
-    return pieces.select("row", "words", "hashes").mapInPandas(runs, "h1 long, h2 int, row long, first int, n int" if whole else "h1 long")
+    return pieces.select("row", "words", "hashes").mapInPandas(runs, "h1 long, h2 long, row long, first int" if whole else "h1 long")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: SpanRule = SpanRule()) -> DataFrame:
@@ -235,7 +245,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     repeated = settle(
         found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
         .where("times > 1").drop("times"), "repeated")
-    again = found.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin").select("doc_id", "key", "first", "n")
+    again = found.join(repeated, ["h1", "h2"]).where("NOT struct(doc_id, key, first) <=> origin").select(
+        "doc_id", "key", "first", F.pmod("h2", F.lit(_LENGTHS)).cast("int").alias("n"))
     counted = cut.select("doc_id", "key", (F.octet_length("words") / 2).cast("int").alias("first"), F.lit(0).alias("n"))
     places = settle(
         again.unionByName(counted).groupBy("doc_id", "key").agg(
