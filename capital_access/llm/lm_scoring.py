@@ -218,14 +218,27 @@ class LogBilinear:
 
 def _distinct(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The different rows of numbers below ``size``, and for each row its place among them."""
-    if size ** rows.shape[1] >= 1 << 62:
+    combinations = size ** rows.shape[1]
+    if combinations >= 1 << 62:
         found, place = np.unique(rows, axis=0, return_inverse=True)
         return found, place.ravel()
-    codes = np.zeros(len(rows), "i8")
-    for column in rows.T:
-        codes = codes * size + column
-    _, first, place = np.unique(codes, return_index=True, return_inverse=True)
-    return rows[first], place
+    codes = rows[:, 0].astype("i8")
+    for column in rows.T[1:]:
+        codes *= size
+        codes += column
+    if combinations <= 1 << 20:  # a table of all combinations instead of a sort
+        table = np.zeros(combinations, "i4")
+        table[codes] = 1
+        found = np.flatnonzero(table)
+        table[found] = np.arange(len(found))
+        place = table[codes]
+    else:
+        found, place = np.unique(codes, return_inverse=True)
+    columns = []
+    for _ in range(rows.shape[1]):
+        found, column = np.divmod(found, size)
+        columns.insert(0, column)
+    return np.stack(columns, axis=1), place
 
 
 def _added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -293,15 +306,15 @@ class Trainer:
 
 
 def blocks(texts: Iterator[tuple[int, str | None]], reader: Reader, context: int, size: int = 1 << 15) -> Iterator[tuple]:
-    """(places, numbers, cells, cells before, tokens not looked up) of consecutive tokens, in blocks of ``size`` or more.
+    """(pieces, numbers, cells, cells before, tokens not looked up) of consecutive tokens, in blocks of ``size`` or more.
 
-    A block holds whole texts, or pieces of a long one; its last list has (place, tokens) pairs.
+    A block holds whole texts, or pieces of a long one: ``pieces`` has the place of each and its first token, the last list (place, tokens).
     """
     start = int(reader.cell.max()) + 1
-    parts, rare, held = [], [], 0
+    parts, pieces, rare, held = [], [], [], 0
 
     def done() -> tuple:
-        return (*(np.concatenate(p) for p in zip(*parts)), rare)
+        return (np.array(pieces).T, *(np.concatenate(p) for p in zip(*parts)), rare)
 
     for place, text in texts:
         last = np.full(context, start, "i4")
@@ -315,11 +328,12 @@ def blocks(texts: Iterator[tuple[int, str | None]], reader: Reader, context: int
             unknown = np.flatnonzero(numbers >= reader.known).tolist()
             if unknown:
                 rare.append((place, [words[k] for k in unknown]))
-            parts.append((np.full(n, place, "i4"), numbers, cells, before))
+            parts.append((numbers, cells, before))
+            pieces.append((place, held))
             held += n
             if held >= size:
                 yield done()
-                parts, rare, held = [], [], 0
+                parts, pieces, rare, held = [], [], [], 0
     if parts:
         yield done()
 
@@ -402,10 +416,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = len(frame)
             sums = {name: np.zeros(rows) for name in ("n_tokens", "n_known", "base_score", "score")}
             rare: list[list[bytes]] = [[] for _ in range(rows)]
-            for place, numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context, 1 << 17):
+            for (places, first), numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context, 1 << 17):
                 chances = model.log_probabilities(cells, before) / np.log(10) + reader.within[numbers]
-                for name, values in (("n_tokens", None), ("n_known", known[numbers]), ("base_score", reader.base[numbers]), ("score", chances)):
-                    sums[name] += np.bincount(place, values, rows)
+                np.add.at(sums["n_tokens"], places, np.diff(first, append=len(cells)))
+                for name, values in (("n_known", known[numbers]), ("base_score", reader.base[numbers]), ("score", chances)):
+                    np.add.at(sums[name], places, np.add.reduceat(values, first))
                 for k, tokens in unknown:
                     rare[k] += tokens
             yield pd.DataFrame({

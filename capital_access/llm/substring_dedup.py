@@ -204,7 +204,7 @@ def passage_runs(pieces: DataFrame, rule: SpanRule, whole: bool) -> DataFrame:
     columns = ["h1", "h2", "row", "first"] if whole else ["h1"]
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in small_batches(frames, 64):
+        for frame in small_batches(frames):
             parts = []
             for row, words, hashes in zip(frame["row"], frame["words"], frame["hashes"]):
                 first, last = _runs(np.frombuffer(words, "<u2"), rule)
@@ -239,7 +239,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     to meet its places, and only texts that lose something are cut again.
     """
     cut = settle(cut_documents(docs, id_col, text_col, rule), "pieces")
-    halves = passage_runs(cut, rule, False).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
+    # Written, as only a join of plain tables can split a hash that has a third of all runs.
+    halves = settle(passage_runs(cut, rule, False).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1"), "halves")
     likely = settle(passage_runs(cut, rule, True).join(halves, "h1", "left_semi"), "likely")
     found = settle(likely.join(cut.select("row", "doc_id", "key"), "row").drop("row"), "found")
     repeated = settle(
