@@ -30,6 +30,10 @@ class TokenRule:
     per_page: int = 512
 
 
+#: Characters of roles and their codes; the percent sign is first to go in and last to come out.
+_ROLE_CODES = (("%", "%25"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"))
+
+
 def escape(text: Column) -> Column:
     """One more backslash in every control string: ``<turn`` to ``<\\turn``, ``<\\turn`` to ``<\\\\turn``; other text stays as it is."""
     return F.regexp_replace(text, _CONTROL, r"<\\$1$2")
@@ -40,12 +44,16 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Percent signs, ``>`` and line feeds as percent codes, so that a role ends at the first ``>``."""
-    return F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit(">"), F.lit("%3E")), F.lit("\n"), F.lit("%0A"))
+    """Percent signs, ``<``, ``>`` and line feeds as percent codes: a role ends at the first ``>`` and holds no mark of a turn."""
+    for char, code in _ROLE_CODES:
+        role = F.replace(role, F.lit(char), F.lit(code))
+    return role
 
 
 def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3E"), F.lit(">")), F.lit("%25"), F.lit("%"))
+    for char, code in reversed(_ROLE_CODES):
+        role = F.replace(role, F.lit(code), F.lit(char))
+    return role
 
 
 def text_part(text: Column) -> Column:
@@ -142,7 +150,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 def read_turns(formatted: Column) -> Column:
     """The (role, text) of every turn of a formatted conversation, unescaped; placeholders stay in the text.
 
-    Only a real turn begins with the opening mark, as texts have it escaped.
+    Only a real turn begins with the opening mark, as texts and roles have it escaped.
     """
     def back(piece: Column) -> Column:
         role = F.substring_index(piece, ">", 1)

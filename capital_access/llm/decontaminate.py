@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capital_access.functions.nulls import as_col
 from capital_access.llm.common import ascii_lower, fresh_names
+from capital_access.session import settle
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -90,7 +93,7 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of at most ``block_chars`` characters (or one item), each held by itself."""
+    """The benchmark in blocks of at most ``block_chars`` characters (or one item), one after another."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(as_col(id_col).cast("string"), F.lit("")), as_col(text_col))
     for item, text in rows.toLocalIterator():
@@ -108,17 +111,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` with a column of hits, and that column's name: n_words, n_hit, n_items, items.
 
     The benchmark is the stated query set. It is searched for in blocks of at
-    most ``block_chars`` characters: a block's tables go to every task (some
-    hundred bytes a character at most), each block is one more pass over the
-    texts, and the hits of the passes are put together in the row. Nothing is
-    shuffled, and an item occurring in a third of all documents costs no more
-    than another.
+    most ``block_chars`` characters, or one item: a block's tables go to every
+    task (some hundred bytes a character at most). The driver reads the
+    benchmark partition by partition and holds two blocks at most.
+
+    A benchmark of one block is one pass over the texts, and nothing is shuffled.
+    One of several blocks is a pass, and a job, for each: the hits of a block, a
+    row for each distinct text that has any, are written before the next block's
+    tables are built, and are joined to the documents by the digest of the text.
+    An item occurring in a third of all documents costs no more than another.
     """
     spark = docs.sparkSession
     hits, = fresh_names(docs, "hits")
     shape = "struct<n_words:long,stretches:array<struct<first:int,end:int>>,items:array<string>>"
-    found: Column = F.lit(None).cast(shape)
-    blocks = 0
 
     def finder(shared):
         @F.pandas_udf(shape)
@@ -131,22 +136,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                                     "items": [sorted(r[2]) for r in rows]})
         return search
 
-    out = docs
-    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        found = finder(spark.sparkContext.broadcast(block))(as_col(text_col))
-        part, = fresh_names(out, "part")
-        out = out.withColumn(part, found)
-        if blocks:
-            both = F.struct(F.col(f"{hits}.n_words").alias("n_words"),
-                            F.concat(f"{hits}.stretches", f"{part}.stretches").alias("stretches"),
-                            F.array_union(f"{hits}.items", f"{part}.items").alias("items"))
-            out = out.withColumn(hits, both).drop(part)
-        else:
-            out = out.withColumnRenamed(part, hits)
-        blocks += 1
-    if not blocks:
-        return docs.withColumn(hits, finder(spark.sparkContext.broadcast([]))(as_col(text_col))), hits
-    return out, hits
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return docs.withColumn(hits, finder(spark.sparkContext.broadcast(block))(as_col(text_col))), hits
+
+    digest, own, found = fresh_names(docs, "digest", "own", "found")
+    key = F.sha2(as_col(text_col), 256).alias(digest)
+    parts = []
+    for block in chain([block, following], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        searched = docs.select(key, finder(shared)(as_col(text_col)).alias(found)).where(F.size(f"{found}.items") > 0)
+        parts.append(settle(searched.dropDuplicates([digest]), "benchmark_hits"))
+        shared.unpersist()
+    lists = [F.flatten(F.collect_list(f"{found}.{c}")).alias(c) for c in ("stretches", "items")]
+    joined = reduce(DataFrame.unionByName, parts).groupBy(digest).agg(*lists)
+    joined = joined.select(digest, F.struct("stretches", F.array_distinct("items").alias("items")).alias(found))
+    counted = docs.withColumn(own, finder(spark.sparkContext.broadcast([]))(as_col(text_col))).withColumn(digest, key)
+    both = F.struct(F.col(f"{own}.n_words").alias("n_words"), *(F.coalesce(f"{found}.{c}", f"{own}.{c}").alias(c) for c in ("stretches", "items")))
+    return counted.join(joined, digest, "left").withColumn(hits, both).select(*map(as_col, docs.columns), hits), hits
 
 
 def _n_hit(stretches: Column) -> Column:

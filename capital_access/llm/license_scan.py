@@ -47,6 +47,18 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
              "any damages arising from the use of this software."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+            "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+            "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+            "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+                     "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                     "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                     "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+                     "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+                     "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+                     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
 )
 
 
@@ -78,14 +90,21 @@ def _candidates(templates, least_dice: float) -> Column:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least_dice: float = 0.8) -> DataFrame:
     """Rows doc_id, licence, template, dice, first_word, n_windows: the best place of each template in each document.
 
-    A template of n bigrams is compared with every stretch of n bigrams of the
-    document (fewer at its end) that begins with one of its bigrams; a better
-    stretch would begin later. Dice is twice the common bigrams, repeats
-    counted, over the bigrams of both; ``least_dice`` (d) or more is a match. A
-    stretch of fewer than d / (2 - d) * n bigrams cannot reach d, nor can a
-    document that has fewer than that many of the template's bigrams: its
+    A template of n bigrams is compared with every stretch of a document that
+    begins and ends with one of its bigrams; a better stretch would begin later
+    or end earlier. Dice is twice the common bigrams, repeats counted, over the
+    bigrams of both; ``least_dice`` (d) or more is a match. By size alone, only
+    stretches of d / (2 - d) * n to (2 - d) / d * n bigrams can reach d, nor can a
+    document that has fewer than the lower bound of the template's bigrams: its
     template is pruned before anything is compared. ``first_word`` is where the
-    first of the best stretches starts, ``n_windows`` the number of matching ones.
+    first of the best stretches starts, ``n_windows`` the number of places from
+    which a stretch matches.
+
+    From a start on, a bigram is common unless the template's number of it has
+    been met since the start, that is, unless the same bigram so many
+    occurrences before lies at the start or behind it. So the common bigrams of
+    all stretches of a start are one running count over the known places ahead,
+    as many as the upper bound at most, however long the document is.
 
     Missing and empty texts match nothing, so they have no row; rows alike in id
     and text are one document. Only bigrams of templates that remain leave a row,
@@ -108,19 +127,24 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known.select("*", F.explode(candidates).alias("t")).select("doc_id", "key", "size", "t", F.explode(shared(F.col("t"))).alias("p"))
         .select("doc_id", "key", "size", "t.template", "t.licence", "t.n", "t.least", "p.at", "p.bigram",
                 F.element_at("t.times", F.array_position("t.bigrams", F.col("p.bigram")).cast("int")).alias("times")))
-    longest = max((len(template_bigrams(t)) for _, t in templates), default=1)
-    ahead = Window.partitionBy("doc_id", "key", "template").orderBy("at").rangeBetween(0, longest - 1)
-    own = F.least("n", F.col("size") - F.col("at"))
-    inside = F.filter(F.collect_set(F.struct("at", "bigram", "times")).over(ahead), lambda h: h["at"] < F.col("at") + F.col("n"))
-    kinds = F.array_distinct(F.transform("inside", lambda h: F.struct(h["bigram"].alias("bigram"), h["times"].alias("times"))))
-    common = F.aggregate(
-        kinds, F.lit(0),
-        lambda acc, kind: acc + F.least(kind["times"], F.size(F.filter("inside", lambda h: h["bigram"] == kind["bigram"]))))
+    # One row for each place, also where a row repeats; all places of a document and template lie in one partition.
+    hits = hits.distinct().repartition("doc_id", "key", "template")
+    most = F.floor(F.col("n") * ((2 - d) / d) + 1e-9)
+    longest = max((math.floor(len(template_bigrams(t)) * (2 - d) / d + 1e-9) for _, t in templates), default=1)
+    repeats = max((times for _, t in templates for times in Counter(template_bigrams(t)).values()), default=1)
+    alike = Window.partitionBy("doc_id", "key", "template", "bigram").orderBy("at").rowsBetween(-repeats, -1)
+    earlier = F.collect_list("at").over(alike)
+    hits = hits.withColumn("spent", F.coalesce(F.try_element_at(earlier, -F.col("times")), F.lit(-1)))
+    ahead = Window.partitionBy("doc_id", "key", "template").orderBy("at").rangeBetween(0, max(longest - 1, 0))
+    inside = F.collect_list(F.struct("at", "spent")).over(ahead)
+    common = F.array_sort(F.transform(
+        F.filter("inside", lambda h: (h["at"] < F.col("at") + most) & (h["spent"] < F.col("at"))), lambda h: h["at"]))
+    dice = F.array_max(F.transform("common", lambda end, k: 2 * (k + 1) / (F.col("n") + end - F.col("at") + 1)))
     return (
-        hits.withColumn("inside", inside).where((own >= F.col("least")) & (F.size("inside") >= F.col("least")))
-        .withColumn("dice", 2 * common / (F.col("n") + own)).where(F.col("dice") >= d - 1e-9)
+        hits.withColumn("inside", inside).where(F.size("inside") >= F.col("least"))
+        .withColumn("common", common).withColumn("dice", dice).where(F.col("dice") >= d - 1e-9)
         .groupBy("doc_id", "key", "licence", "template")
-        .agg(F.max(F.struct(F.col("dice"), (-F.col("at")).alias("back"))).alias("best"), F.count_distinct("at").alias("n_windows"))
+        .agg(F.max(F.struct(F.col("dice"), (-F.col("at")).alias("back"))).alias("best"), F.count("*").alias("n_windows"))
         .select("doc_id", "licence", "template", F.round("best.dice", 6).alias("dice"), (-F.col("best.back")).cast("long").alias("first_word"), "n_windows"))
 
 
@@ -135,11 +159,15 @@ def scan_licences_sql(templates=TEMPLATES, least_dice: float = 0.8) -> str:
         b AS (SELECT doc_id, len(w) - 1 AS size, unnest(range(0, len(w) - 1)) AS pos, w FROM w WHERE len(w) > 1),
         h AS (SELECT doc_id, size, pos, lower(w[pos + 1]) || ' ' || lower(w[pos + 2]) AS bigram FROM b),
         p AS (SELECT h.doc_id, h.size, h.pos, t.* FROM h JOIN t USING (bigram)),
-        c AS (SELECT a.doc_id, a.template, a.licence, a.n, a.pos, least(a.n, a.size - a.pos) AS own, z.bigram, least(any_value(z.times), count(*)) AS common
-              FROM p a JOIN p z ON a.doc_id = z.doc_id AND a.template = z.template AND z.pos >= a.pos AND z.pos < a.pos + a.n
-              GROUP BY a.doc_id, a.template, a.licence, a.n, a.pos, a.size, z.bigram),
-        s AS (SELECT doc_id, template, licence, pos, 2.0 * sum(common) / (n + own) AS dice
-              FROM c GROUP BY doc_id, template, licence, pos, n, own HAVING 2.0 * sum(common) / (n + own) >= {least_dice} - 1e-9)
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template, bigram ORDER BY pos) AS k FROM p),
+        q AS (SELECT k.*, coalesce(e.pos, -1) AS spent FROM k LEFT JOIN k e
+              ON k.doc_id = e.doc_id AND k.template = e.template AND k.bigram = e.bigram AND e.k = k.k - k.times),
+        c AS (SELECT a.doc_id, a.template, a.licence, a.n, a.pos, z.pos AS last,
+                     row_number() OVER (PARTITION BY a.doc_id, a.template, a.pos ORDER BY z.pos) AS common
+              FROM q a JOIN q z ON a.doc_id = z.doc_id AND a.template = z.template AND z.pos >= a.pos
+                               AND z.pos - a.pos + 1 <= a.n * {(2 - least_dice) / least_dice!r} + 1e-9 AND z.spent < a.pos),
+        s AS (SELECT doc_id, template, licence, pos, max(CAST(2 * common AS DOUBLE) / (n + last - pos + 1)) AS dice FROM c
+              GROUP BY doc_id, template, licence, pos HAVING max(CAST(2 * common AS DOUBLE) / (n + last - pos + 1)) >= {least_dice} - 1e-9)
         SELECT doc_id, licence, template, round(max(dice), 6) AS dice,
                CAST(min(pos) FILTER (WHERE dice = best) AS BIGINT) AS first_word, count(*) AS n_windows
         FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, template) AS best FROM s) x GROUP BY doc_id, licence, template

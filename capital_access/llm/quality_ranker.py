@@ -130,15 +130,18 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_labelled: int = 20_000, threshold: float = 0.3,
+    max_labelled: int = 20_000, threshold: float = 0.3, texts_per_id: int = 4,
 ) -> PairwiseModel:
-    """Learn from labelled rows outside the held-out fold, at most ``max_labelled`` of them.
-
-    Which ones depends on a hash of the id only. The features of these rows, at
-    most ``8 * len(FEATURES) * max_labelled`` bytes, come to the driver; the list
-    of ids has the same bound, and is the one table that is broadcast. An id
-    with several labels counts by their mean (a tie is no label), one with
-    several texts by each of them.
+    """Learn from labelled ids outside the held-out fold, at most ``max_labelled`` of them.
+
+    Which ones depends on a hash of the id only. An id with several labels
+    counts by their mean (a tie is no label). An id with several texts counts by
+    at most ``texts_per_id`` of them: texts are dealt by their hash to as many
+    places, and the least hash of a place stays, so an id on a third of all rows
+    weighs no more than that. The features of these texts come to the driver, at
+    most ``8 * len(FEATURES) * max_labelled * texts_per_id`` bytes; the list of
+    ids is bounded alike, and is the one table that is broadcast. A text of any
+    length is one row of features.
     """
     chosen = bounded_sample(
         labels.where(as_col(id_col).isNotNull() & as_col(label_col).isNotNull() & ~held_out(id_col))
@@ -147,7 +150,9 @@ def fit_quality(
     featured = F.pandas_udf(lambda texts: texts.map(lambda t: text_features(t).tolist()), "array<double>")
     rows = (
         docs.select(as_col(id_col).alias("label_id"), as_col(text_col).alias("text"))
-        .join(F.broadcast(chosen), "label_id").select("label_id", "label", featured("text").alias("x")).toPandas())
+        .join(F.broadcast(chosen), "label_id").select("label_id", "label", F.xxhash64("text").alias("hash"), featured("text").alias("x"))
+        .groupBy("label_id", "label", F.pmod("hash", F.lit(texts_per_id)).alias("place"))
+        .agg(F.min(F.struct("hash", "x"))["x"].alias("x")).select("label_id", "label", "x").toPandas())
     rows["x"] = rows["x"].map(tuple)
     rows = rows.sort_values(["label_id", "x"])  # the same order whichever task ended first
     x = np.array(rows["x"].tolist(), "f8").reshape(len(rows), len(FEATURES))

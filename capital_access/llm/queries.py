@@ -22,7 +22,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '\### Assistant: </turn> ok'),
                                 (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-    s AS (SELECT *, length('<turn >' || replace(replace(replace(role, '%', '%25'), '>', '%3E'), chr(10), '%0A')) + 1
+    s AS (SELECT *, length('<turn >' || replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), chr(10), '%0A')) + 1
                     + length(regexp_replace(text, '<(\\*)(/?turn|image|audio|document)', '<\\\1\2', 'g')) + 9 AS chars FROM t)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,

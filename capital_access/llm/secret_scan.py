@@ -30,8 +30,10 @@ ALLOWED = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
     r"[0-9+=_/-]+",  # numbers, dates, rules
     r"(?i)sha(?:1|256|384|512)-[A-Za-z0-9+/=]+",  # published digests
-    r".*(?:EXAMPLE|example|placeholder|PLACEHOLDER).*",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",  # the access key of public documentation
 ))
+#: Words that mark a path segment as made up.
+_MADE_UP = re.compile("EXAMPLE|example|placeholder|PLACEHOLDER")
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,17 @@ class EntropyRule:
 
     The class of a window is the narrowest that holds it: ``hex`` (digits and a
     to f of one case), ``alnum`` (digits and letters of one case), ``mixed``
-    (digits and letters of both cases, with or without signs). Windows without a
-    digit or without a letter are words, paths or numbers and have no class.
+    (digits and letters of both cases, with or without signs), ``letters``
+    (letters alone, at least a quarter of them of either case, which names in
+    camel case hardly have). Other windows without a digit or without a letter
+    are words, paths or numbers and have no class.
     """
 
     window: int = 20
     hex: float = 3.0
     alnum: float = 3.5
     mixed: float = 3.8
+    letters: float = 3.8
 
 
 _LOWER_HEX, _UPPER_HEX = frozenset("abcdef"), frozenset("ABCDEF")
@@ -86,9 +91,15 @@ def entropy_spans(candidate: str, rule: EntropyRule) -> list[tuple[int, int]]:
             total += term[c - 1] - term[c]
             d, lo, up, lb, ub, sg = _KINDS[old]
             digits -= d; lowers -= lo; uppers -= up; low_beyond -= lb; up_beyond -= ub; signs -= sg  # noqa: E702
-        if at < width - 1 or not digits or not lowers + uppers:
+        if at < width - 1:
             continue
-        if lowers and uppers or signs:
+        if not digits:
+            if signs or 4 * min(lowers, uppers) < width:
+                continue
+            least = rule.letters
+        elif not lowers + uppers:
+            continue
+        elif lowers and uppers or signs:
             least = rule.mixed
         else:
             least = rule.alnum if low_beyond + up_beyond else rule.hex
@@ -111,11 +122,28 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
+def stretches(candidate: str, rule: EntropyRule) -> list[tuple[int, str]]:
+    """(start, stretch) of what is left of a candidate without its made-up path segments."""
+    if not _MADE_UP.search(candidate):
+        return [(0, candidate)]
+    found, begin, at = [], 0, 0
+    for segment in candidate.split("/"):
+        end = at + len(segment)
+        if len(segment) <= 2 * rule.window and _MADE_UP.search(segment):
+            found.append((begin, candidate[begin:max(begin, at - 1)]))
+            begin = end + 1
+        at = end + 1
+    return [(k, s) for k, s in [*found, (begin, candidate[begin:])] if len(s) >= rule.window]
+
+
 def secret_spans(text: str | None, rule: EntropyRule = EntropyRule()) -> list[Span]:
     """(kind, start, end) of every secret, in code points, by start and kind.
 
     An entropy span is added where it lies in no span of a known shape and is
-    not on the allow-list, by itself or with the whole candidate it lies in.
+    not on the allow-list, by itself or with the whole candidate it lies in. A
+    path segment of at most two windows that holds a word such as "example" is
+    no part of any span; what stands before and behind it is searched by itself,
+    and a longer segment is searched like any other.
     """
     if not text:
         return []
@@ -124,8 +152,9 @@ def secret_spans(text: str | None, rule: EntropyRule = EntropyRule()) -> list[Sp
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{rule.window},}}", text):
         if any(p.fullmatch(m[0]) for p in ALLOWED):
             continue
-        for a, b in entropy_spans(m[0], rule):
-            start, end = m.start() + a, m.start() + b
+        windows = [(m.start() + first, span) for first, stretch in stretches(m[0], rule) for span in entropy_spans(stretch, rule)]
+        for first, (a, b) in windows:
+            start, end = first + a, first + b
             if not any(s <= start and end <= e for _, s, e in known) and not any(p.fullmatch(text[start:end]) for p in ALLOWED):
                 spans.append((ENTROPY_KIND, start, end))
     return in_order(spans)

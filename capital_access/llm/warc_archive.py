@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -64,10 +65,10 @@ def page_record(page_id: object, url: str | None, payload: bytes, refers_to: obj
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     headers = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     headers += [("WARC-Target-URI", url)] if url else []
-    headers += [("Page-ID", str(page_id))] if page_id is not None else []
+    headers += [("Page-ID", quote(str(page_id)))] if page_id is not None else []
     if refers_to is None:
         return _record("response", record_id(page_id, payload), headers, http + payload, rule)
-    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, payload)), ("Refers-To-Page-ID", str(refers_to))]
+    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, payload)), ("Refers-To-Page-ID", quote(str(refers_to)))]
     return _record("revisit", record_id(page_id, payload), headers, http, rule)
 
 
@@ -178,7 +179,8 @@ def parse_page(record: bytes) -> tuple | None:
     digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"the payload of {headers['warc-record-id']} differs from its digest")
-    return (headers.get("page-id"), headers.get("warc-target-uri"), kind, size, digest, headers.get("refers-to-page-id"),
+    page_id, refers_to = (None if headers.get(h) is None else unquote(headers[h]) for h in ("page-id", "refers-to-page-id"))
+    return (page_id, headers.get("warc-target-uri"), kind, size, digest, refers_to,
             payload if kind == "response" else None)
 
 
@@ -223,8 +225,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
                 if writer is None:
                     writer = ArchiveWriter(store, f"{base}/pages-{attempt:06d}-{number:04d}.warc.zst", rule)
                     number += 1
-                writer.add(page_record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8", "surrogatepass"),
-                                       None if pd.isna(refers_to) else int(refers_to), rule))
+                writer.add(page_record(None if pd.isna(page_id) else page_id, url, html.encode("utf-8", "surrogatepass"),
+                                       None if pd.isna(refers_to) else refers_to, rule))
                 if writer.bytes >= rule.archive_bytes:
                     writer.close()
                     done.append(writer)
@@ -237,13 +239,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
                                 "records": [w.records for w in done], "bytes": [w.bytes for w in done]})
 
     chosen = with_originals(pages, id_col, html_col, rule.least_revisit)
-    ids = chosen.select(*(F.col(c).cast("long").cast("string").alias(c) for c in ("page_id", "refers_to")), "url", "html")
+    ids = chosen.select(*(F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")), "url", "html")
     return settle(ids.select("page_id", "url", "html", "refers_to").mapInPandas(write, "path string, records long, bytes long"), "archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
     """Rows page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload of all archives listed under ``path``.
 
+    Ids are text in the records, percent-coded; ``id_type`` is the type they come back in.
     Each archive is read as a stream, record by record, by one task. The payload
     of a revisit is missing: it is that of the page it refers to.
     """
@@ -269,7 +272,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     paths = archives.select("path")
     paths = paths.repartition(max(1, paths.count()))  # a task for each, as the number of partitions is asked for
     shape = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
-    return paths.mapInPandas(read, shape).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+    return paths.mapInPandas(read, shape).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ def part(kind, text=None, ref=None, width=None, height=None, seconds=None, pages
 
 
 def test_texts_and_roles_come_back(spark):
-    roles = ["user", "assistant", None, "sys>tem\n%0A", "%25"]
+    roles = ["user", "assistant", None, "sys>tem\n%0A", "%25", "a<turn b", "%3C</turn>"]
     rows = [(k, t, roles[(k + t) % len(roles)], [part("text", NASTY[(k * 3 + t) % len(NASTY)])]) for k in range(8) for t in range(5)]
     rows += [(99, 0, "assistant", [part("text", None)]), (99, 1, "assistant", None), (None, None, "user", [part("text", "no id")])]
     done = m.format_conversations(spark.createDataFrame(rows, TURNS)).select(

@@ -55,3 +55,12 @@ def test_blocks_nulls_and_repeated_items(spark, docs):
     assert m.scan_benchmark(docs([]), bench).collect() == []
     none = {(r.n_hit, r.n_items, r.contaminated) for r in m.scan_benchmark(df, bench.where("false")).collect()}
     assert none == {(0, 0, False)} and sha256(b"").hexdigest() == df.select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_blocks_are_searched_one_after_another(spark, docs):
+    bench = spark.createDataFrame([(k, f"item number {k} of the list") for k in range(8)], "item_id long, text string")
+    df = docs([(k, f"x item number {k} of the list") for k in range(8)] + [(8, None), (9, "x item number 3 of the list")])
+    found = m.scan_benchmark(df, bench, block_chars=30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1  # only the words are counted in the last pass
+    assert sorted((r.doc_id, r.items) for r in found.collect()) == [*((k, [str(k)]) for k in range(8)), (8, []), (9, ["3"])]

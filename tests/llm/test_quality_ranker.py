@@ -57,3 +57,28 @@ def test_sample_is_bounded(spark):
     from capital_access.llm.common import bounded_sample
     picked = [sorted(r.doc_id for r in bounded_sample(labels.repartition(n), 1000, "doc_id").collect()) for n in (1, 7)]
     assert picked[0] == picked[1] and 850 < len(picked[0]) <= 1000
+
+
+def test_one_id_on_many_rows_is_bounded(spark, docs, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    many = docs([(ids[0], f"text {'word ' * (k % 97)} number {k}") for k in range(3000)] + [(i, f"Plain text {i}. " * (1 + i % 5)) for i in ids[1:]])
+    labels = spark.createDataFrame([(i, i % 2, None) for i in ids], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(m, "fit_pairs", lambda x, good, threshold: seen.append(x))
+    for parts in (1, 5):
+        m.fit_quality(many.repartition(parts), labels, texts_per_id=4)
+    assert len(seen[0]) == len(ids) - 1 + 4 and (seen[0] == seen[1]).all()
+
+
+def test_fit_equals_plain_descent():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((30, len(m.FEATURES)))
+    good = x[:, 0] - 0.5 * x[:, 2] + 0.7 * rng.standard_normal(30) > 0
+    model = m.fit_pairs(x, good, partners=max(good.sum(), (~good).sum()), ridge=0.01)  # every pair is met once
+    z = np.clip((m._expand(x) - model.mean) / model.scale, -8, 8)
+    pairs = np.array([a - b for a in z[good] for b in z[~good]])
+    w = np.zeros(z.shape[1])
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(pairs @ w))
+        w += 0.5 * ((pairs * p[:, None]).mean(0) - 0.01 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)

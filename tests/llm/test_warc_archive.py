@@ -61,3 +61,13 @@ def test_a_damaged_payload_is_noticed():
     assert m.parse_page(record)[6] == b"payload"
     with pytest.raises(ValueError):
         m.parse_page(record.replace(b"payload", b"paylaod"))
+
+
+def test_text_ids_and_long_payloads_come_back(spark):
+    long = "0123456789é" * 300_000  # several reads of a stream
+    rows = [("a", "u", LONG), ("b\r\nWARC-Type: x", "u", LONG), ("é 7%", "u", "short"), ("", "u", long), (None, "u", "short")]
+    archives = m.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"), m.archive_folder(spark))
+    found = {r.page_id: r for r in m.read_archives(archives, "string").collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in found.items()} == {
+        "a": ("revisit", rows[1][0]), rows[1][0]: ("response", None), "é 7%": ("response", None), "": ("response", None), None: ("response", None)}
+    assert bytes(found[""].payload).decode() == long
