@@ -165,7 +165,7 @@ def scan_licences_sql(templates=TEMPLATES, least_dice: float = 0.8) -> str:
         c AS (SELECT a.doc_id, a.template, a.licence, a.n, a.pos, z.pos AS last,
                      row_number() OVER (PARTITION BY a.doc_id, a.template, a.pos ORDER BY z.pos) AS common
               FROM q a JOIN q z ON a.doc_id = z.doc_id AND a.template = z.template AND z.pos >= a.pos
-                               AND z.pos - a.pos + 1 <= a.n * {(2 - least_dice) / least_dice!r} + 1e-9 AND z.spent < a.pos),
+                               AND z.pos - a.pos + 1 <= a.n * CAST({(2 - least_dice) / least_dice!r} AS DOUBLE) + 1e-9 AND z.spent < a.pos),
         s AS (SELECT doc_id, template, licence, pos, max(CAST(2 * common AS DOUBLE) / (n + last - pos + 1)) AS dice FROM c
               GROUP BY doc_id, template, licence, pos HAVING max(CAST(2 * common AS DOUBLE) / (n + last - pos + 1)) >= {least_dice} - 1e-9)
         SELECT doc_id, licence, template, round(max(dice), 6) AS dice,
