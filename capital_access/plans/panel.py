@@ -13,6 +13,8 @@ from capital_access.operators.reshape import lengthen, widen
 from capital_access.operators.rows import bind_rows
 
 Levels = Mapping[str, Column]
+# Programs known by tract, and the ending of their amount and count columns.
+TRACT_PROGRAMS = {"FDIC": "tot", "FDICsmall": "stot", "CDFI": "tot_CDFI"}
 
 
 def sums_by_level(
@@ -40,6 +42,18 @@ def sums_by_level(
     )
 
 
+def membership(places: DataFrame, key: str, levels: Levels) -> DataFrame:
+    """(key, levels): the levels each place lies in, by predicates; places in none are left out."""
+    found = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in levels.items()]))
+    return places.select(as_col(key), found.alias("levels")).filter(F.size("levels") > 0)
+
+
+def membership_of_pairs(pairs: DataFrame, key: str, level: str) -> DataFrame:
+    """The same from rows (place, level), for any number of levels; repeated and missing ones count once and not at all."""
+    known = pairs.filter(as_col(key).isNotNull() & as_col(level).isNotNull())
+    return known.groupBy(as_col(key)).agg(F.array_sort(F.collect_set(as_col(level))).alias("levels"))
+
+
 def _long(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Columns such as ``total_X`` and ``mean_X`` as rows (measure, type, value)."""
     long = lengthen(df.select(*ids, *values), values)
@@ -67,7 +81,7 @@ def guaranteed_panel(loans: DataFrame, levels: Levels, amount: str = "GrossAppro
 
 def tract_panel(tracts: DataFrame, levels: Levels) -> DataFrame:
     """Total lending and amount per loan by year for the tract programs."""
-    programs = {"FDIC": "tot", "FDICsmall": "stot", "CDFI": "tot_CDFI"}
+    programs = TRACT_PROGRAMS
     measures = {f"{kind}_{p}": f"{kind}_{c}" for p, c in programs.items() for kind in ("amt", "n")}
     sums = sums_by_level(tracts, levels, ["year"], measures)
     added = {f"total_{p}": F.coalesce(F.col(f"amt_{p}"), F.lit(0)) for p in programs}
@@ -109,6 +123,49 @@ def program_panel(
     return stacked.withColumn("Program", labelled)
 
 
+def member_panel(
+    loans: DataFrame, tracts: DataFrame, members: DataFrame, years: tuple[int, int], key: str = "stcotr_code"
+) -> DataFrame:
+    """All programs by geography and year from one aggregate: (geo, Program, year, measure, type, value).
+
+    ``loans`` has a row per award or loan: key, year, type (``SBIR`` for awards,
+    ``SBA``), Program (missing for awards) and amount. ``tracts`` has the
+    disclosed and community lending of places by year, in any number of rows for
+    each. ``members`` says in which levels a place lies. Rows of all programs
+    are stacked under their type and summed by place before they are
+    shuffled; only these sums meet the levels, which may be thousands, and are
+    summed again per combination of levels before they are repeated per level.
+
+    A missing award is skipped, a missing loan spoils its sum, and missing
+    lending is zero, as in ``program_panel``.
+    """
+    lending = [
+        F.struct(F.lit(name).alias("type"), F.col(f"amt_{c}").cast("double").alias("v"), F.col(f"n_{c}").cast("long").alias("n"))
+        for name, c in TRACT_PROGRAMS.items()
+    ]
+    stacked = bind_rows(
+        loans.select(as_col(key), "year", "type", "Program", F.col("amount").cast("double").alias("v")),
+        tracts.select(as_col(key), "year", F.inline(F.array(*lending))),
+    ).filter(F.col("year").between(*years))
+    by, sums = ["type", "Program", "year"], ["v", "n", "present", "rows"]
+
+    def again(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*map(as_col, keys)).agg(*[F.sum(c).alias(c) for c in sums])
+
+    placed = stacked.groupBy(as_col(key), *by).agg(
+        F.sum("v").alias("v"), F.sum("n").alias("n"), F.count("v").alias("present"), F.count(F.lit(1)).alias("rows"))
+    combined = again(placed.join(members, key), "levels", *by)
+    whole = again(combined.select(F.explode("levels").alias("geo"), *by, *sums), "geo", *by)
+    kept = (F.col("type") != "SBA") | (F.col("present") == F.col("rows"))
+    counted = F.when(F.col("type").isin(list(TRACT_PROGRAMS)), F.col("n")).otherwise(F.col("present"))
+    total = F.when(kept, F.coalesce("v", F.lit(0.0)))
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in (("total", total), ("mean", ratio(total, counted)))])
+    label = F.concat_ws(" ", "type", "Program")
+    return whole.select("geo", label.alias("Program"), "year", "type", F.inline(cells)).select(
+        "geo", "Program", "year", "measure", "type", "value")
+
+
 def growth_rate(
     panel: DataFrame,
     first: int,

@@ -723,29 +723,28 @@ def _city_tracts(spark, sf):
     return ids_overlapping(shapes, city, "stcotr_code", "name", cell=25.0)
 
 
-def _panel_inputs(spark, sf):
-    """Awards, guaranteed loans and tract programs in cents, each with the predicates of the three levels."""
+def _members(spark, sf, *names):
+    """Which of the named levels (all unless given) each tract lies in; a table of tracts, written once."""
     metro = county_metro(spark, sf).select("stco_code", "cbsa_code")
-    in_city = _city_tracts(spark, sf).withColumn("in_city", F.lit(True))
-    first, last = STUDY.panel_years
-    located = loans(spark, sf, first, last).withColumn("amt_tot", cents("amt_tot")).join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
+    places = tracts(spark, sf).select("stcotr_code", "stco_code").distinct().join(metro, "stco_code", "left")
     levels = panel.geo_levels(F.col("in_city"), TARGET_METRO, TARGET_COUNTY)
-    awards = located.withColumnRenamed("amt_tot", "Award Amount").filter("decision = 'P'")
-    guaranteed = located.withColumnRenamed("amt_tot", "GrossApproval").filter("decision <> 'P'").withColumn(
-        "Program", F.when(F.col("purpose") < "3", "7A").otherwise("504")
-    )
-    amounts = ["year", "stcotr_code", "amt_tot", "n_tot", "amt_stot", "n_stot", "amt_tot_CDFI", "n_tot_CDFI"]
-    employment, lent, community, zone = _inputs(spark, sf, first, last)
-    recent = community.filter(F.col("year").between(first, last))
-    master = merge.tract_master(employment, lent, recent, zone, PURPOSES, one_row_per_key=True).select(*amounts).withColumns(
-        {"stco_code": F.substring("stcotr_code", 1, 5), **{c: cents(c) for c in amounts if c.startswith("amt_")}}
-    )
-    tract_rows = master.join(metro, "stco_code", "left").join(in_city, "stcotr_code", "left")
-    return (awards, levels), (guaranteed, levels), (tract_rows, levels)
+    if not names or "city" in names:
+        places = places.join(_city_tracts(spark, sf).withColumn("in_city", F.lit(True)), "stcotr_code", "left")
+    return settle(panel.membership(places, "stcotr_code", {k: p for k, p in levels.items() if not names or k in names}), "members")
 
 
-def _panel(spark, sf):
-    return panel.program_panel(*_panel_inputs(spark, sf), STUDY.panel_years)
+def _panel(spark, sf, *names):
+    first, last = STUDY.panel_years
+    is_award = F.col("decision") == "P"
+    lent = loans(spark, sf, first, last).select(
+        "stcotr_code", "year", F.when(is_award, "SBIR").otherwise("SBA").alias("type"),
+        F.when(~is_award, F.when(F.col("purpose") < "3", "7A").otherwise("504")).alias("Program"), cents("amt_tot").alias("amount"))
+    recent = lender(spark, sf).filter(F.col("year").between(first, last))
+    both = bind_rows(merge.disclosure_tracts(disclosure(spark, sf, first, last)), merge.lender_tracts(recent, PURPOSES))
+    # One row a tract, so an inner join; a semi-join would be pushed into both tables, and employment computed for each.
+    places = both.join(_employment(spark, sf).select("stcotr_code"), "stcotr_code")
+    in_cents = places.withColumns({c: cents(c) for c in ("amt_tot", "amt_stot", "amt_tot_CDFI")})
+    return panel.member_panel(lent, in_cents, _members(spark, sf, *names), STUDY.panel_years)
 
 
 def _program_rows(cte: str, where: str, geo: str, total: str, mean: str, kind: str, program: str, keys: str) -> str:
@@ -813,8 +812,7 @@ def q_geo_level_panel(spark, sf):
 )
 def q_program_panel(spark, sf):
     """All programs at one geography, given as a predicate."""
-    inputs = [(df, {"county": levels["county"]}) for df, levels in _panel_inputs(spark, sf)]
-    return panel.program_panel(*inputs, STUDY.panel_years).drop("geo")
+    return _panel(spark, sf, "county").drop("geo")
 
 
 @query(

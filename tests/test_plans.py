@@ -354,6 +354,35 @@ def test_panel_and_growth(spark):
     assert growth[("county", "SBIR", "total")]["2014"] is None
 
 
+def test_member_panel(spark):
+    loans = spark.createDataFrame(
+        [("a", 2013, "SBIR", None, 10.0), ("b", 2013, "SBIR", None, None), ("a", 2013, "SBA", "7A", 10.0), ("b", 2013, "SBA", "7A", None),
+         ("c", 2013, "SBA", "504", 6.0), ("a", 2012, "SBIR", None, 99.0), (None, 2013, "SBIR", None, 5.0)],
+        "stcotr_code string, year int, type string, Program string, amount double")
+    tracts = spark.createDataFrame(
+        [("a", 2013, 10.0, 2, 4.0, 0, None, None), ("b", 2013, 20.0, 3, None, None, None, None), ("b", 2013, None, None, None, None, 6.0, 3)],
+        "stcotr_code string, year int, amt_tot double, n_tot int, amt_stot double, n_stot int, amt_tot_CDFI double, n_tot_CDFI int")
+    pairs = spark.createDataFrame([("a", "M"), ("b", "M"), ("b", "M"), ("a", "C"), ("c", "X"), ("z", "Z"), (None, "M"), ("a", None)], "stcotr_code string, geo string")
+    members = panel.membership_of_pairs(pairs, "stcotr_code", "geo")
+    result = panel.member_panel(loans, tracts, members, (2013, 2018)).collect()
+    got = {(r["geo"], r["Program"], r["measure"], r["year"]): r["value"] for r in result}
+    assert len(got) == len(result) and not any(k[3] == 2012 or k[0] == "Z" for k in got)
+    assert got[("M", "SBIR", "total", 2013)] == 10.0 and got[("M", "SBIR", "mean", 2013)] == 10.0
+    assert got[("M", "SBA 7A", "total", 2013)] is None and got[("M", "SBA 7A", "mean", 2013)] is None
+    assert got[("C", "SBA 7A", "total", 2013)] == 10.0 and got[("X", "SBA 504", "mean", 2013)] == 6.0
+    assert got[("M", "FDIC", "total", 2013)] == 30.0 and got[("M", "FDIC", "mean", 2013)] == 6.0
+    assert got[("C", "FDICsmall", "mean", 2013)] is None and got[("M", "CDFI", "mean", 2013)] == 2.0 and got[("C", "CDFI", "total", 2013)] == 0.0
+
+
+def test_thousands_of_levels(spark):
+    loans = spark.range(4000).selectExpr("cast(id AS string) AS stcotr_code", "2015 AS year", "'SBIR' AS type", "cast(null AS string) AS Program", "1.0D AS amount")
+    tracts = spark.createDataFrame([], "stcotr_code string, year int, amt_tot double, n_tot int, amt_stot double, n_stot int, amt_tot_CDFI double, n_tot_CDFI int")
+    pairs = spark.range(4000).selectExpr("cast(id AS string) AS stcotr_code", "explode(array(concat('g', id % 3000), 'all')) AS geo")
+    result = panel.member_panel(loans, tracts, panel.membership_of_pairs(pairs, "stcotr_code", "geo"), (2015, 2015)).filter("measure = 'total'")
+    got = {r["geo"]: r["value"] for r in result.collect()}
+    assert len(got) == 3001 and got["all"] == 4000.0 and got["g0"] == 2.0 and got["g2999"] == 1.0
+
+
 def test_sums_by_level_equal_one_scan_per_level(spark):
     df = spark.range(200).select((F.col("id") % 5).alias("year"), (F.col("id") % 3).alias("a"), (F.col("id") % 7).alias("v"))
     levels = {"low": F.col("a") <= 1, "zero": F.col("a") == 0, "never": F.col("a") > 9}

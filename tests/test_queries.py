@@ -76,4 +76,12 @@ def test_hot_key_merge_scans_the_facts_no_more_often(spark):
 
 def test_panel_years_reach_the_scans(spark):
     plan = executed(spark, "geo_level_panel")
-    assert len(re.findall(r"o_orderdate#\d+ < 2001-01-01", plan)) >= 3 and scans(plan, "lineitem") == 2
+    # Two scans have dates: the loans of all programs, and the loans of disclosed lines.
+    assert len(re.findall(r"o_orderdate#\d+ < 2001-01-01", plan)) == 2 and scans(plan, "lineitem") == 2
+
+
+def test_panel_reads_each_program_once(spark):
+    for name in ("geo_level_panel", "growth_rate", "program_panel"):
+        plan = executed(spark, name)
+        # orders: the loans, the keys of disclosed lines, the keys of employment; customer beside each of these and beside the lender's events
+        assert scans(plan, "orders") == 3 and scans(plan, "customer") == 4 and scans(plan, "events") == 1
