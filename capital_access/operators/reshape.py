@@ -72,6 +72,33 @@ def widen(
     return df.groupBy(*keys).agg(*cells, *extra)
 
 
+def widen_open(
+    df: DataFrame,
+    keys: Sequence[str],
+    names_from: str | Sequence[str],
+    value: str | Column,
+    aggregate: Callable[[Column], Column] = F.sum,
+    cells: str = "cells",
+) -> DataFrame:
+    """One row per key with a map from name to value, for a vocabulary that nobody has to know.
+
+    The names stay in the rows: none is brought to the driver, and a row is as
+    wide as its own names, not as the vocabulary. Cells are aggregated by key and
+    name before they meet by key, so a hot key costs one row for each of its
+    names. Names are in order; a cell without rows is in no map, one whose rows
+    are all missing is missing. ``cell`` makes a column of one name.
+    """
+    by = [as_col(k) for k in keys]
+    summed = df.groupBy(*by, name_of(names_from).alias("_name")).agg(aggregate(as_col(value)).alias("_value"))
+    entries = F.array_sort(F.collect_list(F.struct("_name", "_value")))
+    return summed.groupBy(*by).agg(F.map_from_entries(entries).alias(cells))
+
+
+def cell(name: str, cells: str = "cells") -> Column:
+    """The value of one name in the rows of ``widen_open``; missing where the row lacks it."""
+    return F.try_element_at(as_col(cells), F.lit(name))
+
+
 def lengthen(
     df: DataFrame, columns: Sequence[str], name: str = "name", value: str = "value"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capital_access.functions.columns import containing, row_sum
 from capital_access.functions.nulls import (
+    cents,
     as_col,
     max_of,
     mean_of,
@@ -23,7 +24,7 @@ from capital_access.operators.aggregates import (
     weighted_means,
 )
 from capital_access.operators.quality import by_year
-from capital_access.operators.reshape import lengthen, widen
+from capital_access.operators.reshape import lengthen, widen, widen_open
 from capital_access.queries.registry import query
 from capital_access.queries.roles import lender, loans, money_sql, pad_sql, table, tracts, with_sql
 from capital_access.session import settle
@@ -384,6 +385,23 @@ def q_pivot_sum_prefix(spark, sf):
     )
 
 
+@query(
+    "pivot_open_vocabulary",
+    with_sql("tracts", "lender")
+    + """, cells AS (SELECT purpose, year, stcotr_code AS name, CAST(sum(amt_tot) * 100 AS BIGINT) AS c FROM lender GROUP BY ALL)
+    SELECT purpose, year, count(*) AS n_names, CAST(sum(c) AS BIGINT) AS cents, min(name) AS first_name, arg_min(c, name) AS first_cents
+    FROM cells GROUP BY ALL
+    """,
+)
+def q_pivot_open_vocabulary(spark, sf):
+    """Sums by tract as one map a purpose and year, the tracts not being listed anywhere; read back as count, total and first cell."""
+    wide = widen_open(lender(spark, sf), ["purpose", "year"], "stcotr_code", cents("amt_tot"))
+    names, amounts = F.map_keys("cells"), F.map_values("cells")
+    return wide.select(
+        "purpose", "year", F.size(names).cast("long").alias("n_names"), F.aggregate(amounts, F.lit(0).cast("long"), lambda a, c: a + c).alias("cents"),
+        F.element_at(names, 1).alias("first_name"), F.element_at(amounts, 1).alias("first_cents"))
+
+
 @query(
     "pivot_two_name_columns",
     """

@@ -143,6 +143,21 @@ def test_widen_names_and_empty_cells(spark):
     assert both.columns == ["k", "s_t1_a", "s_t2_b", "t_t1_a", "t_t2_b"]
 
 
+def test_widen_without_a_list_of_names(spark):
+    from capital_access.plans.gaps import _only_value
+    df = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 2.0), ("x", None, 5.0), ("y", "b", None), (None, "b", 4.0)], "k string, p string, v double")
+    wide = reshape.widen_open(df, ["k"], "p", "v")
+    assert {r["k"]: r["cells"] for r in wide.collect()} == {"x": {"NA": 5.0, "a": 3.0}, "y": {"b": None}, None: {"b": 4.0}}
+    assert {r["k"]: r["b"] for r in wide.select("k", reshape.cell("b").alias("b")).collect()} == {"x": None, "y": None, None: 4.0}
+    assert reshape.widen_open(df.where("false"), ["k"], "p", "v").collect() == []
+    with pytest.raises(Exception, match="two values in one cell"):
+        reshape.widen_open(df, ["k"], "p", "v", _only_value).collect()
+    many = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.concat(F.lit("n"), F.col("id") % 100_000).alias("p"), F.lit(1).alias("v"))
+    open_ = reshape.widen_open(many, ["k"], "p", "v").select("k", F.size("cells").alias("n"), reshape.cell("n7").alias("c")).collect()
+    assert sorted(map(tuple, open_)) == [(0, 50_000, None), (1, 50_000, 2)]
+
+
+
 def test_lengthen_keeps_missing_values(spark):
     df = spark.createDataFrame([("a", 1, None)], "k string, x int, y double")
     assert rows(reshape.lengthen(df, ["x", "y"])) == [("a", "x", 1.0), ("a", "y", None)]
