@@ -102,24 +102,27 @@ def sentence_bounds(text: str, rule: SpanRule) -> list[tuple[int, int, int]]:
     return list(zip([0, *ends[:-1]], ends, counts.tolist()))
 
 
-def _runs(words: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray]:
-    """First piece, and the piece behind the last, of all runs of a document, given the words of its pieces."""
-    n, before = len(words), np.concatenate([[0], np.cumsum(words, dtype="i8")])
-    if n < rule.sentences:
-        whole = [0] if n and before[n] >= rule.least_words else []
-        return np.array(whole, "i8"), np.array([n] * len(whole), "i8")
-    place = np.arange(n)
+def _runs(words: np.ndarray, sizes: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first piece, and piece behind the last, of all runs, given the words of the pieces of documents side by side.
+
+    ``sizes`` has the number of pieces of each document. Pieces are numbered through all documents.
+    """
+    n, ends = len(words), np.cumsum(sizes, dtype="i8")
+    starts, before, place = ends - sizes, np.concatenate([[0], np.cumsum(words, dtype="i8")]), np.arange(n)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     last = np.maximum(place + rule.sentences, np.searchsorted(before, before[:-1] + rule.least_words))
     first = np.minimum(place + 1 - rule.sentences, np.searchsorted(before, before[1:] - rule.least_words, "right") - 1)
-    begun, ended = last <= n, first >= 0
-    found = np.unique(np.concatenate([place[begun] * (n + 1) + last[begun], first[ended] * (n + 1) + place[ended] + 1]))
-    return np.divmod(found, n + 1)
+    begun, ended = last <= ends[of], first >= starts[of]
+    ended[ended] = last[first[ended]] != place[ended] + 1  # else the same run as the one that begins there
+    short = np.flatnonzero((sizes > 0) & (sizes < rule.sentences) & (before[ends] - before[starts] >= rule.least_words))
+    return (np.concatenate([of[begun], of[ended], short]), np.concatenate([place[begun], first[ended], starts[short]]),
+            np.concatenate([last[begun], place[ended] + 1, ends[short]]))
 
 
 def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
     """(first piece, number of pieces) of all runs of a document, given the words of its pieces."""
-    first, last = _runs(np.array(words, "i8"), rule)
-    return list(zip(first.tolist(), (last - first).tolist()))
+    _, first, last = _runs(np.array(words, "i8"), np.array([len(words)]), rule)
+    return sorted(zip(first.tolist(), (last - first).tolist()))
 
 
 def pieces_of(text: str | None, rule: SpanRule) -> tuple[bytes, bytes]:
@@ -154,17 +157,25 @@ class _Powers:
 _powers = _Powers()
 
 
-def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of 64 and of 32 bits of the runs of pieces ``first`` to before ``last``.
+def _summed(pieces: np.ndarray, first: np.ndarray, last: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    rising, falling = powers
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(pieces * rising[:len(pieces)], dtype="u8")])
+    return (sums[last] - sums[first]) * falling[first] + (last - first).astype("u8")
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes of 64 and (if ``both``) of 32 bits of the runs of pieces ``first`` to before ``last``.
 
     A run's hash is the sum of its pieces' hashes times rising powers, which is
-    a difference of two running sums; so all runs of a document cost one sweep.
+    a difference of two running sums; so all runs cost one sweep. It does not
+    depend on what stands before the run: documents may lie side by side.
     """
-    out = []
-    for (rising, falling), pieces in zip(_powers.upto(len(hashes) + 1), (hashes, (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_BASES[0]))):
-        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(pieces * rising[:len(pieces)], dtype="u8")])
-        out.append((sums[last] - sums[first]) * falling[first] + (last - first).astype("u8"))
-    return out[0].view("i8"), (out[1] >> np.uint64(32)).astype("u4").view("i4")
+    one, two = _powers.upto(len(hashes) + 1)
+    h1 = _summed(hashes, first, last, one).view("i8")
+    if not both:
+        return h1, None
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_BASES[0])
+    return h1, (_summed(mixed, first, last, two) >> np.uint64(32)).astype("u4").view("i4")
 
 
 def without(text: str, runs: list[tuple[int, int]], rule: SpanRule) -> tuple[str, int, str]:
@@ -201,18 +212,18 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, rule: SpanRule) -
 
 def passage_runs(pieces: DataFrame, rule: SpanRule, whole: bool) -> DataFrame:
     """Rows h1 (and, if ``whole``, h2, row, first) for every run of every document that has been cut; h2 holds the run's length too."""
-    columns = ["h1", "h2", "row", "first"] if whole else ["h1"]
-
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
-            parts = []
-            for row, words, hashes in zip(frame["row"], frame["words"], frame["hashes"]):
-                first, last = _runs(np.frombuffer(words, "<u2"), rule)
-                if len(first):
-                    h1, h2 = run_hashes(np.frombuffer(hashes, ">u8").astype("u8"), first, last)
-                    parts.append((h1, h2.astype("i8") * _LENGTHS + last - first, np.full(len(first), row), first.astype("i4")) if whole else (h1,))
-            if parts:
-                yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(columns, zip(*parts))})
+            sizes = np.fromiter(map(len, frame["words"]), "i8", len(frame)) // 2
+            of, first, last = _runs(np.frombuffer(b"".join(frame["words"]), "<u2"), sizes, rule)
+            if not len(of):
+                continue
+            h1, h2 = run_hashes(np.frombuffer(b"".join(frame["hashes"]), ">u8").astype("u8"), first, last, whole)
+            made = {"h1": h1}
+            if whole:
+                made |= {"h2": h2.astype("i8") * _LENGTHS + last - first, "row": frame["row"].to_numpy()[of],
+                         "first": (first - (np.cumsum(sizes) - sizes)[of]).astype("i4")}
+            yield pd.DataFrame(made)
 
     return pieces.select("row", "words", "hashes").mapInPandas(runs, "h1 long, h2 long, row long, first int" if whole else "h1 long")
 
