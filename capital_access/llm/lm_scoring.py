@@ -279,8 +279,7 @@ class Trainer:
     def step(self, targets: np.ndarray, before: np.ndarray) -> None:
         m, n = self.model, len(targets)
         noise = np.minimum(np.searchsorted(self.bounds, self.rng.random(m.shape.noise)), len(self.bounds) - 1)
-        read = [m.inputs[before[:, k]] for k in range(m.shape.context)]
-        hidden = sum(r @ c for r, c in zip(read, m.matrices))
+        hidden = sum((m.inputs @ c)[before[:, k]] for k, c in enumerate(m.matrices))
         out_true, out_noise = m.outputs[targets], m.outputs[noise]
         # Slopes of the logistic loss: minus the share of noise for the true ones, the share of the corpus for the others.
         true = -_share(np.einsum("ij,ij->i", hidden, out_true) + (m.bias - self.log_noise)[targets])
@@ -292,17 +291,19 @@ class Trainer:
         outputs, bias = _added(targets, hidden, len(m.outputs)), np.bincount(targets, true, len(m.bias)).astype("f4")
         np.add.at(outputs, noise, from_noise)
         np.add.at(bias, noise, false.sum(axis=0))
-        matrices = np.stack([r.T @ back for r in read])
-        inputs = sum(_added(before[:, k], back @ c.T, len(m.inputs)) for k, c in enumerate(m.matrices))
+        # Slopes are added up by cell before they go through the matrices: there are fewer cells than tokens.
+        by_cell = [_added(before[:, k], back, len(m.inputs)) for k in range(m.shape.context)]
+        matrices = np.stack([m.inputs.T @ found for found in by_cell])
+        inputs = sum(found @ c.T for found, c in zip(by_cell, m.matrices))
         for name, gradient in (("outputs", outputs), ("bias", bias), ("matrices", matrices), ("inputs", inputs)):
             self._move(name, gradient / n)
 
     def learn(self, targets: np.ndarray, before: np.ndarray) -> None:
         """A step for each batch, of tokens drawn from everywhere in the block."""
-        order = self.rng.permutation(len(targets))
-        for a in range(0, len(order), self.model.shape.batch):
-            chosen = order[a:a + self.model.shape.batch]
-            self.step(targets[chosen], before[chosen])
+        order, batch = self.rng.permutation(len(targets)), self.model.shape.batch
+        targets, before = targets[order], before[order]
+        for a in range(0, len(order), batch):
+            self.step(targets[a:a + batch], before[a:a + batch])
 
 
 def blocks(texts: Iterator[tuple[int, str | None]], reader: Reader, context: int, size: int = 1 << 15) -> Iterator[tuple]:
@@ -412,11 +413,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)
         known = np.concatenate([np.ones(reader.known, "i8"), np.zeros(shape.buckets, "i8")])
-        for frame in small_batches(frames):
+        # Long blocks, as equal contexts are normalised once in a block.
+        for frame in small_batches(frames, 1024):
             rows = len(frame)
             sums = {name: np.zeros(rows) for name in ("n_tokens", "n_known", "base_score", "score")}
             rare: list[list[bytes]] = [[] for _ in range(rows)]
-            for (places, first), numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context, 1 << 17):
+            for (places, first), numbers, cells, before, unknown in blocks(enumerate(frame["text"]), reader, shape.context, 1 << 18):
                 chances = model.log_probabilities(cells, before) / np.log(10) + reader.within[numbers]
                 np.add.at(sums["n_tokens"], places, np.diff(first, append=len(cells)))
                 for name, values in (("n_known", known[numbers]), ("base_score", reader.base[numbers]), ("score", chances)):
