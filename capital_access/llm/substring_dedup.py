@@ -41,30 +41,19 @@ class SpanRule:
     least_words: int = 20
 
 
-class _Checksums(dict):
-    """Checksums of words in lower case, each computed once."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = crc32(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-_checksums = _Checksums()
-
-
 #: White space by code point; beyond the last one of the table there is none.
 _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
-_STOPS = np.array([ord(c) for c in ".!?"], "u4")
 
 
 def _word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word starts, whether it is the last of its sentence, and where what follows such a word starts."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    edges = np.diff(np.concatenate([[True], _SPACES[np.minimum(codes, len(_SPACES) - 1)], [True]]).astype("i1"))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    last = np.isin(codes[ends - 1], _STOPS)
+    space = np.ones(len(codes) + 2, bool)
+    space[1:-1] = _SPACES[np.minimum(codes, len(_SPACES) - 1)]
+    edges = np.flatnonzero(space[1:] != space[:-1])  # where a word starts and ends, in turn
+    starts, ends = edges[::2], edges[1::2]
+    closing = codes[ends - 1]
+    last = (closing == ord(".")) | (closing == ord("!")) | (closing == ord("?"))
     follow = np.append(starts[1:], len(codes))
     lines = np.flatnonzero(codes == 10)
     if len(lines):
@@ -80,17 +69,25 @@ def _word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, last, follow
 
 
-def _pieces(text: str, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Where each piece ends in the text, its number of words, and all words in lower case."""
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        values, done = np.minimum(values[:-done], values[done:]), 2 * done
+    return np.minimum(values[:len(values) - (width - done)], values[width - done:])
+
+
+def _pieces(text: str, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where each piece ends in the text, its number of words, and all words in lower case with a blank between any two."""
     starts, last, follow = _word_places(text)
-    words, n, width = text.lower().split(), len(starts), rule.longest
+    words, n, width = " ".join(text.lower().split()).encode("utf-8", "surrogatepass"), len(starts), rule.longest
     ends = last.copy()
     if n >= width:
         # The least checksum of each window within a sentence, the last of equals.
-        ranked = np.fromiter(map(_checksums.__getitem__, words), "i8", n) * n + np.arange(n - 1, -1, -1)
+        ranked = np.fromiter(map(crc32, words.split(b" ")), "i8", n) * n + np.arange(n - 1, -1, -1)
         sentence = np.cumsum(last) - last
         inside = sentence[:n - width + 1] == sentence[width - 1:]
-        ends[n - 1 - np.lib.stride_tricks.sliding_window_view(ranked, width).min(axis=1)[inside] % n] = True
+        ends[n - 1 - _least(ranked, width)[inside] % n] = True
     at = np.flatnonzero(ends)
     return np.where(last[at], follow[at], np.append(starts[1:], len(text))[at]), np.diff(at, prepend=-1), words
 
@@ -128,9 +125,10 @@ def run_bounds(words: list[int], rule: SpanRule) -> list[tuple[int, int]]:
 def pieces_of(text: str | None, rule: SpanRule) -> tuple[bytes, bytes]:
     """Numbers of words (16 bits each) and hashes (64 bits each) of the pieces; case and white space do not count."""
     _, counts, words = _pieces(text or "", rule)
-    ends = np.cumsum(counts).tolist()
-    plain = [" ".join(words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
-    return counts.astype("<u2").tobytes(), b"".join(map(xxhash.xxh3_64_digest, plain))
+    blanks = np.append(np.flatnonzero(np.frombuffer(words, "u1") == ord(" ")), len(words))
+    ends = blanks[np.cumsum(counts) - 1]
+    digests = [xxhash.xxh3_64_digest(words[a:b]) for a, b in zip([0, *(ends + 1).tolist()], ends.tolist())]
+    return counts.astype("<u2").tobytes(), b"".join(digests)
 
 
 #: More than the pieces of any run.
