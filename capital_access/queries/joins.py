@@ -17,14 +17,20 @@ from capital_access.operators.joins import (
     star_join,
     unmatched,
 )
-from capital_access.operators.matching import locate_by_county_name, locate_by_place, match_places, place_keys
+from capital_access.operators.matching import (
+    locate_by_county_name,
+    locate_by_place,
+    locate_with_dictionary,
+    match_places,
+    place_keys,
+)
 from capital_access.operators.quality import filter_accounting, join_accounting
 from capital_access.operators.rows import bind_common, bind_rows, set_difference, top_with_ties
 from capital_access.operators.spatial import ids_overlapping, overlap_join, rectangle
 from capital_access.plans.programs import clean_guaranteed
 from capital_access.queries.registry import query
 from capital_access.queries.roles import county_metro, loans, money_sql, pad_sql, table, tracts, with_sql, zones
-from capital_access.session import settle
+from capital_access.session import scratch_path, settle
 
 
 @query(
@@ -265,6 +271,23 @@ def q_resolve_and_join_back(spark, sf):
     return located.select("p_partkey", "stco_code", "cbsa_code")
 
 
+@query(
+    "place_dictionary",
+    PLACES_SQL
+    + """
+    SELECT p_partkey, stco_code, lpad(CAST(n_regionkey AS VARCHAR), 5, '0') AS cbsa_code
+    FROM part LEFT JOIN best ON pl_label = p_name AND st_name = p_brand
+    LEFT JOIN nation ON CAST(stco_code AS INTEGER) = n_nationkey * 3001
+    """,
+)
+def q_place_dictionary(spark, sf):
+    """Every fact with county and metro, from a dictionary that an earlier delivery of facts has filled in part."""
+    facts, crosswalks = _places(spark, sf), (_place_county(spark, sf), county_metro(spark, sf))
+    root = scratch_path(spark, "places")
+    locate_with_dictionary(facts.where("p_partkey % 2 = 0"), *crosswalks, root)
+    return locate_with_dictionary(facts, *crosswalks, root).select("p_partkey", "stco_code", "cbsa_code")
+
+
 @query(
     "county_name_match",
     f"""

@@ -208,6 +208,46 @@ def test_facts_get_county_and_metro(crosswalks):
     ]
 
 
+def test_dictionary_resolves_only_new_places(spark, crosswalks, tmp_path):
+    facts, place_county, county_metro = crosswalks
+    root = f"file://{tmp_path}/places"
+    columns = ["id", "stco_code", "cbsa_code"]
+
+    def located(some, counties=place_county, on_ties="all"):
+        return rows(matching.locate_with_dictionary(some, counties, county_metro, root, on_ties).select(*columns))
+
+    def files():
+        return sorted(str(p) for p in tmp_path.rglob("*.parquet"))
+
+    whole = rows(matching.locate_by_place(*crosswalks).select(*columns))
+    assert located(facts.where("id < 3")) == [r for r in whole if r[0] < 3]
+    first = files()
+    assert located(facts) == whole and set(first) < set(files())  # the first answers stay, new ones are added
+    second = files()
+    assert located(facts.union(facts.limit(0))) == whole and files() == second  # nothing is left to resolve
+    assert located(facts.limit(0)) == [] and files() == second
+    assert [r[1] for r in located(facts, on_ties="min_code") if r[0] == 2] == ["39001"]
+    # The same places appended once more, as by two runs side by side, are read once.
+    folder = next(p for p in (tmp_path / "places").iterdir() if p.name.startswith("all-"))
+    spark.createDataFrame(spark.read.parquet(f"file://{folder}").collect(), spark.read.parquet(f"file://{folder}").schema).write.mode(
+        "append").parquet(f"file://{folder}")
+    assert located(facts) == whole
+    # Another crosswalk has a dictionary of its own.
+    moved = place_county.withColumn("stco_code", F.regexp_replace("stco_code", "^27123$", "27125"))
+    assert [r[1] for r in located(facts, moved) if r[0] == 1] == ["27125"]
+    assert located(facts) == whole
+
+
+def test_version_of_content(spark):
+    schema = "a string, b string"
+    one = spark.createDataFrame([("x", None), ("y", "z")], schema)
+    assert matching.content_version(one) == matching.content_version(one.orderBy(F.col("a").desc()))
+    others = [[(None, "x"), ("y", "z")], [("x", None)], [("x", None), ("y", "z"), ("y", "z")], [("x", ""), ("y", "z")], []]
+    versions = [matching.content_version(spark.createDataFrame(o, schema)) for o in others]
+    versions += [matching.content_version(one), matching.content_version(one.toDF("a", "c"))]
+    assert len(set(versions)) == len(versions)
+
+
 def test_counties_match_by_name(spark):
     counties = spark.createDataFrame(
         [("29510", "St. Louis MO"), ("18141", "St. Joseph IN"), ("22071", "Orleans Parish LA"), ("51019", "Bedford VA (R)"), ("29510", "St. Louis MO")],
