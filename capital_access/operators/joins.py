@@ -116,6 +116,20 @@ def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 
+def full_join_many(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Full outer join whose keys may repeat, and be hot, on both sides.
+
+    Matches are an inner join, of which Spark can split a hot key on either
+    side, whichever is larger; no promise about either side is needed. The rows
+    without a partner, missing keys among them, come from an anti-join with the
+    distinct keys of the other side, which are reduced before their shuffle.
+    Both tables are named three times: settle them if they are computed.
+    """
+    keys = _listed(on)
+    alone = [unmatched(a, b.select(keys).distinct(), keys) for a, b in ((left, right), (right, left))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alone, left.join(right, keys))
+
+
 def null_safe_full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """``full_join`` in which a missing key matches a missing key."""
     keys = _listed(on)

@@ -9,6 +9,7 @@ from capital_access.functions.nulls import money_sum
 from capital_access.functions.text import pad_code
 from capital_access.operators.joins import (
     full_join,
+    full_join_many,
     join_with_suffixes,
     keep_matching,
     left_join,
@@ -167,6 +168,25 @@ def q_full_join_hot_side(spark, sf):
     return full_join(facts, zones(spark, sf), "stcotr_code")
 
 
+@query(
+    "full_join_hot_both",
+    with_sql("tracts")
+    + f"""
+    , lines AS (SELECT stcotr_code, o_orderpriority, CAST({money_sql('o_totalprice')} AS DOUBLE) AS amt
+               FROM orders JOIN tracts ON o_custkey = c_custkey),
+    a AS (SELECT stcotr_code, amt AS amt_urgent FROM lines WHERE o_orderpriority = '1-URGENT'),
+    b AS (SELECT stcotr_code, amt AS amt_low FROM lines WHERE o_orderpriority = '5-LOW')
+    SELECT stcotr_code, amt_urgent, amt_low FROM a FULL JOIN b USING (stcotr_code)
+    """,
+)
+def q_full_join_hot_both(spark, sf):
+    """Full join of the loans of two purposes by tract, many of either per tract."""
+    settled = settle(loans(spark, sf).select("stcotr_code", "purpose", F.col("amt_tot").alias("amt")), "loans")
+    urgent = settled.where("purpose = '1-URGENT'").select("stcotr_code", F.col("amt").alias("amt_urgent"))
+    low = settled.where("purpose = '5-LOW'").select("stcotr_code", F.col("amt").alias("amt_low"))
+    return full_join_many(urgent, low, "stcotr_code")
+
+
 @query(
     "star_join_summaries",
     with_sql("county_metro", "tracts", "loans")

@@ -20,6 +20,9 @@ def test_missing_keys_match_only_when_asked(spark):
     plain = [("a", 1, 10), ("b", None, 30), ("z", 3, None), (None, 2, None), (None, None, 20)]
     assert rows(joins.full_join(left, right, "k")) == plain
     assert rows(joins.full_join(left, right, "k")) == rows(left.join(right, ["k"], "full"))
+    assert rows(joins.full_join_many(left, right, "k")) == plain
+    twice = left.union(left), right.union(right)
+    assert rows(joins.full_join_many(*twice, "k")) == rows(twice[0].join(twice[1], ["k"], "full"))
     safe = [("a", 1, 10), ("b", None, 30), ("z", 3, None), (None, 2, 20)]
     assert rows(joins.null_safe_full_join(left, right, "k")) == safe
     assert rows(joins.null_safe_join(left, right, "k", "full")) == safe

@@ -57,6 +57,13 @@ def test_full_join_splits_the_hot_key(spark, facts, no_broadcast):
     assert counts(joined, "k", "v", "d") == counts(facts.join(right, ["k"], "full"), "k", "v", "d")
 
 
+def test_full_join_splits_a_key_hot_on_both_sides(spark, facts, no_broadcast):
+    right = spark.range(0, 300, 1, 4).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id") * 40).alias("k"), (F.col("id") * 2).alias("d"))
+    joined = joins.full_join_many(facts, right, "k")
+    assert "skew=true" in final_plan(joined)
+    assert counts(joined, "k", "v", "d") == counts(facts.join(right, ["k"], "full"), "k", "v", "d")
+
+
 def test_best_rows_of_a_hot_group_with_many_ties(spark, facts, no_broadcast):
     rated = facts.withColumn("m", F.col("id") % 2)
     best = row_ops.top_with_ties(rated, ["k"], ["m"])
