@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capital_access.functions.nulls import as_col
-from capital_access.session import settle
+from capital_access.session import scratch_path, settle, settle_at
 
 #: Turns of a conversation that are summed up together.
 _SEGMENT = 1024
@@ -55,7 +55,7 @@ def share_beginnings(numbered: DataFrame, group: int = 20, most: int = 4) -> Dat
         .groupBy(F.col("conv_id").alias("origin")).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("firsts")))
     taken = F.slice(F.coalesce("firsts", F.array().cast(firsts.schema["firsts"].dataType)), F.lit(1), F.col("h").cast("int"))
     heads = settle(
-        numbered.select("conv_id").distinct().select("conv_id", origin, h.alias("h")).join(firsts, "origin", "left")
+        numbered.where("place = 0").select("conv_id", origin, h.alias("h")).join(firsts, "origin", "left")
         .select("conv_id", "h", taken.alias("taken")), "heads")
     own = numbered.join(heads.select("conv_id", "h", F.size("taken").alias("n")), "conv_id").where("place >= h").select(
         "conv_id", (F.col("place") - F.col("h") + F.col("n")).alias("place"), "role", "text")
@@ -100,67 +100,95 @@ def beginnings(numbered: DataFrame) -> DataFrame:
         key(F.col("depth") - 1, [F.col(f"sum_{p}") - F.col(p) for p in parts]).alias("parent"), "words", "is_last")
 
 
+def _tell(rows: DataFrame, key: str, messages: Sequence[dict[str, Column]], sums: Sequence[str] = ()) -> DataFrame:
+    """The messages of all rows by their ``key``: columns in ``sums`` added up, of others the greatest; a message without a key goes to nobody.
+
+    Columns a message lacks are missing in it, and must not be missing in all.
+    The first message is a row's own; keys that only others wrote to are left out.
+    """
+    kinds = {name: field.dataType for message in messages for name, field in zip(message, rows.select(*message.values()).schema)}
+    sent = rows.select(F.inline(F.array(*(
+        F.struct(*(message.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()), F.lit(k == 0).alias("here"))
+        for k, message in enumerate(messages)))))
+    return sent.where(F.col(key).isNotNull()).groupBy(key).agg(
+        *((F.sum if name in sums else F.max)(name).alias(name) for name in kinds if name != key), F.max("here").alias("here")).where("here").drop("here")
+
+
 def subtree_totals(nodes: DataFrame, values: Sequence[str], node_col: str = "node", parent_col: str = "parent") -> DataFrame:
     """Rows (node, *values): the sums of the values over each node's subtree, its top included.
 
     Parallel tree contraction. A round rakes all leaves, whose totals are then
     known, into their parents, and compresses chains: of the inner nodes with one
-    child left, those whose hash is the least among their neighbours of that
-    kind go, and the child hangs below their parent, with what they held on its
+    child left, those whose hash is less than that of their parent and of the
+    child go, and the child hangs below their parent, with what they held on its
     edge. So a chain loses a third of its nodes a round, a bush all its leaves,
     and the rounds grow with the logarithm of the nodes. Then the compressed
     nodes come back, last round first: the total of one is what it held, and its
     child's total.
 
     A node without a parent is a root; several are several trees. Ids must not
-    repeat. Children are counted and summed by aggregates reduced before their
-    shuffle, and all joins are on keys that are unique on both sides, so a node
-    with a third of all others below it burdens no task. Every round is written
-    to the shared folder.
+    repeat. In a round, nodes write to their parents, then to their children,
+    and what is written to a node is reduced before its shuffle, so a node with
+    a third of all others below it burdens no task. The joins of the way back
+    are on keys that are unique on both sides. Every round is one table in the
+    shared folder, and those of all rounds are read as one, so that plans do not
+    grow with the rounds.
     """
-    held, edges = [f"held_{v}" for v in values], [f"edge_{v}" for v in values]
+    held, edges, kid_edges = [f"held_{v}" for v in values], [f"edge_{v}" for v in values], [f"kid_edge_{v}" for v in values]
+    gains = [f"gain_{v}" for v in values]
     zero = F.lit(0).cast("long")
-    state = settle(nodes.select(
+
+    def own(*names: str) -> dict[str, Column]:
+        return {name: F.col(name) for name in names}
+
+    def added(totals: Sequence[str], more: Sequence[str]) -> list[Column]:
+        return [(F.col(t) + F.coalesce(m, zero)).alias(t) for t, m in zip(totals, more)]
+
+    def pairs(*names: Sequence[str]) -> list[tuple[Column, ...]]:
+        return [tuple(F.col(n) for n in pair) for pair in zip(*names)]
+
+    def rank(node: str) -> Column:
+        return F.struct(F.xxhash64(node, F.lit(turn)), node)
+
+    state = nodes.select(
         as_col(node_col).alias("node"), as_col(parent_col).alias("parent"), *(as_col(v).cast("long").alias(h) for v, h in zip(values, held)),
-        *(zero.alias(e) for e in edges)), "tree")
-    known, compressed, turn = [], [], 0
+        *(zero.alias(e) for e in edges), F.lit(None).cast("long").alias("kids"))
+    turn, shared = 0, scratch_path(nodes.sparkSession, "contraction")
+    rounds, expanded = [], []
     while True:
-        kids = state.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"))
-        marked = state.join(kids, "node", "left").withColumn("leaf", F.col("n").isNull() & F.col("parent").isNotNull()).drop("n")
-        gains = marked.where("leaf").groupBy(F.col("parent").alias("node")).agg(
-            *(F.sum(F.col(h) + F.col(e)).alias(f"gain_{v}") for v, h, e in zip(values, held, edges)))
-        raked = settle(
-            marked.join(gains, "node", "left").select(
-                "node", "parent", "leaf", *((F.col(h) + F.coalesce(f"gain_{v}", zero)).alias(h) for v, h in zip(values, held)), *edges), "raked")
-        known.append(raked.where("leaf").select("node", *(F.col(h).alias(v) for v, h in zip(values, held))))
-        rest = raked.where("NOT leaf").drop("leaf")
-        inner = rest.where("parent IS NOT NULL")
-        if inner.isEmpty():
-            known.append(rest.select("node", *(F.col(h).alias(v) for v, h in zip(values, held))))
+        leaf = F.coalesce(F.col("kids") == 0, F.lit(False))
+        raked = _tell(state, "node", [
+            {"node": F.when(~leaf, F.col("node"))} | own("parent", *held, *edges),
+            {"node": F.col("parent"), "kids": F.when(leaf, zero).otherwise(1), "child": F.when(~leaf, F.col("node"))}
+            | {k: F.when(~leaf, F.col(e)) for k, e in zip(kid_edges, edges)} | {g: F.when(leaf, h + e) for g, (h, e) in zip(gains, pairs(held, edges))},
+        ], sums=["kids", *gains]).select("node", "parent", *added(held, gains), *edges, F.coalesce("kids", zero).alias("kids"), "child", *kid_edges)
+        gone = (F.col("kids") == 1) & F.col("parent").isNotNull() & (rank("node") < rank("child")) & (rank("node") < rank("parent"))
+        hung = _tell(raked.withColumn("gone", F.coalesce(gone, F.lit(False))), "node", [
+            own("node", "parent", *edges, "kids", "gone") | {"child": F.when(F.col("gone"), F.col("child"))}
+            | {h: F.col(h) + F.when(F.col("gone"), F.col(k)).otherwise(zero) for h, k in zip(held, kid_edges)},
+            {"node": F.when(F.col("gone"), F.col("child")), "up": F.col("parent")} | {g: h + e for g, (h, e) in zip(gains, pairs(held, edges))}])
+        done = settle_at(hung.select("node", F.coalesce("up", "parent").alias("parent"), *held, *added(edges, gains), "kids", "child", "gone"), f"{shared}/round-{turn}")
+        rounds.append(done)
+        state, turn = done.where("NOT gone"), turn + 1
+        if state.where("kids > 0").isEmpty():
             break
-        rank = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        only = inner.groupBy(F.col("parent").alias("node")).agg(
-            F.count("*").alias("n"), F.min("node").alias("child"), *(F.min(e).alias(f"child_{e}") for e in edges)).where("n = 1").drop("n")
-        chain = inner.join(only, "node").withColumn("rank", rank)
-        below = chain.select(F.col("node").alias("child"), F.col("rank").alias("below"))
-        above = chain.select(F.col("child").alias("node"), F.col("rank").alias("above"))
-        gone = settle(
-            chain.join(below, "child", "left").join(above, "node", "left")
-            .where("(below IS NULL OR rank < below) AND (above IS NULL OR rank < above)")
-            .select("node", "parent", "child", *held, *edges, *(f"child_{e}" for e in edges)), "compressed")
+
+    def known(first: int) -> DataFrame:
+        """Totals of the leaves from a round on, and of the nodes that came back."""
+        done = together([f"{shared}/round-{k}" for k in range(first, turn)], rounds[0])
+        left = done.where("NOT gone AND kids = 0").select("node", *(F.col(h).alias(v) for v, h in zip(values, held)))
+        return left.unionByName(together([f"{shared}/expanded-{k}" for k in expanded], left)) if expanded else left
+
+    def together(paths: Sequence[str], like: DataFrame) -> DataFrame:
+        return nodes.sparkSession.read.schema(like.schema).parquet(*paths)
+
+    for k in reversed(range(turn)):
+        gone = rounds[k].where("gone").select("node", "child", *held)
         if not gone.isEmpty():
-            compressed.append(gone.select("node", "child", *((F.col(h) + F.col(f"child_{e}")).alias(f"held_{v}") for v, h, e in zip(values, held, edges))))
-            hung = gone.select(F.col("child").alias("node"), F.col("parent").alias("up"),
-                               *((F.col(h) + F.col(e)).alias(f"more_{v}") for v, h, e in zip(values, held, edges)))
-            rest = settle(
-                rest.join(gone.select("node"), "node", "left_anti").join(hung, "node", "left").select(
-                    "node", F.coalesce("up", "parent").alias("parent"), *held,
-                    *((F.col(e) + F.coalesce(f"more_{v}", zero)).alias(e) for v, e in zip(values, edges))), "tree")
-        state, turn = rest, turn + 1
-    for gone in reversed(compressed):
-        totals = reduce(DataFrame.unionByName, known).withColumnRenamed("node", "child")
-        known.append(settle(gone.join(totals, "child").select("node", *((F.col(f"held_{v}") + F.col(v)).alias(v) for v in values)), "expanded"))
-    return reduce(DataFrame.unionByName, known)
+            below = known(k).withColumnRenamed("node", "child")
+            settle_at(gone.join(below, "child").select("node", *((F.col(h) + F.col(v)).alias(v) for v, h in zip(values, held))), f"{shared}/expanded-{k}")
+            expanded.append(k)
+    return known(0)
 
 
 def id_digests(members: DataFrame) -> DataFrame:
@@ -203,11 +231,14 @@ def prefix_trie(numbered: DataFrame, conversations: DataFrame) -> DataFrame:
     Without conversations there is no node. Missing roles and texts must have
     been replaced, as :func:`number_turns` does.
 
+    What lies below a node with one member is a chain to one leaf that saves
+    nothing, so it is raked into the node it hangs from before the first round of
+    :func:`subtree_totals`, however long it is.
+
     A beginning that a third of all conversations share is counted before its
     shuffle. Only keys and counts travel after the digests of turns are taken.
     """
     begun = settle(beginnings(numbered), "beginnings")
-    conversations = settle(conversations.select("conv_id"), "conversations")
     root = conversations.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
         F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("depth"),
         "conv_id", "n_convs", F.lit(0).cast("long").alias("words"))
@@ -215,18 +246,22 @@ def prefix_trie(numbered: DataFrame, conversations: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"),
         F.min("words").alias("words"))
     plain = root.unionByName(inner)
-    children = inner.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    nodes = settle(plain.join(children, "node", "left").select(
-        *plain.columns, F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children")), "nodes")
+    children = inner.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.count_if(F.col("n_convs") == 1).alias("n_single"))
+    counted = settle(plain.join(children, "node", "left").select(
+        *plain.columns, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_children", "n_single")), F.monotonically_increasing_id().alias("id")), "nodes")
+    parents = counted.select(F.col("node").alias("parent"), F.col("id").alias("parent_id"), F.col("conv_id").alias("parent_conv_id"))
+    nodes = settle(counted.join(parents, "parent", "left").drop("parent"), "linked")
     totals = subtree_totals(
-        nodes.select("node", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
-                     ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
+        nodes.where("n_convs > 1").select(
+            "id", "parent_id", (F.col("n_single") + (F.col("n_children") == 0).cast("long")).alias("n_leaves"),
+            ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), ["n_leaves", "saved_tokens"], "id", "parent_id")
+    single = F.col("n_convs") == 1
     turnless = conversations.join(begun.where("depth = 1").select("conv_id"), "conv_id", "left_anti").select(F.lit("0").alias("node"), "conv_id")
     ends = id_digests(begun.where("is_last").select("node", "conv_id").unionByName(turnless))
-    parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     return (
-        nodes.join(parents, "parent", "left").join(totals, "node").join(ends, "node", "left")
-        .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        nodes.join(totals.withColumnRenamed("node", "id"), "id", "left").join(ends, "node", "left")
+        .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
+                F.when(single, 1).otherwise(F.col("n_leaves")).alias("n_leaves"), F.when(single, 0).otherwise(F.col("saved_tokens")).alias("saved_tokens"),
                 F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256")))
 
 
@@ -242,4 +277,4 @@ def conversation_trie(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
     """
     numbered = settle(number_turns(turns, conv_col, turn_col, role_col, text_col), "numbered")
     rebuilt = share_beginnings(numbered, group, most)
-    return prefix_trie(rebuilt, numbered.select("conv_id").distinct())
+    return prefix_trie(rebuilt, numbered.where("place = 0").select("conv_id"))

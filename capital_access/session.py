@@ -55,7 +55,12 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     without it, each reader prunes other columns, nothing is reused, and the
     facts are scanned again. The written table also survives lost executors.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    return settle_at(df, scratch_path(df.sparkSession, label))
+
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
+    """:func:`settle` at a path from :func:`scratch_path` or below one, so that several tables can be read as one."""
+    spark = df.sparkSession
     # What was shuffled for a table is of no use once that is written.
     tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(tidy, "false")

@@ -107,3 +107,32 @@ def test_digests_across_spans(spark):
     df = spark.createDataFrame([("x", c) for c in ids] + [("y", 3)], "node string, conv_id long")
     got = {r["node"]: r["digest"] for r in m.id_digests(df).collect()}
     assert got == {"x": sha256(",".join(map(str, ids)).encode()).hexdigest(), "y": sha256(b"3").hexdigest()}
+
+
+def test_plans_do_not_grow_with_the_rounds(spark, capsys):
+    n = 60
+    chain = spark.createDataFrame([(k, k - 1 if k else None, 1) for k in range(n)], "node long, parent long, a long")
+    totals = m.subtree_totals(chain, ["a"])
+    capsys.readouterr()
+    totals.explain()
+    assert capsys.readouterr().out.count("FileScan parquet") <= 2
+    assert {r["node"]: r["a"] for r in totals.collect()} == {k: n - k for k in range(n)}
+
+
+def test_tails_of_one_conversation_are_raked_at_once(turns, monkeypatch):
+    contracted = []
+
+    def totals(nodes, *args, f=m.subtree_totals):
+        contracted.append(nodes.count())
+        return f(nodes, *args)
+
+    monkeypatch.setattr(m, "subtree_totals", totals)
+    rows = [(20 * c, t, "u", f"turn {t}" if t < 2 else f"{c} {t}") for c in (1, 2, 3) for t in range(6)]
+    rows += [(80, t, "u", f"turn {t}" if t < 2 else f"1 {t}") for t in range(6)] + [(100, 0, "a", "alone")]
+    assert found(m.conversation_trie(turns(rows))) == brute(rows)
+    assert contracted == [1 + 2 + 4]  # the root, two shared turns, four of two conversations alike
+
+
+def test_a_conversation_and_its_only_turn(turns):
+    for rows in ([(20, 0, None, None)], [(20, 0, "u", "a b"), (40, 0, "u", "a b")]):
+        assert found(m.conversation_trie(turns(rows))) == brute(rows)
